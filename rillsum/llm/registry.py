@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillsum.llm import ans
+from rillsum.llm import ans, mixing, rules, shards, vafile
 from rillsum.llm.common import table
 
 
@@ -20,9 +20,25 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return ans.digest(spark, table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return shards.digest(spark, table(spark, d, "documents"))
+
+
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return vafile.search(table(spark, d, "embeddings"), every=50, k=5)
+
+
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return rules.assess(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.digest(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rans_tokens": op1}
+    return {"op1_rans_tokens": op1, "op2_external_shuffle": op2, "op3_vafile_topk": op3, "op5_decision_list": op5, "op9_pivotal_mix": op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_vafile_topk": vafile.oracle()}
