@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillsum.llm import ans, mixing, rules, shards, vafile
+from rillsum.llm import ans, fuzzylines, mixing, rules, shards, simhash, vafile
 from rillsum.llm.common import table
 
 
@@ -32,12 +32,20 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return rules.assess(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.digest(table(spark, d, "documents"))
+
+
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzylines.digest(table(spark, d, "documents"))
+
+
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return mixing.digest(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rans_tokens": op1, "op2_external_shuffle": op2, "op3_vafile_topk": op3, "op5_decision_list": op5, "op9_pivotal_mix": op9}
+    return {"op1_rans_tokens": op1, "op2_external_shuffle": op2, "op3_vafile_topk": op3, "op5_decision_list": op5, "op6_simhash_mih": op6, "op7_fuzzy_lines": op7, "op9_pivotal_mix": op9}
 
 
 def oracle_sql() -> dict[str, str]:
