@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, chunks, release, scratch, text_or_empty, written
+from rillsum.llm.common import TokenBytes, chunks, kept_in_worker, release, scratch, text_or_empty, written
 
 BITS, LOW = 20, 1 << 31
 LANES, BLOCK, INTERVAL = 64, 1 << 15, 128
@@ -166,7 +166,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq, before = TokenBytes(tokenizer, spaced=True), 0, 0
+        enc, seq, before = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=True)), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         wide = enc.t.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         for b in batches:

@@ -61,18 +61,34 @@ def n_words_expr(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(parts, lambda x: x != "")), F.lit(0)).cast("long")
 
 
-class TokenBytes(dict):
-    """Token ids, as little-endian 32-bit bytes, of the pieces that a text is cut into.
+def kept_in_worker(key: str, make):
+    """make() once per Python worker: its value serves all tasks that the worker runs."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_rillsum_worker", types.ModuleType("_rillsum_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+#: White space as the tokenizers' patterns know it.
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+class TokenBytes:
+    """Token ids, as little-endian 32-bit bytes, of whole texts.
 
     Both public BPE vocabularies treat the cuts made here as pre-token boundaries, so the ids of a
-    text are the ids of its pieces in order, and each distinct piece is tokenised once per worker.
-    spaced: pieces keep one leading space (byte-level BPE); else white space is dropped.
-    The cache is emptied at `limit` entries.
+    text are the ids of its pieces in order, and each distinct piece is tokenised once per worker while
+    it stays in the cache.  spaced: pieces keep one leading space (byte-level BPE); else white space is
+    dropped.  The cache holds two generations of `limit` pieces; the older one goes when the newer is full.
     """
 
-    #: A single space between two characters that are not white space.
-    CUT = re.compile(r"(?<=\S)(?= \S)")
-    UNSAFE = re.compile(r"\s\s|^\s|\s$|[^\S ]")
+    #: A run of other characters with one space before it; white space up to its last character; the rest.
+    SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+    #: A letter before one of these ends a pre-token.
+    ENDS = frozenset(",.;:!?")
 
     def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         import os
@@ -80,33 +96,80 @@ class TokenBytes(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.spaced, self.limit = spaced, limit
+        self.spaced, self.limit, self.new, self.old = spaced, limit, {}, {}
+        self.cut = (self.SPACED if spaced else WORD).findall
+        # byte-level BPE makes a line feed a token of its own, so pieces without white space inside can share a call
+        sep = self.t.encode("\n", add_special_tokens=False).ids
+        self.sep = sep[0] if spaced and len(sep) == 1 else None
+        # the other vocabulary marks the last token of a word, so words of letters can share a call
+        self.last = None
+        if not spaced:
+            import numpy as np
+
+            vocab = self.t.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
+
+    def _fill(self, pieces: list[str]) -> None:
+        """Tokenises distinct pieces into the newer generation."""
+        import numpy as np
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return WORD.findall(text)
-        if not self.UNSAFE.search(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
-        return self.CUT.split(text)
+        if self.spaced:
+            ok = [self.sep is not None and "\n" not in p and not p.isspace() for p in pieces]
+        else:
+            ok = [p.isalpha() for p in pieces]
+        plain, rest = [p for p, y in zip(pieces, ok, strict=True) if y], [p for p, y in zip(pieces, ok, strict=True) if not y]
+        for a in range(0, len(plain), 100):
+            part = plain[a : a + 100]
+            text = "\n" + "\n".join(part) + "\n" if self.spaced else " ".join(part)
+            ids = np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == self.sep if self.spaced else self.last[ids])
+            if len(at) != len(part) + self.spaced:
+                rest += part
+                continue
+            raw, at = ids.tobytes(), (at * 4).tolist()
+            if self.spaced:
+                cells = [raw[x + 4 : y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            else:
+                cells = [raw[x : y + 4] for x, y in zip([0, *[i + 4 for i in at[:-1]]], at, strict=True)]
+            self.new.update(zip(part, cells, strict=True))
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
+            for p, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
+                self.new[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        stem = {}
+        for p in missing:
+            if p[-1] in self.ENDS and len(p) > 1 and p[-2].isalpha():
+                stem[p] = p[:-1]
+        bases = {stem.get(p, p) for p in missing} | {p[-1] for p in stem}
+        if not self.spaced:  # this vocabulary lower-cases
+            low = {p: p.lower() for p in bases if p.isascii()}
+            need = {low.get(p, p) for p in bases}
+        else:
+            low, need = {}, bases
+        self._fill(sorted(need - self.new.keys()))
+        for p, q in low.items():
+            self.new[p] = self.new[q]
+        for p, q in stem.items():
+            self.new[p] = self.new[q] + self.new[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        if len(self) > self.limit:
-            self.clear()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self) if cut else set()
-        if new:
-            new = sorted(new)
-            for a in range(0, len(new), 5000):
-                part = new[a : a + 5000]
-                for k, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                    self[k] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        cut = [self.cut(t) if t else [] for t in texts]
+        missing = set().union(*cut) - self.new.keys() if cut else set()
+        if missing:
+            for p in missing & self.old.keys():
+                self.new[p] = self.old[p]
+            missing -= self.old.keys()
+            if missing:
+                self._learn(missing)
+        get = self.new.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
 
 def chunks(texts: list, limit: int = 4 << 20):

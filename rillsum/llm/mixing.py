@@ -130,3 +130,18 @@ def mix(docs: DataFrame, seed: int = 29) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, seed: int = 29) -> DataFrame:
+    """docs with every row repeated as often as the mix copies it, 0 times included; columns stay.
+
+    Rows that agree in doc_id and text are one document, copied as often as they all are together.
+    """
+    plan = mix(docs, seed).groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    plan = written(plan.where("__copies > 0 OR __rows > 1"), "copies")
+    d = docs.withColumn("__th", F.xxhash64(text_or_empty()))
+    if not plan.where("__rows > 1").isEmpty():
+        d = d.dropDuplicates(["doc_id", "__th"])
+    d = d.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("__th") == F.col("p_th")))
+    d = d.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return d.select(*docs.columns)
