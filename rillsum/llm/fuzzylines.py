@@ -7,6 +7,7 @@ connected group the first occurrence in (doc_id, text hash, line number) order s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,19 +27,35 @@ def normal(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
-def edit_within(a: str, b: str, most: int) -> bool:
-    """Levenshtein distance <= most, bit-parallel over the shorter string."""
+def _common(a, b) -> int:
+    """Length of the common prefix, by halving slices."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def edit_within(a, b, most: int) -> bool:
+    """Levenshtein distance of two strings or lists <= most, bit-parallel over the shorter one."""
     if abs(len(a) - len(b)) > most:
         return False
-    while a and b and a[-1] == b[-1] and len(a) > 64:
-        k = 64 if a[-64:] == b[-64:] else 1
+    k = _common(a, b)
+    a, b = a[k:], b[k:]
+    k = _common(a[::-1], b[::-1])
+    if k:
         a, b = a[:-k], b[:-k]
     if len(a) > len(b):
         a, b = b, a
     m = len(a)
+    if len(b) <= most:
+        return True
     if m == 0:
-        return len(b) <= most
-    peq: dict[str, int] = {}
+        return False
+    peq: dict = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | (1 << i)
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -57,9 +74,23 @@ def edit_within(a: str, b: str, most: int) -> bool:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """1 - distance / longer length >= least."""
+    """1 - distance / longer length >= least.
+
+    Long lines are first compared by words: so many word edits, each at the price of the longest word,
+    prove similarity.  Character counts may disprove it.  Else the distance decides.
+    """
     n = max(len(a), len(b))
-    return edit_within(a, b, int((1 - least) * n + 1e-9))
+    most = int((1 - least) * n + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    if n > 200:
+        x, y = a.split(" "), b.split(" ")
+        if edit_within(x, y, most // (max(map(len, x + y)) + 1)):
+            return True
+        p, q = Counter(a), Counter(b)
+        if max((p - q).total(), (q - p).total()) > most:
+            return False
+    return edit_within(a, b, most)
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
@@ -69,7 +100,7 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, line, h, fp): lines with at least min_words words; h is the 128-bit hash of the normal form.
 
-    The SimHash weighs words and word pairs of the normal form alike.
+    The SimHash weighs words that hold a letter or digit and word pairs of the normal form alike.
     """
     import numpy as np
     import pyarrow as pa
@@ -79,7 +110,8 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         class Hashes(dict):
             def __missing__(self, w):
-                v = xxh3_64_intdigest(w)
+                # a mark between words says nothing by itself, however often it stands there
+                v = xxh3_64_intdigest(w) if any(map(str.isalnum, w)) else 0
                 if len(self) < 500_000:
                     self[w] = v
                 return v
@@ -111,7 +143,8 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 pbits = np.unpackbits(np.concatenate((pair, [np.uint64(0)])).astype(">u8").view("u1").reshape(-1, 8), axis=1)
                 pbits[at + n - 1] = 0  # a pair doesn't reach into the next line
                 ones += np.add.reduceat(pbits, at, axis=0, dtype="i4")
-                fp = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1).view(">u8").ravel().astype("u8").view("i8")
+                said = np.add.reduceat((u != 0).astype("i8"), at)
+                fp = np.packbits(2 * ones > (said + n - 1)[:, None], axis=1).view(">u8").ravel().astype("u8").view("i8")
                 own = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["th"].take(own), pa.array(no, pa.int32()), pa.array(h, pa.binary()), pa.array(fp)], ["doc_id", "th", "line", "h", "fp"])
 
