@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +89,8 @@ class TokenBytes:
 
     #: A run of other characters with one space before it; white space up to its last character; the rest.
     SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-    #: A letter before one of these ends a pre-token.
-    ENDS = frozenset(",.;:!?")
+    #: A run of these after a letter is a pre-token of its own.
+    ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         import os
@@ -100,76 +102,85 @@ class TokenBytes:
         self.t.encode_special_tokens = True
         self.spaced, self.limit, self.new, self.old = spaced, limit, {}, {}
         self.cut = (self.SPACED if spaced else WORD).findall
-        # byte-level BPE makes a line feed a token of its own, so pieces without white space inside can share a call
-        sep = self.t.encode("\n", add_special_tokens=False).ids
-        self.sep = sep[0] if spaced and len(sep) == 1 else None
-        # the other vocabulary marks the last token of a word, so words of letters can share a call
-        self.last = None
-        if not spaced:
-            import numpy as np
-
-            vocab = self.t.get_vocab()
-            self.last = np.zeros(max(vocab.values()) + 1, bool)
-            self.last[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
-
-    def _fill(self, pieces: list[str]) -> None:
-        """Tokenises distinct pieces into the newer generation."""
-        import numpy as np
-
+        # Runs of letters are single pre-tokens: the model takes them as they are, in byte-level letters.
+        self.model = self.t.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {b: 256 + i for i, b in enumerate(others)}
+        self.tails: dict[str, bytes] = {}
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch(pieces, add_special_tokens=False)]
+
+    def _word(self, p: str) -> bytes | None:
+        """Ids of a run of letters (with its space, if spaced); None for any other piece."""
         if self.spaced:
-            ok = [self.sep is not None and "\n" not in p and not p.isspace() for p in pieces]
+            if not (p[1:] if p[0] == " " else p).isalpha():
+                return None
+        elif p.isascii():
+            p = p.lower()
+            if not p.isalpha():
+                return None
         else:
-            ok = [p.isalpha() for p in pieces]
-        plain, rest = [p for p, y in zip(pieces, ok, strict=True) if y], [p for p, y in zip(pieces, ok, strict=True) if not y]
-        for a in range(0, len(plain), 100):
-            part = plain[a : a + 100]
-            text = "\n" + "\n".join(part) + "\n" if self.spaced else " ".join(part)
-            ids = np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.sep if self.spaced else self.last[ids])
-            if len(at) != len(part) + self.spaced:
-                rest += part
-                continue
-            raw, at = ids.tobytes(), (at * 4).tolist()
-            if self.spaced:
-                cells = [raw[x + 4 : y] for x, y in zip(at[:-1], at[1:], strict=True)]
-            else:
-                cells = [raw[x : y + 4] for x, y in zip([0, *[i + 4 for i in at[:-1]]], at, strict=True)]
-            self.new.update(zip(part, cells, strict=True))
-        for a in range(0, len(rest), 5000):
-            part = rest[a : a + 5000]
-            for p, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                self.new[p] = np.array(e.ids, "<u4").tobytes()
+            p = "".join([c.lower() for c in unicodedata.normalize("NFC", p)])  # letter by letter, as the tokenizer does
+            if not p.isalpha():
+                return None
+        x = p.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        stem = {}
+        new, rest, ends, tails, marks = self.new, [], [], self.tails, self.ENDS
         for p in missing:
-            if p[-1] in self.ENDS and len(p) > 1 and p[-2].isalpha():
-                stem[p] = p[:-1]
-        bases = {stem.get(p, p) for p in missing} | {p[-1] for p in stem}
-        if not self.spaced:  # this vocabulary lower-cases
-            low = {p: p.lower() for p in bases if p.isascii()}
-            need = {low.get(p, p) for p in bases}
-        else:
-            low, need = {}, bases
-        self._fill(sorted(need - self.new.keys()))
-        for p, q in low.items():
-            self.new[p] = self.new[q]
-        for p, q in stem.items():
-            self.new[p] = self.new[q] + self.new[p[-1]]
+            q, tail = p, None
+            if not p[-1].isalpha():
+                q = p.rstrip(marks)
+                if q and q[-1].isalpha():
+                    end = p[len(q) :]
+                    tail = tails.get(end)
+                    if tail is None:
+                        tail = self._whole([end])[0]
+                        if len(tails) < 100_000:
+                            tails[end] = tail
+                else:
+                    q = p
+            v = new.get(q)
+            if v is None:
+                v = self._word(q)
+                if v is None:
+                    rest.append(q)
+                    if tail is not None:
+                        ends.append((p, q, tail))
+                    continue
+                new[q] = v
+            if tail is not None:
+                new[p] = v + tail
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
+            new.update(zip(part, self._whole(part), strict=True))
+        for p, q, tail in ends:
+            new[p] = new[q] + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        cut = [self.cut(t) if t else [] for t in texts]
-        missing = set().union(*cut) - self.new.keys() if cut else set()
-        if missing:
-            for p in missing & self.old.keys():
-                self.new[p] = self.old[p]
-            missing -= self.old.keys()
-            if missing:
-                self._learn(missing)
-        get = self.new.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        get, out, todo, missing = self.new.get, [], [], set()
+        for i, t in enumerate(texts):
+            own = self.cut(t) if t else []
+            got = list(map(get, own))
+            if None in got:
+                missing.update([p for p, x in zip(own, got, strict=True) if x is None])
+                todo.append((i, own, got))
+                out.append(None)
+            else:
+                out.append(b"".join(got))
+        if todo:
+            again = missing & self.old.keys()
+            self.new.update((p, self.old[p]) for p in again)
+            self._learn(missing - again)
+            now = self.new
+            for i, own, got in todo:
+                out[i] = b"".join([now[p] if x is None else x for p, x in zip(own, got, strict=True)])
+        return out
 
 
 def chunks(texts: list, limit: int = 4 << 20):

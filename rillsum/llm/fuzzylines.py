@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, chunks, written
+from rillsum.llm.common import WORD, chunks, kept_in_worker, written
 from rillsum.llm.graph import components, run_edges
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.8
@@ -111,12 +111,12 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         class Hashes(dict):
             def __missing__(self, w):
                 # a mark between words says nothing by itself, however often it stands there
-                v = xxh3_64_intdigest(w) if any(map(str.isalnum, w)) else 0
+                v = xxh3_64_intdigest(w) if w[0].isalnum() or any(map(str.isalnum, w)) else 0
                 if len(self) < 500_000:
                     self[w] = v
                 return v
 
-        known = Hashes()
+        known = kept_in_worker("line_words", Hashes)
         for b in batches:
             texts = b["text"].to_pylist()
             for lo, hi in chunks(texts, 1 << 20):
@@ -201,27 +201,36 @@ def verified(texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(h, norm) of the wanted line hashes.  A fixed-size bitmap of their hashes, 2 MB at most, thins the scan."""
+    """(h, norm) of the wanted line hashes, from the document where each stands first.
+
+    Fixed-size bitmaps, 2 MB each, of those documents and of the hashes thin the scan.
+    """
     import numpy as np
     import pyarrow as pa
 
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("h"), F.lit(BITMAP))
-    words = wanted.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(h), {BITMAP}) & 63 AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    bitmap = np.zeros(BITMAP // 64, "i8")
-    for r in words.collect():  # at most 2^18 rows
-        bitmap[r["w"]] = r["bits"]
-    shared = spark.sparkContext.broadcast(bitmap)
+
+    def bitmap(key):
+        words = wanted.select(F.shiftright(F.pmod(key, F.lit(BITMAP)), 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int")).alias("bit"))
+        out = np.zeros(BITMAP // 64, "i8")
+        for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2^18 rows
+            out[r["w"]] = r["bits"]
+        return out.view("u8")
+
+    doc = F.xxhash64("doc_id", "th")
+    shared = spark.sparkContext.broadcast((bitmap(F.xxhash64("h")), bitmap(doc)))
     size = BITMAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest, xxh64_intdigest
 
-        bits = shared.value.view("u8")
+        bits, docs_on = shared.value
         seen = set()
         for b in batches:
             h, t = [], []
-            for text in b["text"].to_pylist():
+            slot = np.asarray(b["slot"])
+            on = docs_on[slot >> 6] >> (slot & 63).astype("u8") & np.uint64(1)
+            for text in b["text"].take(pa.array(np.flatnonzero(on))).to_pylist():
                 for line in text.split("\n"):
                     w = WORD.findall(line.lower())
                     if len(w) >= min_words:
@@ -236,8 +245,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                             t.append(norm)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
 
-    got = keyed_docs(docs).select("text").mapInArrow(run, "h binary, norm string")
-    return got.join(wanted, "h").dropDuplicates(["h"])
+    got = keyed_docs(docs).select("text", F.pmod(doc, F.lit(BITMAP)).alias("slot")).mapInArrow(run, "h binary, norm string")
+    return got.join(wanted.select("root", "h", "fp"), "h").dropDuplicates(["h"])
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -246,13 +255,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Da
     Rows that agree in doc_id and text are one document: their lines are dropped or kept together.
     """
     t = written(lines(docs, min_words), "lines")
-    kinds = written(t.groupBy("h").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "kinds")
+    kinds = t.groupBy("h").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
+    kinds = written(kinds.select("h", "fp", "n", "at.doc_id", "at.th"), "kinds")
     edges = run_edges(block_keys(kinds.select("fp").distinct()), DISTANCE)
     comp = written(components(edges), "comps")
     # candidate groups hold two kinds at least: linked fingerprints, or kinds that share one
     shared = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     member = written(comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")), "members")
-    wanted = written(kinds.join(member, F.col("fp") == F.col("node")).select("root", "h", "fp"), "wanted")
+    wanted = written(kinds.join(member, F.col("fp") == F.col("node")).select("root", "h", "fp", "doc_id", "th"), "wanted")
     texts = written(_texts(docs, wanted, min_words), "texts")
     links = components(verified(texts))
     links = written(links, "links")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from rillsum.llm.common import fold, kept_in_worker
 
 TOP = 300
-#: Learn from at most SALTS * PER_SALT documents of a language, those with the least hashes.
-SALTS, PER_SALT = 32, 64
+#: Learn from about so many documents of a language, those whose hash falls under SAMPLE / documents.
+SAMPLE = 2048
 FOLDS, HELD = 4, 2
 
 
@@ -75,12 +75,11 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     import numpy as np
     import pyarrow as pa
 
-    th = F.xxhash64("text")
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), FOLDS) != HELD)
-    order = W.partitionBy("lang", "salt").orderBy("key")
-    picks = known.select("lang", F.xxhash64("doc_id", th).alias("key")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
-    picks = picks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_SALT).select(F.col("lang").alias("p_lang"), F.col("key").alias("p_key")).distinct()
-    sample = known.select("lang", "text", F.xxhash64("doc_id", th).alias("key")).join(picks, (F.col("key") == F.col("p_key")) & (F.col("lang") == F.col("p_lang")))
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row per language
+    share = F.broadcast(per.select(F.col("lang").alias("p_lang"), (F.lit(float(SAMPLE)) / F.col("n")).alias("share")))
+    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.withColumn("draw", draw).join(share, F.col("lang") == F.col("p_lang")).where(F.col("draw") < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = kept_in_worker("letters", _letters)

@@ -20,7 +20,7 @@ WINDOW, STRIDE = 64, 48
 E_WORD, E_CHAR, E_TRI, H, A = 12, 4, 8, 8, 8
 CHARS, TRIS = 256, 4096
 #: Learn from at most so many labelled rows, those with the least hash of doc_id.
-SAMPLE = 6000
+SAMPLE = 5000
 FOLDS, HELD = 5, 0
 DIM = E_WORD + E_CHAR + E_TRI
 
@@ -187,25 +187,23 @@ def train(texts: list[str], y: np.ndarray, steps: int = 320, batch: int = 192, s
     Runs whole epochs, 8 and `steps` batches at least; the highest windows are found anew three times.
     """
     rng = np.random.default_rng(seed)
-    toks = [[stem(w) for w in WORD.findall(t)] for t in texts]
-    df: dict[str, int] = {}
-    pos: dict[str, int] = {}
-    for w, label in zip(toks, y, strict=True):
-        for x in set(w):
-            df[x] = df.get(x, 0) + 1
-            pos[x] = pos.get(x, 0) + int(label)
-    common = sorted((w for w, k in df.items() if k >= 8), key=lambda w: (-df[w], w))[:20_000]
-    vocab = {w: i + 1 for i, w in enumerate(common)}
-    names = sorted(df)
-    row = {w: i for i, w in enumerate(names)}
-    words = Words(names, vocab) if names else Words([""], vocab)
-    counts = np.array([len(w) for w in toks], "i8")
-    rows = np.array([row[x] for w in toks for x in w], "i8")
-    idx, n, owner = cut(rows, counts)
+    row: dict[str, int] = {}
+    docs = [np.fromiter((row.setdefault(stem(w), len(row)) for w in WORD.findall(t)), "i4") for t in texts]
+    names = list(row) or [""]
+    df, pos = np.zeros(len(names), "i8"), np.zeros(len(names), "i8")
+    for ids, label in zip(docs, y, strict=True):
+        own = np.unique(ids)
+        df[own] += 1
+        pos[own] += int(label)
+    common = sorted(np.flatnonzero(df >= 8).tolist(), key=lambda i: (-df[i], names[i]))[:20_000]
+    vocab = {names[i]: k + 1 for k, i in enumerate(common)}
+    counts = np.array([len(w) for w in docs], "i8")
+    idx, n, owner = cut(np.concatenate(docs), counts)
+    del row, docs
     # the first choice of windows: the sum of the words' log-odds between the classes
-    odds = np.array([np.log((pos[w] + 0.5) / (y.sum() + 1)) - np.log((df[w] - pos[w] + 0.5) / ((1 - y).sum() + 1)) for w in names] or [0.0])
-    odds[[i for i, w in enumerate(names) if df[w] < 8]] = 0
-    score = np.where(np.arange(WINDOW) < n[:, None], np.maximum(odds, 0)[idx], 0).sum(1)
+    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((df - pos + 0.5) / ((1 - y).sum() + 1))
+    odds[df < 8] = 0
+    score = np.where(np.arange(WINDOW) < n[:, None], np.maximum(odds, 0).astype("f4")[idx], 0).sum(1)
     p = fresh(len(vocab), rng)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     starts = np.searchsorted(owner, np.arange(len(texts)))
@@ -233,8 +231,9 @@ def train(texts: list[str], y: np.ndarray, steps: int = 320, batch: int = 192, s
                     p[k] *= 0.998
                 p[k] -= 0.01 * 0.25 ** (epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
         if epoch + 1 in {epochs // 4, epochs // 2, 3 * epochs // 4}:
-            proj = project(p, words.vectors(p))
-            score = np.concatenate([forward(p, proj, idx[a : a + 4096], n[a : a + 4096]) for a in range(0, len(idx), 4096)])
+            proj = np.concatenate([project(p, Words(names[a : a + 20_000], vocab).vectors(p)) for a in range(0, len(names), 20_000)], 1)
+            score = np.concatenate([forward(p, proj, idx[a : a + 2048], n[a : a + 2048]) for a in range(0, len(idx), 2048)])
+            del proj
     return {"p": p, "vocab": vocab}
 
 
