@@ -93,7 +93,7 @@ def probes(fps: DataFrame) -> DataFrame:
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id): component_id is the least doc_id that a fingerprint reaches by links.
+    """(fp, component_id, root): component_id is the least doc_id that a fingerprint reaches by links, root its least fingerprint.
 
     prints: (doc_id, fp).  Equal fingerprints are one node, so copies cost nothing further on.
     """
@@ -104,13 +104,13 @@ def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     comp = written(components(edges), "comps")
     rooted = written(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    return written(rooted.join(ids, "root").select("fp", "component_id"), "groups")
+    return written(rooted.join(ids, "root").select("fp", "component_id", "root"), "groups")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of docs; null doc_ids reach but don't name components."""
     prints = written(fingerprints(docs), "prints")
-    out = prints.select("doc_id", "fp").join(groups(prints), "fp")
+    out = prints.select("doc_id", "fp").join(groups(prints).drop("root"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -120,10 +120,8 @@ def unique(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id and text count as one row and come out once.
     """
     prints = written(fingerprints(docs), "prints")
-    g = prints.join(groups(prints), "fp").select("doc_id", "th", F.col("component_id").alias("c"), "fp")
-    # a component of null doc_ids alone is told apart by its fingerprints
-    name = F.coalesce(F.col("c"), F.col("fp"))
-    best = g.groupBy(F.col("c").isNull().alias("anon"), name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    g = prints.join(groups(prints), "fp")
+    best = g.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
     keep = written(best.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th")), "kept")
     d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     d = d.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
