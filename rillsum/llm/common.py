@@ -64,14 +64,18 @@ def n_words_expr(text: Column) -> Column:
 
 
 def kept_in_worker(key: str, make):
-    """make() once per Python worker: its value serves all tasks that the worker runs."""
+    """make() once per Python worker: its value serves all tasks of one operator that the worker runs.
+
+    A worker keeps one value; another operator's takes its place, so a long session does not pile them up.
+    """
     import sys
     import types
 
     held = sys.modules.setdefault("_rillsum_worker", types.ModuleType("_rillsum_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held["value"] = None
+        held["key"], held["value"] = key, make()
+    return held["value"]
 
 
 #: White space as the tokenizers' patterns know it.
@@ -92,7 +96,7 @@ class TokenBytes:
     #: A run of these after a letter is a pre-token of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

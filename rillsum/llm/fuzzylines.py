@@ -112,7 +112,7 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             def __missing__(self, w):
                 # a mark between words says nothing by itself, however often it stands there
                 v = xxh3_64_intdigest(w) if w[0].isalnum() or any(map(str.isalnum, w)) else 0
-                if len(self) < 500_000:
+                if len(self) < 300_000:
                     self[w] = v
                 return v
 
