@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, chunks, kept_in_worker, release, scratch, text_or_empty, written
+from rillsum.llm.common import TokenBytes, byte_chunks, kept_in_worker, release, scratch, text_or_empty, written
 
 BITS, LOW = 20, 1 << 31
 LANES, BLOCK, INTERVAL = 64, 1 << 15, 128
@@ -167,19 +167,18 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq, before = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=True)), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         wide = enc.t.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         for b in batches:
-            texts = b["text"].to_pylist()
-            for lo, hi in chunks(texts):
-                raw = [x + end for x in enc.encode(texts[lo:hi])]
-                n = np.array([len(x) // 4 for x in raw], "i8")
-                cells = raw if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw]
+            for lo, hi in byte_chunks(b["text"]):
+                ids, n = enc.encode_ended(b["text"][lo:hi], end_id)
+                ids = ids if wide else ids.astype("<u2")
+                at = np.concatenate(([0], np.cumsum(n)))
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + np.cumsum(n) - n), pa.array(cells, pa.binary())],
+                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + at[:-1]), cells],
                     ["part", "seq", "doc_id", "n", "before", "ids"],
                 )
-                seq, before = seq + hi - lo, before + int(n.sum())
+                seq, before = seq + hi - lo, before + len(ids)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     d = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
@@ -197,11 +196,15 @@ def frequencies(tokens: DataFrame) -> Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, "i8")
         for b in batches:
-            for n, cell in zip(b["n"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                c = np.bincount(_ids(cell, n)) if n < 1 << 16 else np.bincount(_ids(cell, n), minlength=1)
-                if len(c) > len(total):
-                    total = np.concatenate((total, np.zeros(len(c) - len(total), "i8")))
-                total[: len(c)] += c
+            # the cells of a batch lie side by side, all of one width
+            n = int(np.asarray(b["n"]).sum())
+            if not n:
+                continue
+            at = np.frombuffer(b["ids"].buffers()[1], "i4")[b["ids"].offset : b["ids"].offset + len(b["ids"]) + 1]
+            c = np.bincount(_ids(memoryview(b["ids"].buffers()[2])[at[0] : at[-1]], n))
+            if len(c) > len(total):
+                total = np.concatenate((total, np.zeros(len(c) - len(total), "i8")))
+            total[: len(c)] += c
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
 
@@ -257,26 +260,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Table:
     return t
 
 
-def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): decodes the segments; checksums are verified."""
+def read(spark: SparkSession, path: str, table: Table, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids): decodes the segments; checksums are verified.
+
+    ids_crc32 is taken over the decoded ids; without `ids` the last column is left out.
+    """
     shared = spark.sparkContext.broadcast(table.f)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(shared.value)
         for b in batches:
             for start, raw in zip(b["start"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                docs, n, ids = unpack_segment(raw, t)
+                docs, n, all_ids = unpack_segment(raw, t)
                 end = np.cumsum(n)
-                cells = [ids[e - k : e].astype("<u4").tobytes() for e, k in zip(end, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(start + end - n), pa.array(n), pa.array(cells, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-                )
+                cells = [all_ids[e - k : e].astype("<u4").tobytes() for e, k in zip(end, n, strict=True)]
+                out = [pa.array(docs, pa.int64()), pa.array(start + end - n), pa.array(n), pa.array([zlib.crc32(x) for x in cells], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(cells, pa.binary())] * ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return spark.read.parquet(path).select("start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(path).select("start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents, from the files written for them."""
     path = scratch(spark, "segments")
     t = write(docs, path, tokenizer, end_id)
-    return read(spark, path, t).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path, t, ids=False)

@@ -7,6 +7,9 @@ import unicodedata
 import uuid
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,17 +85,40 @@ def kept_in_worker(key: str, make):
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def _pairs(marks: str) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each byte, whether a piece starts at a byte after one of another class).
+
+    Classes: 0 other, 1 space, 2 other white space, 3 ASCII letter, 4 ASCII mark, 5 apostrophe.
+    """
+    kind = np.zeros(256, "u1")
+    kind[32], kind[9:14] = 1, 2
+    for c in range(128):
+        if chr(c).isalpha():
+            kind[c] = 3
+        elif chr(c) in marks:
+            kind[c] = 5 if chr(c) == "'" else 4
+    cut = np.zeros((6, 6), bool)  # [before, here]
+    cut[[0, 3, 4, 5], 1] = cut[[0, 3, 4, 5], 2] = True  # white space begins
+    cut[2, [0, 3, 4, 5]] = True  # a word takes a space along, but no other white space
+    cut[3, [4, 5]] = True
+    cut[4, 3] = True  # an apostrophe may belong to the letters after it
+    return kind, cut.ravel()
+
+
 class TokenBytes:
-    """Token ids, as little-endian 32-bit bytes, of whole texts.
+    """Token ids of whole texts, as flat arrays.
 
     Both public BPE vocabularies treat the cuts made here as pre-token boundaries, so the ids of a
-    text are the ids of its pieces in order, and each distinct piece is tokenised once per worker while
-    it stays in the cache.  spaced: pieces keep one leading space (byte-level BPE); else white space is
-    dropped.  The cache holds two generations of `limit` pieces; the older one goes when the newer is full.
+    text are the ids of its pieces in order.  The pieces of a chunk are cut and numbered by numpy and
+    Arrow, and each distinct piece is tokenised once per worker while it stays in the cache.  spaced:
+    a leading space counts (byte-level BPE); else white space is dropped.  The cache holds two
+    generations of `limit` pieces; the older one goes when the newer is full.
     """
 
     #: A run of other characters with one space before it; white space up to its last character; the rest.
     SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+    #: White space of more than one byte; texts that hold it are cut by the pattern above.
+    WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
     #: A run of these after a letter is a pre-token of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -105,40 +131,49 @@ class TokenBytes:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.spaced, self.limit, self.new, self.old = spaced, limit, {}, {}
-        self.cut = (self.SPACED if spaced else WORD).findall
         # Runs of letters are single pre-tokens: the model takes them as they are, in byte-level letters.
         self.model = self.t.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(others)}
+        self.kind, self.after = _pairs(self.ENDS + "'")
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _word(self, p: str) -> bytes | None:
-        """Ids of a run of letters (with its space, if spaced); None for any other piece."""
-        if self.spaced:
-            if not (p[1:] if p[0] == " " else p).isalpha():
-                return None
-        elif p.isascii():
-            p = p.lower()
-            if not p.isalpha():
-                return None
+        """Ids of a run of letters with or without a space before it; None for any other piece."""
+        led = p[0] == " "
+        body = p[1:] if led else p
+        if not body.isalpha():
+            return None
+        if body.isascii():
+            x = ("\u0120" + body if led else body) if self.spaced else body.lower()
         else:
-            p = "".join([c.lower() for c in unicodedata.normalize("NFC", p)])  # letter by letter, as the tokenizer does
-            if not p.isalpha():
-                return None
-        x = p.encode("utf-8").decode("latin-1").translate(self.letters)
+            if self.spaced:
+                body = p
+            else:
+                body = "".join([c.lower() for c in unicodedata.normalize("NFC", body)])  # letter by letter, as the tokenizer does
+                if not body.isalpha():
+                    return None
+            x = body.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
+    def _letter(self, c: str) -> bool:
+        """Whether a mark after c starts a pre-token; lower case may end in a combining mark, which joins it."""
+        if c.isascii() or self.spaced:
+            return c.isalpha()
+        c = unicodedata.normalize("NFC", c)
+        return c.isalpha() and c[-1].lower()[-1].isalpha()
+
+    def _learn(self, missing: list[str]) -> None:
         new, rest, ends, tails, marks = self.new, [], [], self.tails, self.ENDS
         for p in missing:
             q, tail = p, None
             if not p[-1].isalpha():
                 q = p.rstrip(marks)
-                if q and q[-1].isalpha():
+                if q and self._letter(q[-1]):
                     end = p[len(q) :]
                     tail = tails.get(end)
                     if tail is None:
@@ -164,27 +199,77 @@ class TokenBytes:
         for p, q, tail in ends:
             new[p] = new[q] + tail
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Byte positions where pieces start; at: the bounds of the texts in raw."""
+        first = np.zeros(len(raw) + 1, bool)
+        first[at] = True
+        kind = self.kind[raw]
+        start = first[:-1].copy()
+        start[1:] |= self.after[kind[:-1] * np.uint8(6) + kind[1:]]
+        space = (kind == 1) | (kind == 2)
+        # the last white space before a word is a piece of its own, or leads the word if it is a space
+        start[:-1] |= space[:-1] & ~space[1:] & ~first[1:-1]
+        wide = {int(np.searchsorted(at, m.start(), "right")) - 1 for m in self.WIDE_SPACE.finditer(raw)}
+        for i in wide:
+            lo, hi = at[i], at[i + 1]
+            start[lo:hi] = False
+            size = [len(p.encode("utf-8")) for p in self.SPACED.findall(raw[lo:hi].tobytes().decode("utf-8"))]
+            start[lo + np.cumsum([0, *size[:-1]])] = True
+        return np.flatnonzero(start)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); a null counts as empty."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "i8")
+        lo, at = int(bounds[0]), bounds - bounds[0]
+        if not at[-1]:
+            return np.empty(0, "u4"), np.zeros(len(texts), "i8")
+        raw = np.frombuffer(texts.buffers()[2], "u1", int(at[-1]), lo)
+        start = self._starts(raw, at)
+        cuts = np.append(start, len(raw))
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        which, kinds = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        get, out, todo, missing = self.new.get, [], [], set()
-        for i, t in enumerate(texts):
-            own = self.cut(t) if t else []
-            got = list(map(get, own))
-            if None in got:
-                missing.update([p for p, x in zip(own, got, strict=True) if x is None])
-                todo.append((i, own, got))
-                out.append(None)
-            else:
-                out.append(b"".join(got))
-        if todo:
-            again = missing & self.old.keys()
-            self.new.update((p, self.old[p]) for p in again)
-            self._learn(missing - again)
+        got = list(map(self.new.get, kinds))
+        missing = [p for p, x in zip(kinds, got, strict=True) if x is None]
+        if missing:
+            old = self.old
+            again = [p for p in missing if p in old]
+            self.new.update((p, old[p]) for p in again)
+            self._learn([p for p in missing if p not in old] if again else missing)
             now = self.new
-            for i, own, got in todo:
-                out[i] = b"".join([now[p] if x is None else x for p, x in zip(own, got, strict=True)])
-        return out
+            got = [now[p] if x is None else x for p, x in zip(kinds, got, strict=True)]
+        size = np.fromiter(map(len, got), "i8", len(got)) >> 2
+        n, begin = size[which], np.cumsum(size) - size
+        end = np.concatenate(([0], np.cumsum(n)))
+        from_ = np.repeat(begin[which] - end[:-1], n)
+        from_ += np.arange(end[-1])
+        return np.frombuffer(b"".join(got), "<u4")[from_], np.diff(end[np.searchsorted(start, at)])
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_array, with end_id after each text."""
+        ids, n = self.encode_array(texts)
+        n = n + 1
+        out, own = np.empty(len(ids) + len(n), "<u4"), np.ones(len(ids) + len(n), bool)
+        own[np.cumsum(n) - 1] = False
+        out[own], out[~own] = ids, end_id
+        return out, n
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, n = self.encode_array(pa.array(texts, pa.string()))
+        end = np.cumsum(n)
+        return [ids[e - k : e].tobytes() for e, k in zip(end, n, strict=True)]
+
+
+def byte_chunks(texts: pa.Array, limit: int = 4 << 20):
+    """Bounds of slices of an Arrow array of texts that hold about `limit` bytes, one text at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), "i8"))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
 
 
 def chunks(texts: list, limit: int = 4 << 20):

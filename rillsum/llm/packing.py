@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, chunks, kept_in_worker, text_or_empty, written
+from rillsum.llm.common import TokenBytes, byte_chunks, kept_in_worker, text_or_empty, written
 
 CAPACITY = 2048
 BLOCK, FAN = 4096, 64
@@ -121,19 +121,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=False))
-        end = end_id.to_bytes(4, "little")
         for b in batches:
-            texts = b["text"].to_pylist()
-            for lo, hi in chunks(texts):
-                own, piece, length, crc = [], [], [], []
-                for i, raw in zip(range(lo, hi), enc.encode(texts[lo:hi]), strict=True):
-                    raw += end
-                    for k in range(0, len(raw), 4 * capacity):
-                        cell = raw[k : k + 4 * capacity]
+            for lo, hi in byte_chunks(b["text"]):
+                ids, n = enc.encode_ended(b["text"][lo:hi], end_id)
+                own, piece, length, crc, raw, at = [], [], [], [], memoryview(ids), 0
+                for i, k in zip(range(lo, hi), n.tolist(), strict=True):
+                    for j in range(0, k, capacity):
+                        size = min(capacity, k - j)
                         own.append(i)
-                        piece.append(k // (4 * capacity))
-                        length.append(len(cell) // 4)
-                        crc.append(zlib.crc32(cell))
+                        piece.append(j // capacity)
+                        length.append(size)
+                        crc.append(zlib.crc32(raw[at + j : at + j + size]))
+                    at += k
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"].take(at), b["th"].take(at), pa.array(piece, pa.int32()), pa.array([capacity * p for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
