@@ -159,31 +159,41 @@ def unpack_segment(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray,
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(part, seq, doc_id, n, before, ids): documents in ascending (doc_id, text hash) order, nulls first.
+    """(part, seq, doc_id, n, before, ids, counts): documents in ascending (doc_id, text hash) order, nulls first.
 
     Rows of one part are one contiguous range; before counts the part's ids before the row.  Ids are
-    stored as 16-bit cells where they fit.
+    stored as 16-bit cells where they fit.  A part's last row holds no document but counts: how often
+    each id occurs in the part.
     """
+    listed = pa.list_(pa.int64())
+    names = ["part", "seq", "doc_id", "n", "before", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq, before = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=True)), 0, 0
         wide = enc.t.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+        total, part = np.zeros(max(enc.t.get_vocab_size(), end_id + 1), "i8"), None
         for b in batches:
             for lo, hi in byte_chunks(b["text"]):
                 ids, n = enc.encode_ended(b["text"][lo:hi], end_id)
+                total += np.bincount(ids, minlength=len(total))
                 ids = ids if wide else ids.astype("<u2")
                 at = np.concatenate(([0], np.cumsum(n)))
                 cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + at[:-1]), cells],
-                    ["part", "seq", "doc_id", "n", "before", "ids"],
+                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + at[:-1]), cells, pa.nulls(hi - lo, listed)],
+                    names,
                 )
-                seq, before = seq + hi - lo, before + len(ids)
+                seq, before, part = seq + hi - lo, before + len(ids), b["part"][lo]
+        if part is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.as_py()], pa.int32()), pa.array([seq]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([before]), pa.nulls(1, pa.binary()), pa.array([total], listed)],
+                names,
+            )
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     d = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     d = d.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, before long, ids binary")
+    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, before long, ids binary, counts array<long>")
 
 
 def _ids(cell: bytes, n: int) -> np.ndarray:
@@ -192,23 +202,7 @@ def _ids(cell: bytes, n: int) -> np.ndarray:
 
 def frequencies(tokens: DataFrame) -> Table:
     """Counts over all documents; one row per id and task is shuffled, one per id reaches the driver (at most the vocabulary)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, "i8")
-        for b in batches:
-            # the cells of a batch lie side by side, all of one width
-            n = int(np.asarray(b["n"]).sum())
-            if not n:
-                continue
-            at = np.frombuffer(b["ids"].buffers()[1], "i4")[b["ids"].offset : b["ids"].offset + len(b["ids"]) + 1]
-            c = np.bincount(_ids(memoryview(b["ids"].buffers()[2])[at[0] : at[-1]], n))
-            if len(c) > len(total):
-                total = np.concatenate((total, np.zeros(len(c) - len(total), "i8")))
-            total[: len(c)] += c
-        i = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
-
-    rows = tokens.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -256,7 +250,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Table:
         if docs:
             yield flush()
 
-    tokens.mapInArrow(encode, "part int, seq long, start long, payload binary").write.option("compression", "none").parquet(path)
+    tokens.where("counts IS NULL").drop("counts").mapInArrow(encode, "part int, seq long, start long, payload binary").write.option("compression", "none").parquet(path)
     return t
 
 

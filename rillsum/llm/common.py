@@ -142,23 +142,21 @@ class TokenBytes:
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _word(self, p: str) -> bytes | None:
-        """Ids of a run of letters with or without a space before it; None for any other piece."""
+    def _word(self, p: str) -> str | None:
+        """A run of letters, with or without a space before it, in byte-level letters; None for any other piece."""
         led = p[0] == " "
         body = p[1:] if led else p
         if not body.isalpha():
             return None
         if body.isascii():
-            x = ("\u0120" + body if led else body) if self.spaced else body.lower()
+            return ("\u0120" + body if led else body) if self.spaced else body.lower()
+        if self.spaced:
+            body = p
         else:
-            if self.spaced:
-                body = p
-            else:
-                body = "".join([c.lower() for c in unicodedata.normalize("NFC", body)])  # letter by letter, as the tokenizer does
-                if not body.isalpha():
-                    return None
-            x = body.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
+            body = "".join([c.lower() for c in unicodedata.normalize("NFC", body)])  # letter by letter, as the tokenizer does
+            if not body.isalpha():
+                return None
+        return body.encode("utf-8").decode("latin-1").translate(self.letters)
 
     def _letter(self, c: str) -> bool:
         """Whether a mark after c starts a pre-token; lower case may end in a combining mark, which joins it."""
@@ -168,31 +166,29 @@ class TokenBytes:
         return c.isalpha() and c[-1].lower()[-1].isalpha()
 
     def _learn(self, missing: list[str]) -> None:
-        new, rest, ends, tails, marks = self.new, [], [], self.tails, self.ENDS
+        new, rest, ends, tails, marks, word, model = self.new, [], [], self.tails, self.ENDS, self._word, self.model.tokenize
         for p in missing:
-            q, tail = p, None
-            if not p[-1].isalpha():
-                q = p.rstrip(marks)
-                if q and self._letter(q[-1]):
-                    end = p[len(q) :]
-                    tail = tails.get(end)
-                    if tail is None:
-                        tail = self._whole([end])[0]
-                        if len(tails) < 100_000:
-                            tails[end] = tail
-                else:
-                    q = p
-            v = new.get(q)
-            if v is None:
-                v = self._word(q)
-                if v is None:
+            x = word(p)
+            if x is not None:
+                new[p] = array("I", [t.id for t in model(x)]).tobytes()
+                continue
+            q = p.rstrip(marks) if not p[-1].isalpha() else ""
+            if not q or q == p or not self._letter(q[-1]):
+                rest.append(p)
+                continue
+            end = p[len(q) :]
+            tail = tails.get(end)
+            if tail is None:
+                tail = self._whole([end])[0]
+                if len(tails) < 100_000:
+                    tails[end] = tail
+            if q not in new:
+                x = word(q)
+                if x is None:
                     rest.append(q)
-                    if tail is not None:
-                        ends.append((p, q, tail))
-                    continue
-                new[q] = v
-            if tail is not None:
-                new[p] = v + tail
+                else:
+                    new[q] = array("I", [t.id for t in model(x)]).tobytes()
+            ends.append((p, q, tail))
         for a in range(0, len(rest), 5000):
             part = rest[a : a + 5000]
             new.update(zip(part, self._whole(part), strict=True))
@@ -262,7 +258,7 @@ class TokenBytes:
         return [ids[e - k : e].tobytes() for e, k in zip(end, n, strict=True)]
 
 
-def byte_chunks(texts: pa.Array, limit: int = 4 << 20):
+def byte_chunks(texts: pa.Array, limit: int = 8 << 20):
     """Bounds of slices of an Arrow array of texts that hold about `limit` bytes, one text at least."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), "i8"))
     a = 0
