@@ -165,7 +165,6 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     stored as 16-bit cells where they fit.  A part's last row holds no document but counts: how often
     each id occurs in the part.
     """
-    listed = pa.list_(pa.int64())
     names = ["part", "seq", "doc_id", "n", "before", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +179,20 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(n)))
                 cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + at[:-1]), cells, pa.nulls(hi - lo, listed)],
+                    [b["part"][lo:hi], pa.array(np.arange(seq, seq + hi - lo)), b["doc_id"][lo:hi], pa.array(n), pa.array(before + at[:-1]), cells, pa.nulls(hi - lo, pa.binary())],
                     names,
                 )
                 seq, before, part = seq + hi - lo, before + len(ids), b["part"][lo]
         if part is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part.as_py()], pa.int32()), pa.array([seq]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([before]), pa.nulls(1, pa.binary()), pa.array([total], listed)],
+                [pa.array([part.as_py()], pa.int32()), pa.array([seq]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([before]), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
                 names,
             )
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     d = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     d = d.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, before long, ids binary, counts array<long>")
+    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, before long, ids binary, counts binary")
 
 
 def _ids(cell: bytes, n: int) -> np.ndarray:
@@ -202,7 +201,17 @@ def _ids(cell: bytes, n: int) -> np.ndarray:
 
 def frequencies(tokens: DataFrame) -> Table:
     """Counts over all documents; one row per id and task is shuffled, one per id reaches the driver (at most the vocabulary)."""
-    rows = tokens.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, "i8")
+        for b in batches:
+            for cell in b["counts"]:
+                c = np.frombuffer(cell.as_buffer(), "i8")
+                total = c + total if len(total) else c
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
+
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1)
     for r in rows:
         counts[r["id"]] = r["n"]

@@ -224,7 +224,7 @@ class TokenBytes:
         start = self._starts(raw, at)
         cuts = np.append(start, len(raw))
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
-        which, kinds = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
+        kinds = pieces.dictionary.to_pylist()
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         got = list(map(self.new.get, kinds))
@@ -236,12 +236,9 @@ class TokenBytes:
             self._learn([p for p in missing if p not in old] if again else missing)
             now = self.new
             got = [now[p] if x is None else x for p, x in zip(kinds, got, strict=True)]
-        size = np.fromiter(map(len, got), "i8", len(got)) >> 2
-        n, begin = size[which], np.cumsum(size) - size
-        end = np.concatenate(([0], np.cumsum(n)))
-        from_ = np.repeat(begin[which] - end[:-1], n)
-        from_ += np.arange(end[-1])
-        return np.frombuffer(b"".join(got), "<u4")[from_], np.diff(end[np.searchsorted(start, at)])
+        cells = pa.array(got, pa.large_binary()).take(pieces.indices)
+        end = np.frombuffer(cells.buffers()[1], "i8", len(cells) + 1) >> 2
+        return np.frombuffer(cells.buffers()[2], "<u4", int(end[-1])), np.diff(end[np.searchsorted(start, at)])
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode_array, with end_id after each text."""
