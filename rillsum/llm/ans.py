@@ -27,6 +27,7 @@ LANES, BLOCK, INTERVAL = 64, 1 << 15, 128
 SEGMENT = 1 << 20
 HEAD = "<4sIIQII"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
+COUNT = np.dtype([("id", "<u4"), ("n", "<i8")])
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -184,8 +185,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
                 seq, before, part = seq + hi - lo, before + len(ids), b["part"][lo]
         if part is not None:
+            seen = np.flatnonzero(total)
+            counts = np.empty(len(seen), COUNT)
+            counts["id"], counts["n"] = seen, total[seen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part.as_py()], pa.int32()), pa.array([seq]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([before]), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
+                [pa.array([part.as_py()], pa.int32()), pa.array([seq]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([before]), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())],
                 names,
             )
 
@@ -206,8 +210,11 @@ def frequencies(tokens: DataFrame) -> Table:
         total = np.zeros(0, "i8")
         for b in batches:
             for cell in b["counts"]:
-                c = np.frombuffer(cell.as_buffer(), "i8")
-                total = c + total if len(total) else c
+                c = np.frombuffer(cell.as_buffer(), COUNT)
+                more = int(c["id"].max(initial=-1)) + 1 - len(total)
+                if more > 0:
+                    total = np.concatenate((total, np.zeros(more, "i8")))
+                total[c["id"]] += c["n"]
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["id", "n"])
 
