@@ -211,7 +211,7 @@ def frequencies(tokens: DataFrame) -> Table:
         for b in batches:
             for cell in b["counts"]:
                 c = np.frombuffer(cell.as_buffer(), COUNT)
-                more = int(c["id"].max(initial=-1)) + 1 - len(total)
+                more = int(c["id"][-1]) + 1 - len(total)  # ascending, and the end id at least
                 if more > 0:
                     total = np.concatenate((total, np.zeros(more, "i8")))
                 total[c["id"]] += c["n"]
