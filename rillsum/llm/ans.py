@@ -184,6 +184,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     names,
                 )
                 seq, before, part = seq + hi - lo, before + len(ids), b["part"][lo]
+        enc.rest()
         if part is not None:
             seen = np.flatnonzero(total)
             counts = np.empty(len(seen), COUNT)

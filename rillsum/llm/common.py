@@ -238,8 +238,6 @@ class TokenBytes:
             got = [now[p] if x is None else x for p, x in zip(kinds, got, strict=True)]
         cells = pa.array(got, pa.large_binary()).take(pieces.indices)
         end = np.frombuffer(cells.buffers()[1], "i8", len(cells) + 1) >> 2
-        del pieces, raw
-        pa.default_memory_pool().release_unused()  # else a worker keeps the most that any chunk took
         return np.frombuffer(cells.buffers()[2], "<u4", int(end[-1])), np.diff(end[np.searchsorted(start, at)])
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +249,18 @@ class TokenBytes:
         out[own], out[~own] = ids, end_id
         return out, n
 
+    @staticmethod
+    def rest() -> None:
+        """At the end of a task: else the worker keeps the most that any chunk took."""
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, n = self.encode_array(pa.array(texts, pa.string()))
         end = np.cumsum(n)
         return [ids[e - k : e].tobytes() for e, k in zip(end, n, strict=True)]
 
 
-def byte_chunks(texts: pa.Array, limit: int = 4 << 20):
+def byte_chunks(texts: pa.Array, limit: int = 8 << 20):
     """Bounds of slices of an Arrow array of texts that hold about `limit` bytes, one text at least."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), "i8"))
     a = 0

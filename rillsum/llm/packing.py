@@ -138,6 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                     [b["doc_id"].take(at), b["th"].take(at), pa.array(piece, pa.int32()), pa.array([capacity * p for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "th", "piece", "start", "length", "crc"],
                 )
+        enc.rest()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
     return d.mapInArrow(run, "doc_id long, th long, piece int, start long, length long, crc long")
