@@ -132,7 +132,9 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                             count.append(len(w))
                 if not doc:
                     continue
-                u = np.fromiter(map(known.__getitem__, flat), "u8", len(flat))
+                words = pa.array(flat, pa.string()).dictionary_encode()
+                kinds = words.dictionary.to_pylist()
+                u = np.fromiter(map(known.__getitem__, kinds), "u8", len(kinds))[np.asarray(words.indices)]
                 n = np.array(count)
                 at = np.concatenate(([0], np.cumsum(n)[:-1]))
                 pair = (u[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (u[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
