@@ -1,7 +1,8 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, verified edit similarity.
+"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, phrases, verified edit similarity.
 
 A line's fingerprint is cut in 5 blocks; lines within 3 bits agree in 2 blocks at least, so the 10 pairs
-of blocks are the join keys.  Candidates that meet are verified by edit similarity, and of each
+of blocks are join keys.  Lines that share text but not the fingerprint meet by 10 min-wise chosen
+phrases of three words.  Candidates that meet are verified by edit similarity, and of each
 connected group the first occurrence in (doc_id, text hash, line number) order stays.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -20,6 +22,10 @@ from rillsum.llm.graph import components, run_edges
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.8
 #: Lines of fewer words are ordinary speech repeated by chance; they are never removed.
 MIN_WORDS = 10
+#: Min-wise phrases of a line, and the fingerprint bits in which lines that share one may differ.
+PHRASES, FAR = 10, 26
+#: Lines of fewer words also choose among their word pairs; phrases of fewer letters are chosen last.
+SHORT_LINE, SHORT_PHRASE = 12, 12
 BITMAP = 1 << 24
 
 
@@ -77,7 +83,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """1 - distance / longer length >= least.
 
     Long lines are first compared by words: so many word edits, each at the price of the longest word,
-    prove similarity.  Character counts may disprove it.  Else the distance decides.
+    prove similarity.  Counts of characters and of runs of three, of which an edit takes three at most,
+    may disprove it.  Else the distance decides.
     """
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
@@ -90,17 +97,55 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
         p, q = Counter(a), Counter(b)
         if max((p - q).total(), (q - p).total()) > most:
             return False
+    if n > 30 and (threes(a) & threes(b)).total() < n - 2 - 3 * most:
+        return False
     return edit_within(a, b, most)
 
 
+@lru_cache(4096)
+def threes(s: str) -> Counter:
+    return Counter(map("".join, zip(s, s[1:], s[2:], strict=False)))
+
+
 def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def phrases(u, pair, letters, at, n):
+    """32-bit min-wise phrases of lines, PHRASES of each: u, pair, letters of the words, at and n of the lines.
+
+    Phrases are three words; short lines choose among pairs too, and a line of one word has that word.
+    """
+    import numpy as np
+
+    third = np.concatenate((u[2:], np.zeros(2, "u8")))[: len(u)]
+    three = (pair ^ (third * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9FB21C651E98DF25)
+    three ^= three >> np.uint64(32)
+    left = np.repeat(at + n, n) - np.arange(len(u))  # words from here to the end of the line
+    own = np.repeat(n, n)
+    after = np.concatenate((letters[1:], [0, 0]))
+    short2 = letters + after[: len(u)]
+    short3 = short2 + after[1 : len(u) + 1]
+    two = np.where(own == 1, u, pair)
+    two = two ^ (two >> np.uint64(32))
+    at2 = np.flatnonzero((own < SHORT_LINE) & ((left > 1) | (own == 1)))
+    at3 = left > 2
+    out = np.empty((len(n), PHRASES), "u4")
+    for k in range(PHRASES):
+        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+        v = ((three * odd) >> np.uint64(33)).astype("u4") | ((short3 < SHORT_PHRASE).astype("u4") << np.uint32(31))
+        v[~at3] = 0xFFFFFFFF
+        w = ((two[at2] * odd) >> np.uint64(33)).astype("u4") | ((short2[at2] < SHORT_PHRASE).astype("u4") << np.uint32(31))
+        v[at2] = np.minimum(v[at2], w)
+        out[:, k] = np.minimum.reduceat(v, at)
+    return out
+
+
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, line, h, fp): lines with at least min_words words; h is the 128-bit hash of the normal form.
+    """(doc_id, th, line, h, fp, size, ph): lines with at least min_words words; h is the 128-bit hash of the normal form.
 
     The SimHash weighs words that hold a letter or digit and word pairs of the normal form alike.
+    size: characters of the normal form; ph: its phrases, as 32-bit integers.
     """
     import numpy as np
     import pyarrow as pa
@@ -120,14 +165,16 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             texts = b["text"].to_pylist()
             for lo, hi in chunks(texts, 1 << 20):
-                doc, no, h, flat, count = [], [], [], [], []
+                doc, no, h, flat, count, size = [], [], [], [], [], []
                 for i in range(lo, hi):
                     for k, line in enumerate(texts[i].split("\n")):
                         w = WORD.findall(line.lower())
                         if len(w) >= min_words:
                             doc.append(i)
                             no.append(k)
-                            h.append(xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")))
+                            norm = " ".join(w)
+                            h.append(xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
+                            size.append(len(norm))
                             flat.extend(w)
                             count.append(len(w))
                 if not doc:
@@ -135,20 +182,22 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 u = np.fromiter(map(known.__getitem__, flat), "u8", len(flat))
                 n = np.array(count)
                 at = np.concatenate(([0], np.cumsum(n)[:-1]))
-                pair = (u[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (u[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+                follow = np.concatenate((u[1:], [np.uint64(0)]))
+                pair = (u * np.uint64(0x9E3779B97F4A7C15)) ^ (follow * np.uint64(0xC2B2AE3D27D4EB4F))
                 pair ^= pair >> np.uint64(29)
                 pair *= np.uint64(0xBF58476D1CE4E5B9)
+                ph = phrases(u, pair, np.fromiter(map(len, flat), "i8", len(flat)), at, n)
                 bits = np.unpackbits(u.astype(">u8").view("u1").reshape(-1, 8), axis=1)
                 ones = np.add.reduceat(bits, at, axis=0, dtype="i4")
-                pbits = np.unpackbits(np.concatenate((pair, [np.uint64(0)])).astype(">u8").view("u1").reshape(-1, 8), axis=1)
+                pbits = np.unpackbits(pair.astype(">u8").view("u1").reshape(-1, 8), axis=1)
                 pbits[at + n - 1] = 0  # a pair doesn't reach into the next line
                 ones += np.add.reduceat(pbits, at, axis=0, dtype="i4")
                 said = np.add.reduceat((u != 0).astype("i8"), at)
                 fp = np.packbits(2 * ones > (said + n - 1)[:, None], axis=1).view(">u8").ravel().astype("u8").view("i8")
                 own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["th"].take(own), pa.array(no, pa.int32()), pa.array(h, pa.binary()), pa.array(fp)], ["doc_id", "th", "line", "h", "fp"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["th"].take(own), pa.array(no, pa.int32()), pa.array(h, pa.binary()), pa.array(fp), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in ph.astype("<u4")], pa.binary())], ["doc_id", "th", "line", "h", "fp", "size", "ph"])
 
-    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, fp long")
+    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, fp long, size int, ph binary")
 
 
 def block_keys(fps: DataFrame) -> DataFrame:
@@ -162,8 +211,61 @@ def block_keys(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*pairs)).alias("key"), "fp", F.lit(True).alias("base"))
 
 
+def phrase_groups(kinds: DataFrame) -> DataFrame:
+    """(node, root) of fingerprints that share a phrase, root, with a line of like length within FAR bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ph = np.frombuffer(b"".join(b["ph"].to_pylist()), "<u4").reshape(-1, PHRASES)
+                key = ph.astype("i8") | (np.arange(PHRASES, dtype="i8") << 32)
+                row = pa.array(np.repeat(np.arange(b.num_rows), PHRASES))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b["fp"].take(row), b["size"].take(row)], ["key", "fp", "size"])
+
+    def near(f, g, m, n):
+        return (np.bitwise_count(f ^ g) <= FAR) & (np.abs(m - n) <= (1 - SIMILARITY) * np.maximum(m, n) + 1e-9)
+
+    def flush(k, f, n):
+        cut = np.flatnonzero(np.diff(k)) + 1
+        start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
+        on, most = np.zeros(len(k), bool), int((end - start).max())
+        for d in range(1, min(most, 32)):
+            hit = np.flatnonzero((k[d:] == k[:-d]) & near(f[d:], f[:-d], n[d:], n[:-d]))
+            on[hit] = on[hit + d] = True
+        for s, e in zip(start[end - start > 32], end[end - start > 32], strict=True):
+            for i in range(s, e):  # a row with a partner nearby needs no further look
+                if not on[i]:
+                    hit = near(f[s:e], f[i], n[s:e], n[i])
+                    hit[i - s] = False
+                    if hit.any():
+                        on[i] = True
+                        on[s:e] |= hit
+        return pa.RecordBatch.from_arrays([pa.array(f[on].view("i8")), pa.array(k[on])], ["node", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of the run that is not complete
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, f, n = np.asarray(b["key"]), np.asarray(b["fp"]).view("u8"), np.asarray(b["size"])
+            last = int(np.searchsorted(k, k[-1]))
+            if held and (last or held[0][0][0] != k[0]):
+                yield flush(*map(np.concatenate, zip(*held, (k[:last], f[:last], n[:last]), strict=True)))
+                held = []
+            elif last:
+                yield flush(k[:last], f[:last], n[:last])
+            held.append((k[last:], f[last:], n[last:]))
+        if held:
+            yield flush(*map(np.concatenate, zip(*held, strict=True)))
+
+    keyed = kinds.select("ph", "fp", "size").mapInArrow(explode, "key long, fp long, size int")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, root long").distinct()
+
+
 def verified(texts: DataFrame) -> DataFrame:
-    """(a, b) line hashes: a spanning forest of the verified links; texts: (root, h, fp, line_text)."""
+    """(a, b) line hashes: a spanning forest of the verified links of each root; texts: (root, h, fp, norm)."""
     import numpy as np
     import pyarrow as pa
 
@@ -176,7 +278,7 @@ def verified(texts: DataFrame) -> DataFrame:
                 todo, left = [left[0]], left[1:]
                 while todo and len(left):
                     x = todo.pop()
-                    near = left[np.bitwise_count(fp[left] ^ fp[x]) <= DISTANCE]
+                    near = left[np.bitwise_count(fp[left] ^ fp[x]) <= FAR]
                     hit = [y for y in near if similar(rows[x][2], rows[y][2])]
                     if hit:
                         left = np.setdiff1d(left, hit, assume_unique=True)
@@ -197,11 +299,11 @@ def verified(texts: DataFrame) -> DataFrame:
         if rows and (out := flush(rows)) is not None:
             yield out
 
-    return texts.select("root", "h", "fp", "norm").repartition("root").sortWithinPartitions("root", "h").mapInArrow(run, "a binary, b binary")
+    return texts.select("root", "h", "fp", "norm").repartition("root").sortWithinPartitions("root", "h").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(h, norm) of the wanted line hashes, from the document where each stands first.
+    """(h, norm, root, fp) of the wanted line hashes, from the document where each stands first.
 
     Fixed-size bitmaps, 2 MB each, of those documents and of the hashes thin the scan.
     """
@@ -246,7 +348,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
 
     got = keyed_docs(docs).select("text", F.pmod(doc, F.lit(BITMAP)).alias("slot")).mapInArrow(run, "h binary, norm string")
-    return got.join(wanted.select("root", "h", "fp"), "h").dropDuplicates(["h"])
+    return got.dropDuplicates(["h"]).join(wanted.select("root", "h", "fp"), "h")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -255,13 +357,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Da
     Rows that agree in doc_id and text are one document: their lines are dropped or kept together.
     """
     t = written(lines(docs, min_words), "lines")
-    kinds = t.groupBy("h").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
-    kinds = written(kinds.select("h", "fp", "n", "at.doc_id", "at.th"), "kinds")
+    kinds = t.groupBy("h").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("ph").alias("ph"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
+    kinds = written(kinds.select("h", "fp", "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
     edges = run_edges(block_keys(kinds.select("fp").distinct()), DISTANCE)
     comp = written(components(edges), "comps")
-    # candidate groups hold two kinds at least: linked fingerprints, or kinds that share one
+    # candidate groups hold two kinds at least: linked fingerprints, kinds that share one, or phrases in common
     shared = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    member = written(comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")), "members")
+    member = comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")).unionByName(phrase_groups(kinds))
+    member = written(member, "members")
     wanted = written(kinds.join(member, F.col("fp") == F.col("node")).select("root", "h", "fp", "doc_id", "th"), "wanted")
     texts = written(_texts(docs, wanted, min_words), "texts")
     links = components(verified(texts))

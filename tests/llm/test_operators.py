@@ -352,3 +352,20 @@ def test_op10(spark, empty):
         assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
     assert langid.digest(empty).collect() == []
     assert {r.lang_pred for r in langid.digest(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_op7_finds_what_brute_force_finds(spark):
+    rng = random.Random(11)
+    vocab = ["the", "of", "and", "to"] * 20 + ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(4, 10))) for _ in range(600)]
+    data = []
+    for k in range(120):
+        line = [rng.choice(vocab) for _ in range(rng.choice([10, 14, 25, 60]))]
+        near = list(line)
+        for i in rng.sample(range(len(line)), max(1, int(len(line) * rng.choice([0, 0.05, 0.12])))):
+            near[i] = rng.choice(vocab)
+        data += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
+    pairs = [k for k in range(0, 240, 2) if levenshtein(data[k][1], data[k + 1][1]) <= 0.2 * max(len(data[k][1]), len(data[k + 1][1]))]
+    got = {r.doc_id: r.n_lines_dropped for r in fuzzylines.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(got[k + 1] for k in pairs)
+    assert len(pairs) > 80 and found >= 0.97 * len(pairs)
+    assert sum(got.values()) == found
