@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillsum.llm import fuzzylines, mixing, packing, simhash, toxicity
+from rillsum.llm import fuzzylines, mixing, nearcopies, packing, toxicity
 from rillsum.llm.common import table, written
 
 
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.unique(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8."""
+    return nearcopies.unique(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

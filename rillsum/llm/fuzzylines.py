@@ -211,8 +211,8 @@ def block_keys(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*pairs)).alias("key"), "fp", F.lit(True).alias("base"))
 
 
-def phrase_groups(kinds: DataFrame) -> DataFrame:
-    """(node, root) of fingerprints that share a phrase, root, with a line of like length within FAR bits."""
+def phrase_groups(kinds: DataFrame, least: float = SIMILARITY, far: int = FAR) -> DataFrame:
+    """(node, root) of fingerprints that share a phrase, root, with another of like size within far bits."""
     import numpy as np
     import pyarrow as pa
 
@@ -225,7 +225,7 @@ def phrase_groups(kinds: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b["fp"].take(row), b["size"].take(row)], ["key", "fp", "size"])
 
     def near(f, g, m, n):
-        return (np.bitwise_count(f ^ g) <= FAR) & (np.abs(m - n) <= (1 - SIMILARITY) * np.maximum(m, n) + 1e-9)
+        return (np.bitwise_count(f ^ g) <= far) & (np.abs(m - n) <= (1 - least) * np.maximum(m, n) + 1e-9)
 
     def flush(k, f, n):
         cut = np.flatnonzero(np.diff(k)) + 1

@@ -1,0 +1,126 @@
+"""Near-duplicate documents: min-wise bands of five-word shingles, verified Jaccard similarity.
+
+Ten bands of three minima meet at a similarity of 0.8 with a chance of 0.999; what meets is verified
+by the Jaccard similarity of the complete shingle sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rillsum.llm.common import WORD, written
+from rillsum.llm.fuzzylines import PHRASES as BANDS
+from rillsum.llm.fuzzylines import phrase_groups
+from rillsum.llm.graph import components
+from rillsum.llm.simhash import LOWER
+
+SHINGLE, ROWS, SIMILARITY, SEED = 5, 3, 0.8, 43
+
+
+def shingles(text: str | None, n: int = SHINGLE):
+    """(normal form in bytes, sorted distinct 64-bit hashes of its shingles); a short text is one shingle, none is empty."""
+    import re
+
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(WORD.pattern.encode(), (text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    raw = b" ".join(words)
+    if not words:
+        return raw, np.empty(0, "u8")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-n] + 1).tolist()] if len(words) > n else [0]
+    last = ends[n - 1 :].tolist() if len(words) > n else [len(raw)]
+    return raw, np.unique(np.fromiter((xxh64_intdigest(raw[s:e], SEED) for s, e in zip(starts, last, strict=True)), "u8", len(starts)))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, fp, size, ph): fp is the hash of the normal form (0: no word), size counts shingles, ph holds the bands."""
+    import numpy as np
+    import pyarrow as pa
+
+    odd = (np.arange(1, 2 * BANDS * ROWS, 2, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            fp, size, ph = np.zeros(b.num_rows, "u8"), np.zeros(b.num_rows, "i4"), [None] * b.num_rows
+            for i, t in enumerate(b["text"]):
+                raw, h = shingles(t.as_py())
+                if not len(h):
+                    continue
+                h = h ^ (h >> np.uint64(32))
+                least = np.array([(h * k).min() for k in odd])
+                fp[i], size[i] = xxh64_intdigest(raw, SEED), len(h)
+                ph[i] = np.array([xxh64_intdigest(r.tobytes(), SEED) for r in least.reshape(BANDS, ROWS)], "u8").astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(fp.view("i8")), pa.array(size), pa.array(ph, pa.binary())], ["doc_id", "th", "fp", "size", "ph"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    return d.mapInArrow(run, "doc_id long, th long, fp long, size int, ph binary")
+
+
+def links(member: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b) of fp: a spanning forest of the links at a Jaccard similarity of least within each root; member: (root, fp), texts: (fp, text)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingles(t.as_py())[1].tobytes() for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array(s, pa.binary())], ["fp", "shingles"])
+
+    def flush(rows):
+        left, a, b = dict(rows), [], []
+        while len(left) > 1:
+            todo = [left.popitem()]
+            while todo and left:
+                f, x = todo.pop()
+                hit = []
+                for g, y in left.items():
+                    n, m = len(x), len(y)
+                    if min(n, m) >= least * max(n, m) - 1e-9:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both >= least * (n + m - both) - 1e-9:
+                            hit.append(g)
+                todo.extend([(g, left.pop(g)) for g in hit])
+                a += hit
+                b += [f] * len(hit)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, rows = None, []
+        for b in batches:
+            for r, f, s in zip(b["root"].to_pylist(), b["fp"].to_pylist(), b["shingles"], strict=True):
+                if r != root:
+                    if len(rows) > 1:
+                        yield flush(rows)
+                    root, rows = r, []
+                rows.append((f, np.frombuffer(s.as_py(), "u8")))
+        if len(rows) > 1:
+            yield flush(rows)
+
+    once = texts.select("fp", "text").mapInArrow(hashed, "fp long, shingles binary").dropDuplicates(["fp"])
+    dealt = member.join(written(once, "sets"), "fp").select("root", "fp", "shingles").repartition("root").sortWithinPartitions("root", "fp")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """docs less all rows but one of each group: the one with the least (doc_id, text hash), null doc_ids last.
+
+    Groups are the connected components of similar documents; texts without a word are one group.
+    """
+    prints = written(signed(docs), "signed")
+    kinds = written(prints.where("size > 0").groupBy("fp").agg(F.min("size").alias("size"), F.min("ph").alias("ph"), F.min("th").alias("th")), "kinds")
+    member = written(phrase_groups(kinds, SIMILARITY, 64).withColumnRenamed("node", "fp"), "members")
+    wanted = written(kinds.select("fp", "th").join(member.select("fp").distinct(), "fp"), "wanted")
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").join(wanted, "th")
+    comp = components(written(links(member, texts), "links"))
+    g = prints.select("doc_id", "th", "fp").join(written(comp, "comps"), F.col("fp") == F.col("node"), "left")
+    best = g.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    keep = written(best.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th")), "kept")
+    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return d.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi").drop("__th")
