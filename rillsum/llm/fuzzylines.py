@@ -20,8 +20,10 @@ from rillsum.llm.common import WORD, chunks, kept_in_worker, written
 from rillsum.llm.graph import components, run_edges
 
 DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.8
-#: Lines of fewer words are ordinary speech repeated by chance; they are never removed.
-MIN_WORDS = 10
+#: Lines whose normal form has fewer characters are ordinary speech repeated by chance; they are never removed.
+MIN_CHARS = 6
+#: A line with more characters a word is read as pairs of characters, as scripts without spaces need.
+WIDE_WORD = 16
 #: Min-wise phrases of a line, and the fingerprint bits in which lines that share one may differ.
 PHRASES, FAR = 10, 26
 #: Lines of fewer words also choose among their word pairs; phrases of fewer letters are chosen last.
@@ -33,6 +35,11 @@ def normal(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
+def tokens(norm: str, words: list[str]) -> list[str]:
+    """The words of a line, or all its pairs of characters if its words are very long."""
+    return words if len(norm) <= WIDE_WORD * len(words) else [norm[i : i + 2] for i in range(len(norm) - 1)]
+
+
 def _common(a, b) -> int:
     """Length of the common prefix, by halving slices."""
     lo, hi = 0, min(len(a), len(b))
@@ -141,8 +148,8 @@ def phrases(u, pair, letters, at, n):
     return out
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, line, h, fp, size, ph): lines with at least min_words words; h is the 128-bit hash of the normal form.
+def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, th, line, h, fp, size, ph): lines with at least min_chars characters in normal form; h is the 128-bit hash of the normal form.
 
     The SimHash weighs words that hold a letter or digit and word pairs of the normal form alike.
     size: characters of the normal form; ph: its phrases, as 32-bit integers.
@@ -169,10 +176,11 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for i in range(lo, hi):
                     for k, line in enumerate(texts[i].split("\n")):
                         w = WORD.findall(line.lower())
-                        if len(w) >= min_words:
+                        norm = " ".join(w)
+                        if len(norm) >= min_chars:
+                            w = tokens(norm, w)
                             doc.append(i)
                             no.append(k)
-                            norm = " ".join(w)
                             h.append(xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
                             size.append(len(norm))
                             flat.extend(w)
@@ -302,7 +310,7 @@ def verified(texts: DataFrame) -> DataFrame:
     return texts.select("root", "h", "fp", "norm").repartition("root").sortWithinPartitions("root", "h").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """(h, norm, root, fp) of the wanted line hashes, from the document where each stands first.
 
     Fixed-size bitmaps, 2 MB each, of those documents and of the hashes thin the scan.
@@ -335,8 +343,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             for text in b["text"].take(pa.array(np.flatnonzero(on))).to_pylist():
                 for line in text.split("\n"):
                     w = WORD.findall(line.lower())
-                    if len(w) >= min_words:
-                        norm = " ".join(w)
+                    norm = " ".join(w)
+                    if len(norm) >= min_chars:
                         d = xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
                         x = xxh64_intdigest(d, 42)
                         s = (x - (1 << 64) if x >> 63 else x) % size
@@ -351,12 +359,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return got.dropDuplicates(["h"]).join(wanted.select("root", "h", "fp"), "h")
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """((doc_id, th, line) of the lines to drop, the table of all lines).
 
     Rows that agree in doc_id and text are one document: their lines are dropped or kept together.
     """
-    t = written(lines(docs, min_words), "lines")
+    t = written(lines(docs, min_chars), "lines")
     kinds = t.groupBy("h").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("ph").alias("ph"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
     kinds = written(kinds.select("h", "fp", "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
     edges = run_edges(block_keys(kinds.select("fp").distinct()), DISTANCE)
@@ -366,7 +374,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Da
     member = comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")).unionByName(phrase_groups(kinds))
     member = written(member, "members")
     wanted = written(kinds.join(member, F.col("fp") == F.col("node")).select("root", "h", "fp", "doc_id", "th"), "wanted")
-    texts = written(_texts(docs, wanted, min_words), "texts")
+    texts = written(_texts(docs, wanted, min_chars), "texts")
     links = components(verified(texts))
     links = written(links, "links")
     # only kinds that repeat or are linked can lose a line
@@ -379,12 +387,12 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Da
     return written(drop, "drop"), t
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines_dropped beside it.
 
     Null texts stay null, texts without a dropped line are untouched, and no row is removed.
     """
-    drop, _ = removals(docs, min_words)
+    drop, _ = removals(docs, min_chars)
     per = written(drop.groupBy(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th")).agg(F.collect_list("line").alias("gone")), "gone")
     d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     d = d.join(per, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("__th") == F.col("d_th")), "left")

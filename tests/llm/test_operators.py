@@ -369,3 +369,10 @@ def test_op7_finds_what_brute_force_finds(spark):
     found = sum(got[k + 1] for k in pairs)
     assert len(pairs) > 80 and found >= 0.97 * len(pairs)
     assert sum(got.values()) == found
+
+
+def test_op7_short_lines_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60))
+    data = [(1, f"Read more here\n{han}\nok"), (2, f"READ  more here\nok\n{han}"), (3, han[:30] + "漢" + han[31:])]
+    out = {r.doc_id: r.text for r in fuzzylines.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == {1: data[0][1], 2: "ok", 3: ""}
