@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from rillsum.llm.common import TokenBytes, byte_chunks, kept_in_worker, text_or_empty, written
 
 CAPACITY = 2048
-BLOCK, FAN = 4096, 64
+#: Items of a block, and about the most of a coarser one.
+BLOCK, COARSE = 4096, 65_536
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
 #: A bin with at most so many free places is settled where it is.
 SETTLED = 8
@@ -181,7 +182,14 @@ def _evolved(blocks: DataFrame, elites: DataFrame | None, epoch: int, capacity:
     return on.select("block", "island", "size", "elites").mapInArrow(run, "block long, island int, elite binary, bins long, worth double")
 
 
-def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int, last: bool) -> DataFrame:
+def sequence_ids(level: int, block: int, bins):
+    """Ids of the bins of a block, without clashes: 5 bits of level, 25 of block and 32 of bin below 2^62, where whole pieces begin."""
+    if level >> 5 or block >> 25 or (len(bins) and int(bins.max()) >> 32):
+        raise OverflowError(f"no sequence id for level {level}, block {block}")
+    return (level << 57) | (block << 32) | bins
+
+
+def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int) -> DataFrame:
     """Rows of ITEM with block, sequence_id, offset and settled."""
     import numpy as np
     import pyarrow as pa
@@ -193,6 +201,7 @@ def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int, last: b
             for i in range(b.num_rows):
                 items, block = b["items"][i].values, b["block"][i].as_py()
                 bins = np.frombuffer(b["elite"][i].as_py(), "<i4").astype("i8")
+                ids = sequence_ids(level, block, bins)
                 size = np.asarray(items.field("length"))
                 order = np.argsort(bins, kind="stable")
                 run_ = np.cumsum(size[order]) - size[order]
@@ -200,9 +209,9 @@ def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int, last: b
                 base = np.concatenate(([0], np.cumsum(used)[:-1]))
                 offset = np.empty(len(size), "i8")
                 offset[order] = run_ - base[bins[order]]
-                settled = np.ones(len(size), bool) if last else used[bins] >= capacity - SETTLED
+                settled = used[bins] >= capacity - SETTLED
                 yield pa.RecordBatch.from_arrays(
-                    [items.field(c) for c in names] + [pa.array(np.full(len(size), block)), pa.array((level << 56) | (block << 16) | bins), pa.array(offset), pa.array(settled)],
+                    [items.field(c) for c in names] + [pa.array(np.full(len(size), block)), pa.array(ids), pa.array(offset), pa.array(settled)],
                     [*names, "block", "sequence_id", "offset", "settled"],
                 )
 
@@ -229,12 +238,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for epoch in range(EPOCHS):
             elites = written(_evolved(held, elites, epoch, capacity), "elites")
         best = elites.groupBy("block").agg(F.min(F.struct("bins", "worth", "island", "elite")).alias("b")).select("block", F.col("b.elite").alias("elite"))
-        laid = written(_laid(held, best, level, capacity, blocks == 1), "laid")
-        out.append(laid.where("settled").select(*fields, "sequence_id", "offset"))
-        if blocks == 1:
+        laid = written(_laid(held, best, level, capacity), "laid")
+        left = -(-laid.where("NOT settled").count() // COARSE) if blocks > 1 else 0
+        if not left or left >= blocks:  # no coarser level would help: all bins stay as they are
+            out.append(laid.select(*fields, "sequence_id", "offset"))
             break
-        rows = laid.where("NOT settled").select(F.floor(F.col("block") / FAN).cast("long").alias("block"), *fields)
-        blocks, level = -(-blocks // FAN), level + 1
+        out.append(laid.where("settled").select(*fields, "sequence_id", "offset"))
+        rows = laid.where("NOT settled").select(F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(left)).alias("block"), *fields)
+        blocks, level = left, level + 1
     got = out[0]
     for x in out[1:]:
         got = got.unionByName(x)

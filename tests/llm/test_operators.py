@@ -376,3 +376,18 @@ def test_op7_short_lines_and_scripts_without_spaces(spark):
     data = [(1, f"Read more here\n{han}\nok"), (2, f"READ  more here\nok\n{han}"), (3, han[:30] + "漢" + han[31:])]
     out = {r.doc_id: r.text for r in fuzzylines.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert out == {1: data[0][1], 2: "ok", 3: ""}
+
+
+def test_op8_ids_of_large_blocks(spark, monkeypatch):
+    ids = np.concatenate([packing.sequence_ids(1, b, np.arange(70_000)) for b in (0, 1)])
+    assert len(np.unique(ids)) == 140_000 and ids.max() < 1 << 62
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    monkeypatch.setattr(packing, "COARSE", 128, raising=False)
+    rng = random.Random(6)
+    parts = [(i, i, 0, 0, rng.randrange(1100, 1900), i) for i in range(1000)]
+    got = packing.pack(spark.createDataFrame(parts, packing.ITEM)).collect()
+    bins = Counter(r.sequence_id for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and set(bins.values()) == {1}
+    level = max(x >> 57 for x in bins)
+    blocks = Counter(x >> 32 & 0x1FFFFFF for x in bins if x >> 57 == level)
+    assert level == 1 and len(blocks) == 8 and max(blocks.values()) < 200
