@@ -41,7 +41,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    return packing.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digest(docs, public_tokenizers.path("word_bpe_49k.json"), specials=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -159,7 +159,7 @@ def unpack_segment(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray,
     return [int(r["id"]) if r["has"] else None for r in rec], rec["n"].astype("i8"), ids
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, specials: bool = False) -> DataFrame:
     """(part, seq, doc_id, n, before, ids, counts): documents in ascending (doc_id, text hash) order, nulls first.
 
     Rows of one part are one contiguous range; before counts the part's ids before the row.  Ids are
@@ -169,7 +169,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     names = ["part", "seq", "doc_id", "n", "before", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq, before = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=True)), 0, 0
+        enc, seq, before = kept_in_worker((tokenizer, specials), lambda: TokenBytes(tokenizer, spaced=True, specials=specials)), 0, 0
         wide = enc.t.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         total, part = np.zeros(max(enc.t.get_vocab_size(), end_id + 1), "i8"), None
         for b in batches:
@@ -226,14 +226,14 @@ def frequencies(tokens: DataFrame) -> Table:
     return Table(scaled(counts))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Table:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, specials: bool = False) -> Table:
     """Tokenises, counts, and writes segments (part, seq, start, payload) as Parquet at path.
 
     Null text counts as empty, so every document has its end id; a null doc_id sorts first and stays
     null.  Repeated rows are written as often as they occur.  An empty table writes no segment.
     """
     spark = docs.sparkSession
-    tokens = written(tokenised(docs, tokenizer, end_id), "tokens")
+    tokens = written(tokenised(docs, tokenizer, end_id, specials), "tokens")
     release(spark)
     t = frequencies(tokens)
     per = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per task
@@ -291,8 +291,8 @@ def read(spark: SparkSession, path: str, table: Table, ids: bool = True) -> Data
     return spark.read.parquet(path).select("start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
-def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, specials: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents, from the files written for them."""
     path = scratch(spark, "segments")
-    t = write(docs, path, tokenizer, end_id)
+    t = write(docs, path, tokenizer, end_id, specials)
     return read(spark, path, t, ids=False)

@@ -112,7 +112,8 @@ class TokenBytes:
     text are the ids of its pieces in order.  The pieces of a chunk are cut and numbered by numpy and
     Arrow, and each distinct piece is tokenised once per worker while it stays in the cache.  spaced:
     a leading space counts (byte-level BPE); else white space is dropped.  The cache holds two
-    generations of `limit` pieces; the older one goes when the newer is full.
+    generations of `limit` pieces; the older one goes when the newer is full.  specials: a special token
+    that stands literally in a text gets its own id, as the tokenizer does by default; else it is text.
     """
 
     #: A run of other characters with one space before it; white space up to its last character; the rest.
@@ -122,7 +123,7 @@ class TokenBytes:
     #: A run of these after a letter is a pre-token of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000, specials: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,6 +131,8 @@ class TokenBytes:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
+        added = [a.content.encode() for a in self.t.get_added_tokens_decoder().values()] if specials else []
+        self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.spaced, self.limit, self.new, self.old = spaced, limit, {}, {}
         # Runs of letters are single pre-tokens: the model takes them as they are, in byte-level letters.
         self.model = self.t.model
@@ -221,6 +224,8 @@ class TokenBytes:
         if not at[-1]:
             return np.empty(0, "u4"), np.zeros(len(texts), "i8")
         raw = np.frombuffer(texts.buffers()[2], "u1", int(at[-1]), lo)
+        if self.special and (odd := sorted({int(np.searchsorted(at, m.start(), "right")) - 1 for m in self.special.finditer(raw)})):
+            return self._with_specials(texts, odd)
         start = self._starts(raw, at)
         cuts = np.append(start, len(raw))
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
@@ -240,6 +245,20 @@ class TokenBytes:
         end = np.frombuffer(cells.buffers()[1], "i8", len(cells) + 1) >> 2
         return np.frombuffer(cells.buffers()[2], "<u4", int(end[-1])), np.diff(end[np.searchsorted(start, at)])
 
+    def _with_specials(self, texts: pa.Array, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_array, where the texts at odd, which hold special tokens, are left to the tokenizer."""
+        mask = np.zeros(len(texts), bool)
+        mask[odd] = True
+        ids, n = self.encode_array(pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), texts))
+        ends, parts, at = np.cumsum(n), [], 0
+        self.t.encode_special_tokens = False
+        for i in odd:
+            own = np.array(self.t.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            parts += [ids[at : ends[i]], own]
+            at, n[i] = ends[i], len(own)
+        self.t.encode_special_tokens = True
+        return np.concatenate([*parts, ids[at:]]), n
+
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode_array, with end_id after each text."""
         ids, n = self.encode_array(texts)

@@ -116,12 +116,12 @@ def evolve(size: list[int], cap: int, seed: int, elites: list[list[list[int]]],
     return pop[0]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, specials: bool = False) -> DataFrame:
     """(doc_id, th, piece, start, length, crc): documents tokenised whole, ended, and cut only where longer than capacity."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = kept_in_worker(tokenizer, lambda: TokenBytes(tokenizer, spaced=False))
+        enc = kept_in_worker((tokenizer, specials), lambda: TokenBytes(tokenizer, spaced=False, specials=specials))
         for b in batches:
             for lo, hi in byte_chunks(b["text"]):
                 ids, n = enc.encode_ended(b["text"][lo:hi], end_id)
@@ -252,6 +252,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return got
 
 
-def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str, specials: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces."""
-    return pack(pieces(docs, tokenizer)).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+    return pack(pieces(docs, tokenizer, specials=specials)).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")

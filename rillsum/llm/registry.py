@@ -18,7 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1(spark: SparkSession, d: str) -> DataFrame:
-    return ans.digest(spark, table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"))
+    return ans.digest(spark, table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"), specials=True)
 
 
 def op2(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, d: str) -> DataFrame:
-    return packing.digest(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.digest(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), specials=True)
 
 
 def op10(spark: SparkSession, d: str) -> DataFrame:

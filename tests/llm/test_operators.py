@@ -391,3 +391,33 @@ def test_op8_ids_of_large_blocks(spark, monkeypatch):
     level = max(x >> 57 for x in bins)
     blocks = Counter(x >> 32 & 0x1FFFFFF for x in bins if x >> 57 == level)
     assert level == 1 and len(blocks) == 8 and max(blocks.values()) < 200
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_tokens_are_the_unmodified_tokenizers(name, spaced):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain, enc = Tokenizer.from_file(path), TokenBytes(path, spaced, specials=True)
+    odd = ["a <|endoftext|> <|startoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|ENDOFTEXT|> <|endoftext", "é <|startoftext|>é"]
+    data = [None, "plain text", *odd, "", *texts(), *odd]
+    for part in (pa.array(data), pa.array(data)[3:9]):
+        ids, n = enc.encode_array(part)
+        want = [plain.encode(x or "", add_special_tokens=False).ids for x in part.to_pylist()]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_op1_and_op8_queries_keep_special_tokens(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rillsum.llm import registry
+
+    text = "a <|endoftext|> <|startoftext|> b"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    monkeypatch.setattr(registry, "table", lambda *_: df)
+    for query, name, column in ((registry.op1, "byte_bpe_50k.json", "n_tokens"), (registry.op8, "word_bpe_49k.json", "length")):
+        n = len(Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids)
+        assert query(spark, "").collect()[0][column] in (n, n + 1)
