@@ -1,12 +1,14 @@
 """Token ids in a static rANS file format.
 
 Format of a segment (one binary cell; all integers little-endian):
-  magic "RSG1", u32 table checksum, u32 documents, u64 tokens, u32 lanes, u32 step count of a checkpoint interval
+  magic "RSG2", u32 table checksum, u32 documents, u64 tokens, u32 lanes, u32 step count of a checkpoint interval, u32 crc32 of the document records
   documents x (u8 has_id, i64 doc_id, u32 tokens)
   blocks: u32 tokens, u32 crc32 of the ids, u32 words, u32 checkpoints, checkpoints x (u32 word offset, lanes x u64 state), words x u32
 Blocks are coded independently by `lanes` interleaved coders: lane j holds ids j, j + lanes, ...  Checkpoint i
 holds all states before step i * interval, so every interval decodes by itself.  One frequency table
-(sum 2^20) serves all segments; it counts the ids of the whole corpus.
+(sum 2^20) serves all segments; it counts the ids of the whole corpus.  A file set is a folder: `table` holds the
+frequencies (id, frequency), `segments` the segments (part, seq, start, payload), both as Parquet, so a path is all
+that a reader needs.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, byte_chunks, kept_in_worker, release, scratch, text_or_empty, written
+from rillsum.llm.common import TokenBytes, byte_chunks, discard, kept_in_worker, scratch, text_or_empty, written
 
 BITS, LOW = 20, 1 << 31
 LANES, BLOCK, INTERVAL = 64, 1 << 15, 128
 SEGMENT = 1 << 20
-HEAD = "<4sIIQII"
+HEAD = "<4sIIQIII"
 DOC = np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u4")])
 COUNT = np.dtype([("id", "<u4"), ("n", "<i8")])
 
@@ -132,17 +134,19 @@ def decode_blocks(blocks: list[tuple[int, int, list, np.ndarray]], t: Table, gro
 
 
 def pack_segment(docs: list[tuple[int | None, int]], ids: np.ndarray, t: Table) -> bytes:
-    head = struct.pack(HEAD, b"RSG1", t.check, len(docs), len(ids), LANES, INTERVAL)
     rec = np.array([(d is not None, d or 0, n) for d, n in docs], DOC)
+    head = struct.pack(HEAD, b"RSG2", t.check, len(docs), len(ids), LANES, INTERVAL, zlib.crc32(rec.tobytes()))
     return head + rec.tobytes() + b"".join(encode_blocks(ids, t))
 
 
 def unpack_segment(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, tokens per document, all ids)."""
-    magic, check, n_docs, n, lanes, interval = struct.unpack_from(HEAD, raw)
-    if magic != b"RSG1" or check != t.check or (lanes, interval) != (LANES, INTERVAL):
+    magic, check, n_docs, n, lanes, interval, crc = struct.unpack_from(HEAD, raw)
+    if magic != b"RSG2" or check != t.check or (lanes, interval) != (LANES, INTERVAL):
         raise ValueError("not a segment of this table")
     rec = np.frombuffer(raw, DOC, n_docs, struct.calcsize(HEAD))
+    if zlib.crc32(rec.tobytes()) != crc:
+        raise ValueError("checksum mismatch in the document records")
     at, blocks = struct.calcsize(HEAD) + rec.nbytes, []
     while at < len(raw):
         size, crc, words, marks = struct.unpack_from("<IIII", raw, at)
@@ -159,7 +163,7 @@ def unpack_segment(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray,
     return [int(r["id"]) if r["has"] else None for r in rec], rec["n"].astype("i8"), ids
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, specials: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, specials: bool = True) -> DataFrame:
     """(part, seq, doc_id, n, before, ids, counts): documents in ascending (doc_id, text hash) order, nulls first.
 
     Rows of one part are one contiguous range; before counts the part's ids before the row.  Ids are
@@ -195,7 +199,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, specials: bool = Fal
             )
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    d = d.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    # the row number splits a range of rows that repeat one document; among them any order is right
+    d = d.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h")
     d = d.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     return d.mapInArrow(run, "part int, seq long, doc_id long, n long, before long, ids binary, counts binary")
 
@@ -226,20 +231,21 @@ def frequencies(tokens: DataFrame) -> Table:
     return Table(scaled(counts))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, specials: bool = False) -> Table:
-    """Tokenises, counts, and writes segments (part, seq, start, payload) as Parquet at path.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, specials: bool = True) -> None:
+    """Tokenises, counts, and writes the file set at path.
 
     Null text counts as empty, so every document has its end id; a null doc_id sorts first and stays
     null.  Repeated rows are written as often as they occur.  An empty table writes no segment.
     """
     spark = docs.sparkSession
     tokens = written(tokenised(docs, tokenizer, end_id, specials), "tokens")
-    release(spark)
     t = frequencies(tokens)
     per = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per task
     offset, at = {}, 0
     for p in sorted(per):
         offset[p], at = at, at + per[p]
+    frequency = [(i, int(x)) for i, x in enumerate(t.f) if x]  # at most the vocabulary
+    spark.createDataFrame(frequency, "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast((t.f, offset))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,16 +273,25 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, specials: boo
         if docs:
             yield flush()
 
-    tokens.where("counts IS NULL").drop("counts").mapInArrow(encode, "part int, seq long, start long, payload binary").write.option("compression", "none").parquet(path)
-    return t
+    tokens.where("counts IS NULL").drop("counts").mapInArrow(encode, "part int, seq long, start long, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
+    discard(tokens)
 
 
-def read(spark: SparkSession, path: str, table: Table, ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids): decodes the segments; checksums are verified.
+def read_table(spark: SparkSession, path: str) -> Table:
+    """The frequency table of a file set; one row per id, at most the vocabulary."""
+    rows = spark.read.parquet(f"{path}/table").collect()
+    f = np.zeros(max((r["id"] for r in rows), default=0) + 1, "u8")
+    for r in rows:
+        f[r["id"]] = r["frequency"]
+    return Table(f)
+
+
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of the file set at path; checksums are verified.
 
     ids_crc32 is taken over the decoded ids; without `ids` the last column is left out.
     """
-    shared = spark.sparkContext.broadcast(table.f)
+    shared = spark.sparkContext.broadcast(read_table(spark, path).f)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(shared.value)
@@ -288,11 +303,11 @@ def read(spark: SparkSession, path: str, table: Table, ids: bool = True) -> Data
                 out = [pa.array(docs, pa.int64()), pa.array(start + end - n), pa.array(n), pa.array([zlib.crc32(x) for x in cells], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(cells, pa.binary())] * ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return spark.read.parquet(path).select("start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return spark.read.parquet(f"{path}/segments").select("start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
-def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, specials: bool = False) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, specials: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents, from the files written for them."""
-    path = scratch(spark, "segments")
-    t = write(docs, path, tokenizer, end_id, specials)
-    return read(spark, path, t, ids=False)
+    path = scratch(spark, "tokens")
+    write(docs, path, tokenizer, end_id, specials)
+    return read(spark, path, ids=False)

@@ -21,10 +21,13 @@ SPACES_JVM = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Where the setting is absent (tests on one machine) the session gets a folder of its own.
+    Where the setting is absent a session on one machine (master `local`) gets a folder of its own; on a
+    cluster that is an error, because executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="rillsum-")
@@ -36,15 +39,97 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in shared storage: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again; without a JVM gateway they stay."""
+    for t in tables:
+        jvm = getattr(t.sparkSession, "_jvm", None)
+        if jvm is not None and (path := getattr(t, "scratch_path", None)):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Bits of a bitmap, whatever the input: 2 MB.  More marked rows let more others pass, to be joined exactly.
+BITMAP = 1 << 24
+
+
+def bit_words(rows: DataFrame, key: Column) -> DataFrame:
+    """(w, bits): the words with a set bit of a bitmap over a 64-bit key; 2^18 rows at most."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    return rows.select(F.shiftright(F.pmod(key, F.lit(BITMAP)), 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+
+def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
+    out = np.zeros(BITMAP // 64, "i8")
+    for r in bit_words(rows, key).collect():
+        out[r["w"]] = r["bits"]
+    return out.view("u8")
+
+
+def flagged(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds the keys."""
+    slot = key & np.int64(BITMAP - 1)
+    return ((bits[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1)).astype(bool)
+
+
+def marked(docs: DataFrame, words: DataFrame, key: Column) -> DataFrame:
+    """docs with __hit: whether the bitmap of `words` holds the key.  The broadcast side has 2^18 rows at most."""
+    d = docs.withColumn("__slot", F.pmod(key, F.lit(BITMAP)))
+    d = d.join(F.broadcast(words.select(F.col("w").alias("__w"), F.col("bits").alias("__bits"))), F.shiftright("__slot", 6) == F.col("__w"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("__bits"), F.pmod("__slot", F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return d.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__slot", "__w", "__bits")
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def flat_bytes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after the other, bounds of the texts); no nulls."""
+    at = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "i8")
+    n = int(at[-1] - at[0])
+    return np.frombuffer(texts.buffers()[2], "u1", n, int(at[0])) if n else np.empty(0, "u1"), at - at[0]
+
+
+def cut_words(raw: np.ndarray, at: np.ndarray):
+    """The words of texts laid end to end in raw: (first byte, length, bytes of all words, where each word starts in them, 64-bit hash)."""
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    begin = np.flatnonzero(~space & (before | first[:-1]))
+    length = np.flatnonzero(~space & (after | first[1:])) - begin + 1
+    byte = raw[~space]
+    head = np.cumsum(length) - length
+    if not len(begin):
+        return begin, length, byte, head, np.empty(0, "u8")
+    weight = mix64(np.arange(1, int(length.max()) + 1, dtype="u8")) | np.uint64(1)
+    place = np.arange(len(byte)) - np.repeat(head, length)
+    return begin, length, byte, head, mix64(np.add.reduceat(weight[place] * (byte.astype("u8") + np.uint64(1)), head))
+
+
+def ones(u, at, n):
+    """How many of each line's numbers have each bit set: eight passes that count in the bytes of 64-bit sums."""
+    per = -(-n // 255)  # a byte counts up to 255
+    if int(per.max()) > 1:
+        piece = np.cumsum(per) - per
+        step = np.arange(int(per.sum())) - np.repeat(piece, per)
+        cut = np.repeat(at, per) + 255 * step
+    else:
+        piece, cut = None, at
+    out = np.empty((len(cut), 8, 8), "u1")
+    for s in range(8):
+        out[:, s, :] = np.add.reduceat((u >> np.uint64(s)) & np.uint64(0x0101010101010101), cut).astype("<u8").view("u1").reshape(-1, 8)
+    out = out.reshape(len(cut), 64).astype("i4")
+    return out if piece is None else np.add.reduceat(out, piece, axis=0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +190,20 @@ def _pairs(marks: str) -> tuple[np.ndarray, np.ndarray]:
     return kind, cut.ravel()
 
 
+# The normalisers and pre-tokenisers, as tokenizer files state them, that TokenBytes cuts for.
+BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+WORD_LEVEL = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class TokenBytes:
     """Token ids of whole texts, as flat arrays.
 
@@ -123,13 +222,14 @@ class TokenBytes:
     #: A run of these after a letter is a pre-token of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, spaced: bool, limit: int = 250_000, specials: bool = False):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000, specials: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        self._known(spaced)
         self.t.encode_special_tokens = True
         added = [a.content.encode() for a in self.t.get_added_tokens_decoder().values()] if specials else []
         self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -142,6 +242,15 @@ class TokenBytes:
         self.kind, self.after = _pairs(self.ENDS + "'")
         self.tails: dict[str, bytes] = {}
 
+    def _known(self, spaced: bool) -> None:
+        """Raises for a tokenizer whose normaliser or pre-tokeniser is not one that the cuts are made for."""
+        import json
+
+        t = json.loads(self.t.to_str())
+        got = {k: t[k] for k in ("normalizer", "pre_tokenizer")}
+        if got != (BYTE_LEVEL if spaced else WORD_LEVEL) or t["model"]["type"] != "BPE" or any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in t["added_tokens"]):
+            raise ValueError(f"no cuts are known for a tokenizer with {got}")
+
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
 

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, phrases, verified edit similarity.
 
-A line's fingerprint is cut in 5 blocks; lines within 3 bits agree in 2 blocks at least, so the 10 pairs
-of blocks are join keys.  Lines that share text but not the fingerprint meet by 10 min-wise chosen
-phrases of three words.  Candidates that meet are verified by edit similarity, and of each
+A line's 128-bit fingerprint is cut in 4 blocks of 32 bits, which are join keys: lines within 3 bits
+agree in a block.  An edit similarity of 0.8 lies far beyond what blocks reach, so min-wise chosen phrases
+of three words are keys too.  What meets within RADIUS bits is verified by edit similarity, and of each
 connected group the first occurrence in (doc_id, text hash, line number) order stays.
 """
 
@@ -11,35 +11,31 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, chunks, kept_in_worker, written
-from rillsum.llm.graph import components, run_edges
+from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, marked, mix64, ones, written
+from rillsum.llm.graph import components, grouped, linked, near_edges
 
-DISTANCE, BLOCKS, SIMILARITY = 3, 5, 0.8
-#: Lines whose normal form has fewer characters are ordinary speech repeated by chance; they are never removed.
-MIN_CHARS = 6
+SIMILARITY = 0.8
+#: Fingerprint words and pigeonhole blocks; lines that differ in more bits of 128 are not compared.
+FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 40
+#: Lines whose normal form has fewer characters are left alone.  1: every line with a word takes part.
+MIN_CHARS = 1
 #: A line with more characters a word is read as pairs of characters, as scripts without spaces need.
 WIDE_WORD = 16
-#: Min-wise phrases of a line, and the fingerprint bits in which lines that share one may differ.
-PHRASES, FAR = 10, 26
+#: Min-wise phrases of a line.
+PHRASES = 6
 #: Lines of fewer words also choose among their word pairs; phrases of fewer letters are chosen last.
 SHORT_LINE, SHORT_PHRASE = 12, 12
-BITMAP = 1 << 24
 
 
 def normal(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
-def tokens(norm: str, words: list[str]) -> list[str]:
-    """The words of a line, or all its pairs of characters if its words are very long."""
-    return words if len(norm) <= WIDE_WORD * len(words) else [norm[i : i + 2] for i in range(len(norm) - 1)]
-
-
 def _common(a, b) -> int:
     """Length of the common prefix, by halving slices."""
     lo, hi = 0, min(len(a), len(b))
@@ -118,6 +114,47 @@ def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+class Lines:
+    """The lines with a word of an Arrow array of texts, cut and hashed by numpy.
+
+    owner, line: place of the text and number of the line in it; raw[start:end]: the normal form, lower-case
+    words joined by one space; size: its characters; n: words of each line; u, letters: hash and characters
+    of each word.  A word without a letter or digit has the hash 0.
+    """
+
+    def __init__(self, texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        raw, at = flat_bytes(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
+        begin, length, byte, head, u = cut_words(raw, at)
+        self.count = len(begin)
+        if not self.count:
+            return
+        told = (byte >= 128) | ((byte >= 48) & (byte <= 57)) | ((byte >= 97) & (byte <= 122))
+        u |= np.uint64(1)
+        u[~np.logical_or.reduceat(told, head)] = 0  # a mark between words says nothing by itself
+        self.u, self.letters = u, np.add.reduceat((byte & 0xC0) != 0x80, head, dtype="i8")
+        ends = np.cumsum(raw == 10, dtype="i8")
+        text, row = np.searchsorted(at, begin, "right") - 1, ends[begin]
+        self.first = np.concatenate(([0], np.flatnonzero((np.diff(text) != 0) | (np.diff(row) != 0)) + 1))
+        self.n = np.diff(np.append(self.first, self.count))
+        self.owner = text[self.first]
+        self.line = row[self.first] - np.concatenate(([0], ends))[at[self.owner]]
+        out = np.full(len(byte) + self.count, 32, "u1")
+        out[np.arange(len(byte)) + np.repeat(np.arange(self.count), length)] = byte
+        last = self.first + self.n - 1
+        self.raw, self.start, self.end = out, head[self.first] + self.first, head[last] + length[last] + last
+        self.size = np.add.reduceat(self.letters, self.first) + self.n - 1
+
+    def digests(self) -> list[bytes]:
+        from xxhash import xxh3_128_digest
+
+        raw = memoryview(self.raw)
+        return [xxh3_128_digest(raw[s:e]) for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+
+
 def phrases(u, pair, letters, at, n):
     """32-bit min-wise phrases of lines, PHRASES of each: u, pair, letters of the words, at and n of the lines.
 
@@ -148,261 +185,173 @@ def phrases(u, pair, letters, at, n):
     return out
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, th, line, h, fp, size, ph): lines with at least min_chars characters in normal form; h is the 128-bit hash of the normal form.
+def prints(u, letters, n):
+    """(f0, f1, phrases) of lines given by the hashes and characters of their words, and their numbers of words.
 
-    The SimHash weighs words that hold a letter or digit and word pairs of the normal form alike.
-    size: characters of the normal form; ph: its phrases, as 32-bit integers.
+    The SimHash weighs words that hold a letter or digit and pairs of neighbours alike.
     """
     import numpy as np
-    import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+    at = np.cumsum(n) - n
+    follow = np.concatenate((u[1:], np.zeros(1, "u8")))
+    pair = mix64((u * np.uint64(0x9E3779B97F4A7C15)) ^ (follow * np.uint64(0xC2B2AE3D27D4EB4F)))
+    ph = phrases(u, pair, letters, at, n)
+    pair[at + n - 1] = 0  # a pair doesn't reach into the next line
+    said = np.add.reduceat((u != 0).astype("i8"), at) + n - 1
+    f = []
+    for salt in (0, 0x632BE59BD9B4E019):
+        x, y = (u, pair) if not salt else (np.where(u, mix64(u ^ np.uint64(salt)), u), np.where(pair, mix64(pair ^ np.uint64(salt)), pair))
+        most = 2 * (ones(x, at, n) + ones(y, at, n)) > said[:, None]
+        f.append(np.packbits(most, axis=1).view("<u8").ravel())
+    return f[0], f[1], ph
 
-        class Hashes(dict):
-            def __missing__(self, w):
-                # a mark between words says nothing by itself, however often it stands there
-                v = xxh3_64_intdigest(w) if w[0].isalnum() or any(map(str.isalnum, w)) else 0
-                if len(self) < 300_000:
-                    self[w] = v
-                return v
 
-        known = kept_in_worker("line_words", Hashes)
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for lo, hi in chunks(texts, 1 << 20):
-                doc, no, h, flat, count, size = [], [], [], [], [], []
-                for i in range(lo, hi):
-                    for k, line in enumerate(texts[i].split("\n")):
-                        w = WORD.findall(line.lower())
-                        norm = " ".join(w)
-                        if len(norm) >= min_chars:
-                            w = tokens(norm, w)
-                            doc.append(i)
-                            no.append(k)
-                            h.append(xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
-                            size.append(len(norm))
-                            flat.extend(w)
-                            count.append(len(w))
-                if not doc:
-                    continue
-                u = np.fromiter(map(known.__getitem__, flat), "u8", len(flat))
-                n = np.array(count)
-                at = np.concatenate(([0], np.cumsum(n)[:-1]))
-                follow = np.concatenate((u[1:], [np.uint64(0)]))
-                pair = (u * np.uint64(0x9E3779B97F4A7C15)) ^ (follow * np.uint64(0xC2B2AE3D27D4EB4F))
-                pair ^= pair >> np.uint64(29)
-                pair *= np.uint64(0xBF58476D1CE4E5B9)
-                ph = phrases(u, pair, np.fromiter(map(len, flat), "i8", len(flat)), at, n)
-                bits = np.unpackbits(u.astype(">u8").view("u1").reshape(-1, 8), axis=1)
-                ones = np.add.reduceat(bits, at, axis=0, dtype="i4")
-                pbits = np.unpackbits(pair.astype(">u8").view("u1").reshape(-1, 8), axis=1)
-                pbits[at + n - 1] = 0  # a pair doesn't reach into the next line
-                ones += np.add.reduceat(pbits, at, axis=0, dtype="i4")
-                said = np.add.reduceat((u != 0).astype("i8"), at)
-                fp = np.packbits(2 * ones > (said + n - 1)[:, None], axis=1).view(">u8").ravel().astype("u8").view("i8")
-                own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["th"].take(own), pa.array(no, pa.int32()), pa.array(h, pa.binary()), pa.array(fp), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in ph.astype("<u4")], pa.binary())], ["doc_id", "th", "line", "h", "fp", "size", "ph"])
-
-    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, fp long, size int, ph binary")
-
-
-def block_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp, base) for every pair of blocks of 13, 13, 13, 13 and 12 bits."""
-    width, at, masks = [13, 13, 13, 13, 12], 0, []
-    for w in width:
-        masks.append(((1 << w) - 1) << at)
-        at += w
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    pairs = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(masks[a] | masks[b])).cast("long"))) for i, (a, b) in enumerate(combinations(range(BLOCKS), 2))]
-    return fps.select(F.explode(F.array(*pairs)).alias("key"), "fp", F.lit(True).alias("base"))
-
-
-def phrase_groups(kinds: DataFrame, least: float = SIMILARITY, far: int = FAR) -> DataFrame:
-    """(node, root) of fingerprints that share a phrase, root, with another of like size within far bits."""
+def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, th, line, h, f0, f1, size, ph): lines with at least min_chars characters in normal form.
+
+    h is the 128-bit hash of the normal form, f0 and f1 are its SimHash, size counts its characters; ph holds its
+    phrases as 32-bit integers.
+    """
     import numpy as np
     import pyarrow as pa
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ph = np.frombuffer(b"".join(b["ph"].to_pylist()), "<u4").reshape(-1, PHRASES)
-                key = ph.astype("i8") | (np.arange(PHRASES, dtype="i8") << 32)
-                row = pa.array(np.repeat(np.arange(b.num_rows), PHRASES))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b["fp"].take(row), b["size"].take(row)], ["key", "fp", "size"])
-
-    def near(f, g, m, n):
-        return (np.bitwise_count(f ^ g) <= far) & (np.abs(m - n) <= (1 - least) * np.maximum(m, n) + 1e-9)
-
-    def flush(k, f, n):
-        cut = np.flatnonzero(np.diff(k)) + 1
-        start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
-        on, most = np.zeros(len(k), bool), int((end - start).max())
-        for d in range(1, min(most, 32)):
-            hit = np.flatnonzero((k[d:] == k[:-d]) & near(f[d:], f[:-d], n[d:], n[:-d]))
-            on[hit] = on[hit + d] = True
-        for s, e in zip(start[end - start > 32], end[end - start > 32], strict=True):
-            for i in range(s, e):  # a row with a partner nearby needs no further look
-                if not on[i]:
-                    hit = near(f[s:e], f[i], n[s:e], n[i])
-                    hit[i - s] = False
-                    if hit.any():
-                        on[i] = True
-                        on[s:e] |= hit
-        return pa.RecordBatch.from_arrays([pa.array(f[on].view("i8")), pa.array(k[on])], ["node", "root"])
+    def wide(x: Lines, i: int):
+        s = x.raw[x.start[i] : x.end[i]].tobytes().decode("utf-8", "surrogatepass")
+        c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+        return mix64((c[:-1] << np.uint64(21)) | c[1:]) | np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []  # rows of the run that is not complete
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, f, n = np.asarray(b["key"]), np.asarray(b["fp"]).view("u8"), np.asarray(b["size"])
-            last = int(np.searchsorted(k, k[-1]))
-            if held and (last or held[0][0][0] != k[0]):
-                yield flush(*map(np.concatenate, zip(*held, (k[:last], f[:last], n[:last]), strict=True)))
-                held = []
-            elif last:
-                yield flush(k[:last], f[:last], n[:last])
-            held.append((k[last:], f[last:], n[last:]))
-        if held:
-            yield flush(*map(np.concatenate, zip(*held, strict=True)))
-
-    keyed = kinds.select("ph", "fp", "size").mapInArrow(explode, "key long, fp long, size int")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, root long").distinct()
-
-
-def verified(texts: DataFrame) -> DataFrame:
-    """(a, b) line hashes: a spanning forest of the verified links of each root; texts: (root, h, fp, norm)."""
-    import numpy as np
-    import pyarrow as pa
+    def fixed(a):
+        return pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * a.shape[1] * a.itemsize).astype("i4")), pa.py_buffer(np.ascontiguousarray(a))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            fp = np.array([r[1] for r in rows], "i8").view("u8")
-            left = np.arange(len(rows))
-            a, b = [], []
-            while len(left) > 1:
-                todo, left = [left[0]], left[1:]
-                while todo and len(left):
-                    x = todo.pop()
-                    near = left[np.bitwise_count(fp[left] ^ fp[x]) <= FAR]
-                    hit = [y for y in near if similar(rows[x][2], rows[y][2])]
-                    if hit:
-                        left = np.setdiff1d(left, hit, assume_unique=True)
-                        todo.extend(hit)
-                        a.extend(rows[y][0] for y in hit)
-                        b.extend([rows[x][0]] * len(hit))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]) if a else None
-
-        root, rows = None, []
         for b in batches:
-            for r, h, fp, t in zip(*[b[c].to_pylist() for c in ("root", "h", "fp", "norm")], strict=True):
-                if r != root and rows:
-                    if (out := flush(rows)) is not None:
-                        yield out
-                    rows = []
-                root = r
-                rows.append((h, fp, t))
-        if rows and (out := flush(rows)) is not None:
-            yield out
+            for lo, hi in byte_chunks(b["text"], 1 << 20):
+                x = Lines(b["text"][lo:hi])
+                if not x.count:
+                    continue
+                f0, f1, ph = prints(x.u, x.letters, x.n)
+                odd = np.flatnonzero(x.size > WIDE_WORD * x.n)
+                if len(odd):
+                    own = [wide(x, i) for i in odd]
+                    n = np.array([len(c) for c in own])
+                    u = np.concatenate(own)
+                    f0[odd], f1[odd], ph[odd] = prints(u, np.full(len(u), 2), n)
+                keep = np.flatnonzero(x.size >= min_chars)
+                h = np.frombuffer(b"".join(x.digests()), "u1").reshape(-1, 16)
+                at = pa.array(lo + x.owner[keep])
+                cells = [pa.array(x.line[keep].astype("i4")), fixed(h[keep]), pa.array(f0[keep].view("i8")), pa.array(f1[keep].view("i8")), pa.array(x.size[keep].astype("i4")), fixed(ph[keep].astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), *cells], ["doc_id", "th", "line", "h", "f0", "f1", "size", "ph"])
+
+    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, f0 long, f1 long, size int, ph binary")
+
+
+def block_and_phrase_keys(batch):
+    """(rows, keys, base) for near_edges: the blocks of the fingerprint and the phrases."""
+    import numpy as np
 
-    return texts.select("root", "h", "fp", "norm").repartition("root").sortWithinPartitions("root", "h").mapInArrow(run, "a binary, b binary").distinct()
+    f = np.stack([np.asarray(batch[c]).view("u8") for c in FPS], 1)
+    ph = np.frombuffer(b"".join(batch["ph"].to_pylist()), "<u4").reshape(-1, PHRASES).astype("u8")
+    key = np.concatenate((f >> np.uint64(32), f & np.uint64(0xFFFFFFFF), ph), 1) | (np.arange(BLOCKS + PHRASES, dtype="u8") << np.uint64(32))
+    return np.repeat(np.arange(len(f)), BLOCKS + PHRASES), key.ravel(), np.ones(key.size, bool)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """(h, norm, root, fp) of the wanted line hashes, from the document where each stands first.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(root, id, f0, f1, payload): the normal forms of the wanted line hashes, from the document where each stands first.
 
-    Fixed-size bitmaps, 2 MB each, of those documents and of the hashes thin the scan.
+    Fixed-size bitmaps of those documents and of the hashes thin the scan; what they let pass is joined exactly.
     """
     import numpy as np
     import pyarrow as pa
 
-    spark = docs.sparkSession
-
-    def bitmap(key):
-        words = wanted.select(F.shiftright(F.pmod(key, F.lit(BITMAP)), 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int")).alias("bit"))
-        out = np.zeros(BITMAP // 64, "i8")
-        for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2^18 rows
-            out[r["w"]] = r["bits"]
-        return out.view("u8")
-
     doc = F.xxhash64("doc_id", "th")
-    shared = spark.sparkContext.broadcast((bitmap(F.xxhash64("h")), bitmap(doc)))
-    size = BITMAP
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, F.xxhash64("h")), bitmap(wanted, doc)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest, xxh64_intdigest
+        from xxhash import xxh64_intdigest
 
-        bits, docs_on = shared.value
-        seen = set()
+        on_lines, on_docs = shared.value
         for b in batches:
-            h, t = [], []
-            slot = np.asarray(b["slot"])
-            on = docs_on[slot >> 6] >> (slot & 63).astype("u8") & np.uint64(1)
-            for text in b["text"].take(pa.array(np.flatnonzero(on))).to_pylist():
-                for line in text.split("\n"):
-                    w = WORD.findall(line.lower())
-                    norm = " ".join(w)
-                    if len(norm) >= min_chars:
-                        d = xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
-                        x = xxh64_intdigest(d, 42)
-                        s = (x - (1 << 64) if x >> 63 else x) % size
-                        if int(bits[s >> 6]) >> (s & 63) & 1 and d not in seen:
-                            if len(seen) < 200_000:
-                                seen.add(d)
-                            h.append(d)
-                            t.append(norm)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
-
-    got = keyed_docs(docs).select("text", F.pmod(doc, F.lit(BITMAP)).alias("slot")).mapInArrow(run, "h binary, norm string")
-    return got.dropDuplicates(["h"]).join(wanted.select("root", "h", "fp"), "h")
-
-
-def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, th, line) of the lines to drop, the table of all lines).
-
-    Rows that agree in doc_id and text are one document: their lines are dropped or kept together.
+            texts = b["text"].take(pa.array(np.flatnonzero(flagged(on_docs, np.asarray(b["slot"])))))
+            for lo, hi in byte_chunks(texts, 1 << 20):
+                x = Lines(texts[lo:hi])
+                if not x.count:
+                    continue
+                h = x.digests()
+                own = np.flatnonzero(flagged(on_lines, np.array([xxh64_intdigest(d, 42) for d in h], "u8").view("i8")))
+                t = [x.raw[x.start[i] : x.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
+
+    got = keyed_docs(docs).select("text", doc.alias("slot")).mapInArrow(run, "h binary, norm string")
+    return got.dropDuplicates(["h"]).join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
+
+
+def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, th, line) of the lines to drop: all but the first of each connected group.
+
+    Rows that agree in doc_id and text are one document here.
     """
     t = written(lines(docs, min_chars), "lines")
-    kinds = t.groupBy("h").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("ph").alias("ph"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
-    kinds = written(kinds.select("h", "fp", "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
-    edges = run_edges(block_keys(kinds.select("fp").distinct()), DISTANCE)
-    comp = written(components(edges), "comps")
-    # candidate groups hold two kinds at least: linked fingerprints, kinds that share one, or phrases in common
-    shared = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    member = comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")).unionByName(phrase_groups(kinds))
-    member = written(member, "members")
-    wanted = written(kinds.join(member, F.col("fp") == F.col("node")).select("root", "h", "fp", "doc_id", "th"), "wanted")
-    texts = written(_texts(docs, wanted, min_chars), "texts")
-    links = components(verified(texts))
-    links = written(links, "links")
+    kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, "size", "ph")], F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
+    kinds = written(kinds.select("h", *FPS, "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
+    edges = near_edges(kinds.select(*FPS, "ph"), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
+    wanted = written(grouped(kinds.select("h", *FPS, "doc_id", "th"), edges, "f0"), "wanted")
+    texts = written(_texts(docs, wanted), "texts")
+    links = written(components(linked(texts, FPS, RADIUS, str, similar)), "links")
     # only kinds that repeat or are linked can lose a line
     named = kinds.where("n > 1").select("h", F.col("h").alias("g")).join(links.select(F.col("node").alias("h")), "h", "left_anti")
     named = written(named.unionByName(links.select(F.col("node").alias("h"), F.col("root").alias("g"))), "named")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     again = written(t.select("doc_id", "th", "line", "h").join(named, "h").select("doc_id", "th", "line", "g"), "again")
     first = written(again.groupBy("g").agg(F.min(place).alias("f")), "first")
-    drop = again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line").distinct()
-    return written(drop, "drop"), t
+    drop = written(again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line").distinct(), "drop")
+    discard(t, kinds, wanted, texts, links, named, again, first)
+    return drop
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines_dropped beside it.
 
-    Null texts stay null, texts without a dropped line are untouched, and no row is removed.
+    Null texts stay null, texts without a dropped line are untouched, and no row is removed.  Of rows that
+    agree in doc_id and text one keeps the lines that stand there first; the others lose every line with a
+    word of min_chars characters.  Only documents that lose a line are joined; the rest pass by a bitmap.
     """
-    drop, _ = removals(docs, min_chars)
-    per = written(drop.groupBy(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th")).agg(F.collect_list("line").alias("gone")), "gone")
-    d = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    d = d.join(per, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("__th") == F.col("d_th")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = d.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    return out.withColumn("n_lines_dropped", F.coalesce(F.size("gone"), F.lit(0))).drop("__th", "d_id", "d_th", "gone")
+    drop = removals(docs, min_chars)
+    gone = written(drop.groupBy("doc_id", "th").agg(F.collect_list("line").alias("gone")), "gone")
+    again = keyed_docs(docs).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "th")
+    lossy = written(gone.join(again, gone["doc_id"].eqNullSafe(again["doc_id"]) & (gone["th"] == again["th"]), "full_outer").select(F.coalesce(gone["doc_id"], again["doc_id"]).alias("doc_id"), F.coalesce(gone["th"], again["th"]).alias("th"), "gone"), "lossy")
+    place = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    both = marked(docs, bit_words(lossy, F.xxhash64("doc_id", "th")), F.xxhash64(*place))
+    hit = written(both.where("__hit").select(*docs.columns, F.coalesce(place[0], F.lit(0)).alias("__id"), place[0].isNull().alias("__none"), place[1].alias("__th"), F.monotonically_increasing_id().alias("__row")), "lossy_docs")
+    key = ["__id", "__none", "__th"]
+    first = hit.groupBy(*key).agg(F.min("__row").alias("__first"))
+    info = first.join(lossy.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), key, "left")
+    info = written(info, "lossy_rows")
+
+    @F.pandas_udf("text string, n long")
+    def cut(text: pd.Series, gone: pd.Series, first: pd.Series) -> pd.DataFrame:
+        out, n = [], []
+        for t, g, f in zip(text, gone, first, strict=True):
+            if t is None:
+                out.append(None)
+                n.append(0)
+                continue
+            own = t.split("\n")
+            lost = set() if g is None else set(g)
+            kept = [x for i, x in enumerate(own) if i not in lost] if f else [x for x in own if len(normal(x)) < min_chars]
+            out.append("\n".join(kept))
+            n.append(len(own) - len(kept))
+        return pd.DataFrame({"text": out, "n": n})
+
+    changed = hit.join(info, key).withColumn("__cut", cut("text", "__gone", F.col("__row") == F.col("__first")))
+    changed = changed.withColumn("text", F.col("__cut.text")).withColumn("n_lines_dropped", F.col("__cut.n").cast("int"))
+    discard(drop, gone)
+    passed = both.where("NOT __hit").withColumn("n_lines_dropped", F.lit(0))
+    names = [*docs.columns, "n_lines_dropped"]
+    return passed.select(*names).unionByName(changed.select(*names))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_lines_dropped, kept_crc32): lines and checksum of the text that is kept."""
+    """(doc_id, n_lines_kept, n_lines_dropped, kept_crc32): lines and checksum of the text that is kept."""
     d = dedup(docs.select("doc_id", "text"))
     t = F.coalesce("text", F.lit(""))
     return d.select("doc_id", F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines_kept"), F.col("n_lines_dropped").cast("long").alias("n_lines_dropped"), F.crc32(t.cast("binary")).alias("kept_crc32"))

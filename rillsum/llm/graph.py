@@ -1,100 +1,278 @@
-"""Near-duplicate graphs: spanning edges from sorted key runs, and connected components.
+"""Near-duplicate graphs: candidates that meet on keys, verified groups, connected components.
 
-Within a run of equal keys only a spanning forest of the verified links leaves the task, never all
-pairs; every link inside a run stays implied by the forest.
+A node is a 64-bit number, the first word of a fingerprint.  Keys travel packed: a task sends one
+binary cell for each bucket of keys instead of one row for each key.  Within a run of equal keys only
+links at the wanted distance leave the task, for longer runs a spanning forest of them.  What is too
+large for one task (a run of more than HOT nodes, a group of more than CHUNK members) is cut in chunks
+whose pairs are compared in tasks of their own, so no link is lost and no task grows with a hot key
+beyond the bytes of its packed nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import written
+from rillsum.llm.common import discard, mix64, written
 
+#: Keys of a bucket, about; nodes of the longest run that its own task compares; nodes of a chunk of a longer one.
+BUCKET, HOT, CHUNK = 1 << 18, 1 << 15, 1 << 13
+#: In runs up to this length all links are sent, in longer ones a spanning forest.
+SHORT = 8
 
-def run_edges(keyed: DataFrame, max_distance: int) -> DataFrame:
-    """(a, b) fingerprints, a > b: a spanning forest per key of the links at <= max_distance bits.
 
-    keyed: (key BIGINT, fp BIGINT, base BOOLEAN); a run matters only if it has a base row.  A task
-    streams its sorted rows and holds one run of 8-byte fingerprints at a time.
+def distance(f, g):
+    """Differing bits of fingerprints given as lists of 64-bit words."""
+    import numpy as np
+
+    return sum(np.bitwise_count(x ^ y).astype("i2") for x, y in zip(f, g, strict=True))
+
+
+def forest(f, radius: int, g=None) -> Iterator[tuple]:
+    """(node, its new neighbours) of a spanning forest of the links within radius; with g only links between the two sides."""
+    import numpy as np
+
+    side = None if g is None else np.repeat([0, 1], [len(f[0]), len(g[0])])
+    f = f if g is None else [np.concatenate(p) for p in zip(f, g, strict=True)]
+    left = np.arange(len(f[0]))
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            near = distance([w[left] for w in f], [w[x] for w in f]) <= radius
+            if side is not None:
+                near &= side[left] != side[x]
+            if near.any():
+                hit, left = left[near], left[~near]
+                todo.extend(hit)
+                yield f[0][x], f[0][hit]
+
+
+def _edges(pairs: list):
+    """A batch (a, b), a > b, each pair once."""
+    import numpy as np
+    import pyarrow as pa
+
+    a = np.concatenate([np.broadcast_to(x, np.shape(y)) for x, y in pairs]) if pairs else np.empty(0, "u8")
+    b = np.concatenate([y for _, y in pairs]) if pairs else np.empty(0, "u8")
+    a, b = a.view("i8"), b.view("i8")
+    e = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), 1)[a != b], axis=0)
+    return pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))
+
+
+def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int) -> DataFrame:
+    """(a, b), a > b: links between nodes that share a key and differ in at most radius bits.
+
+    nodes: the words fps of a fingerprint and what `keys` reads; a node's number is its first word.
+    keys(batch) gives (rows, 64-bit keys, base): a run of equal keys matters only if it has a base row.
+    per: keys of a node, about.  Nodes with the same first word are one node.
     """
     import numpy as np
     import pyarrow as pa
 
-    def forest(fp):
-        left = np.unique(fp)
-        while len(left) > 1:
-            todo, left = [left[0]], left[1:]
-            while todo and len(left):
-                x = todo.pop()
-                near = np.bitwise_count(left ^ x) <= max_distance
-                if near.any():
-                    hit, left = left[near], left[~near]
-                    todo.extend(hit)
-                    yield x, hit
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_k, keep_f, keep_b = np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, bool)
-        held = []  # parts of one long run, joined when it ends
-
-        def flush(k, f, b):
-            cut = np.flatnonzero(np.diff(k)) + 1
-            start = np.concatenate(([0], cut)) if len(k) else np.empty(0, "i8")
-            end = np.concatenate((cut, [len(k)])) if len(k) else start
-            good = (end - start > 1) & np.logical_or.reduceat(b, start) if len(k) else start.astype(bool)
-            out_a, out_b = [], []
-            for s, e in zip(start[good], end[good], strict=True):
-                for x, hit in forest(f[s:e]):
-                    out_a.append(hit)
-                    out_b.append(np.full(len(hit), x))
-            if out_a:
-                a, b = np.concatenate(out_a).view("i8"), np.concatenate(out_b).view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+    buckets = max(1, -(-nodes.count() * per // BUCKET))
+    cell = pa.schema([("bucket", pa.int32()), ("key", pa.binary())] + [(c, pa.binary()) for c in fps])
 
-        for batch in batches:
-            k, f, b = np.asarray(batch["key"]), np.asarray(batch["fp"]).view("u8"), np.asarray(batch["base"].to_numpy(zero_copy_only=False), bool)
-            if not len(k):
-                continue
-            if len(keep_k) and keep_k[0] == k[-1]:
-                held.append((f, b))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            key, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype("u4" if buckets >> 16 else "u2")
+            order = np.argsort(bucket, kind="stable")
+            own, first = np.unique(bucket[order], return_index=True)
+            at = np.append(first, len(order))
+            parts = [(key & np.uint64(0xFFFFFFFF)).astype("<u4"), *words]
+            cells = [pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((at * p.itemsize).astype("i4")), pa.py_buffer(p[order])]) for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype("i4")), *cells], schema=cell)
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            parts = [(keep_f, keep_b), *held]
-            n = sum(len(x) for x, _ in parts)
-            k = np.concatenate((np.full(n, keep_k[0]) if n else keep_k, k))
-            f, b = np.concatenate([x for x, _ in parts] + [f]), np.concatenate([x for _, x in parts] + [b])
-            held.clear()
-            last = int(np.searchsorted(k[::-1] != k[-1], True)) if k[0] != k[-1] else len(k)
-            yield from flush(k[: len(k) - last], f[: len(k) - last], b[: len(k) - last])
-            keep_k, keep_f, keep_b = k[len(k) - last :], f[len(k) - last :], b[len(k) - last :]
-        parts = [(keep_f, keep_b), *held]
-        f, b = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-        if len(f):
-            yield from flush(np.full(len(f), keep_k[0]), f, b)
-
-    dealt = keyed.select("key", "fp", "base").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(edges, "a long, b long").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+            rows, key, base = keys(b)
+            key = (mix64(key) & ~np.uint64(1)) | base.astype("u8")
+            held.append((key, *[np.asarray(b[c]).view("u8")[rows] for c in fps]))
+            n += len(rows)
+            if n >= 1 << 20:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts):
+            rem, *f = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts, strict=True), ["<u4"] + ["<u8"] * len(fps), strict=True))
+            order = np.argsort(rem, kind="stable")
+            k, base = rem[order] >> 1, (rem[order] & 1).astype(bool)
+            start = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+            size = np.diff(np.append(start, len(k)))
+            on = (size > 1) & np.logical_or.reduceat(base, start)
+            start, size = start[on], size[on]
+            pairs = []
+            for m in range(2, SHORT + 1):
+                at = start[size == m]
+                for i in range(m):
+                    for j in range(i + 1, m):
+                        x, y = [w[order[at + i]] for w in f], [w[order[at + j]] for w in f]
+                        near = distance(x, y) <= radius
+                        pairs.append((x[0][near], y[0][near]))
+            cells = []
+            for s, e in zip(start[size > SHORT], (start + size)[size > SHORT], strict=True):
+                own = order[s:e]
+                own = own[np.unique(f[0][own], return_index=True)[1]]
+                if len(own) > HOT:
+                    cut = [own[i : i + CHUNK] for i in range(0, len(own), CHUNK)]
+                    raw = [b"".join(w[c].tobytes() for w in f) for c in cut]
+                    cells += [(raw[i], raw[j] if j > i else None) for i in range(len(cut)) for j in range(i, len(cut))]
+                else:
+                    pairs += forest([w[own] for w in f], radius)
+            a, b = _edges(pairs)
+            none = pa.nulls(len(a), pa.binary())
+            yield pa.RecordBatch.from_arrays([a, b, none, none], ["a", "b", "one", "other"])
+            for x, y in cells:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["a", "b", "one", "other"])
+
+        held, bucket = [], None
+        for b in batches:
+            for row in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                if held and row[0] != bucket:
+                    yield from flush(held)
+                    held = []
+                bucket = row[0]
+                held.append(row[1:])
+        if held:
+            yield from flush(held)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b["one"].to_pylist(), b["other"].to_pylist(), strict=True):
+                x, y = (None if z is None else list(np.frombuffer(z, "<u8").reshape(len(fps), -1)) for z in (x, y))
+                yield pa.RecordBatch.from_arrays(list(_edges(list(forest(x, radius, y)))), ["a", "b"])
+
+    binary = ", ".join(f"{c} binary" for c in fps)
+    packed = nodes.mapInArrow(pack, f"bucket int, key binary, {binary}").repartition("bucket").sortWithinPartitions("bucket")
+    got = written(packed.mapInArrow(meet, "a long, b long, one binary, other binary"), "met")
+    hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(across, "a long, b long")
+    return got.where("a IS NOT NULL").select("a", "b").unionByName(hot).distinct()
+
+
+def grouped(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """The rows of nodes that share a component of the edges, or their number alone, with another row; root names the group."""
+    comp = written(components(edges), "comps")
+    shared = nodes.groupBy(node).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col(node).alias("node"), F.col(node).alias("root"))
+    member = written(comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")), "members")
+    return nodes.join(member, F.col(node) == F.col("node")).drop("node")
+
+
+def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
+    """(a, b) of id: a spanning forest, within each root, of the links that `same` confirms.
+
+    members: (root, id, fps, payload).  Pairs of more than radius bits are no links.  load(payload) is what
+    same(x, y) compares.  A root of more than `limit` members is cut in chunks by hash, and every pair of
+    chunks is a group of its own.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(members.dtypes)["id"]
+    arrow = {"binary": pa.binary(), "bigint": pa.int64()}[kind]
+    names = ["root", "i", "j", "side", "id", "payload", *fps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows, cross):
+            f = [np.array([r[c] for r in rows], "i8").view("u8") for c in range(3, 3 + len(fps))]
+            own = [load(r[2]) for r in rows]
+            side, left, a, b = np.array([r[0] for r in rows]), np.arange(len(rows)), [], []
+            while len(left) > 1:
+                todo, left = [left[0]], left[1:]
+                while todo and len(left):
+                    x = todo.pop()
+                    near = distance([w[left] for w in f], [w[x] for w in f]) <= radius
+                    if cross:
+                        near &= side[left] != side[x]
+                    hit = [y for y in left[near].tolist() if same(own[x], own[y])]
+                    if hit:
+                        left = np.setdiff1d(left, hit, assume_unique=True)
+                        todo.extend(hit)
+                        a += [rows[y][1] for y in hit]
+                        b += [rows[x][1]] * len(hit)
+            return pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
+
+        cell, rows = None, []
+        for batch in batches:
+            for r in zip(*[batch[c].to_pylist() for c in names], strict=True):
+                if r[:3] != cell and rows:
+                    yield flush(rows, cell[1] != cell[2])
+                    rows = []
+                cell = r[:3]
+                rows.append(r[3:])
+        if rows:
+            yield flush(rows, cell[1] != cell[2])
+
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
+    dealt = m.select(*names).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _stars(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(a, b), a > b, with the components of the edges: each block of a task's edges becomes stars around its least nodes."""
+    import pyarrow as pa
+
+    kind = dict(edges.dtypes)["a"]
+    arrow = pa.binary() if kind == "binary" else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y] if y in up else y
+            return x
+
+        def flush():
+            out = [(x, r) for x in list(up) if (r := top(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], arrow) for k in (0, 1)], ["a", "b"])
+
+        n = 0
+        for batch in batches:
+            for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            n += batch.num_rows
+            if n >= block:
+                yield flush()
+                up.clear()
+                n = 0
+        if up:
+            yield flush()
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node of its component.
 
-    Large-star and small-star steps alternate until every component is a star.  Minima are partially
-    aggregated; joins read written tables, so adaptive execution may split a hub's rows.
+    Every task turns its own edges into stars; while stars of different tasks touch, large-star and
+    small-star steps alternate.  Minima are partially aggregated; joins read written tables, so adaptive
+    execution may split a hub's rows.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, "edges")
+    e = written(_stars(edges.where("a <> b").distinct()), "edges")
     for _ in range(rounds):
+        several = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if several.isEmpty() and e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi").isEmpty():
+            break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(near, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        chained = e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi")
-        if chained.isEmpty() and e.count() == low.count():
-            break
+        last, e = e, written(_stars(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "edges")
+        discard(near, large, low, last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -135,13 +135,20 @@ def digest(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame, seed: int = 29) -> DataFrame:
     """docs with every row repeated as often as the mix copies it, 0 times included; columns stay.
 
-    Rows that agree in doc_id and text are one document, copied as often as they all are together.
+    Rows that agree in doc_id, text and source share their copies: each gets the same whole number, and what
+    is left over goes to one of them.  An empty table stays empty.
     """
-    plan = mix(docs, seed).groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = written(plan.where("__copies > 0 OR __rows > 1"), "copies")
-    d = docs.withColumn("__th", F.xxhash64(text_or_empty()))
-    if not plan.where("__rows > 1").isEmpty():
-        d = d.dropDuplicates(["doc_id", "__th"])
-    d = d.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("__th") == F.col("p_th")))
-    d = d.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return d.select(*docs.columns)
+    plan = mix(docs, seed)
+    key = ["__id", "__none", "__th", "__source", "__other"]
+    place = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("th"), F.coalesce("source", F.lit("")), F.col("source").isNull()]
+    plan = plan.groupBy(*[c.alias(k) for c, k in zip(place, key, strict=True)]).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = written(plan.select(*key, F.expr("copies DIV rows").alias("__each"), F.expr("copies % rows").alias("__rest")).where("__each > 0 OR __rest > 0"), "copies")
+    own, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    place = [F.coalesce(own, F.lit(0)), own.isNull(), F.xxhash64(text_or_empty()), F.coalesce(source, F.lit("")), source.isNull()]
+    d = docs.select("*", *[c.alias(k) for c, k in zip(place, key, strict=True)])
+
+    def times(rows: DataFrame, n: str) -> DataFrame:
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+
+    rest = d.join(plan.where("__rest > 0"), key).dropDuplicates(key)
+    return times(d.join(plan.where("__each > 0"), key), "__each").unionByName(times(rest, "__rest"))

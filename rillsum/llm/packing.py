@@ -116,7 +116,7 @@ def evolve(size: list[int], cap: int, seed: int, elites: list[list[list[int]]],
     return pop[0]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, specials: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, specials: bool = True) -> DataFrame:
     """(doc_id, th, piece, start, length, crc): documents tokenised whole, ended, and cut only where longer than capacity."""
     import pyarrow as pa
 
@@ -252,6 +252,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return got
 
 
-def digest(docs: DataFrame, tokenizer: str, specials: bool = False) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str, specials: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces."""
     return pack(pieces(docs, tokenizer, specials=specials)).select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")

@@ -1,6 +1,6 @@
 import random
 
-from rillsum.llm import nearcopies
+from rillsum.llm import simhash
 
 
 def jaccard(a, b):
@@ -28,4 +28,4 @@ def test_stage_finds_near_copies_from_a_similarity_of_080(spark):
     lost = {i for i in range(300)} - kept
     assert all(i % 2 and jaccard(data[i - 1][1], data[i][1]) >= 0.8 for i in lost)
     assert 30 < want < 150 and len(lost) >= 0.98 * want
-    assert nearcopies.unique(df.limit(0)).collect() == []
+    assert simhash.unique(df.limit(0)).collect() == []

@@ -23,7 +23,6 @@ def tok(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return public_tokenizers.path(name), lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -90,6 +89,33 @@ def test_op1(spark, docs, empty, rows):
     assert ans.digest(spark, empty, path).collect() == []
 
 
+def test_op1_files_are_read_by_their_path_and_guarded(spark, docs, rows, tmp_path):
+    path, plain = tok("byte_bpe_50k.json")
+    ans.write(docs, str(tmp_path / "t"), path, 2)
+    got = ans.read(spark.newSession(), str(tmp_path / "t")).collect()
+    want = Counter((r[0], np.array([*plain(r[1]), 2], "<u4").tobytes()) for r in rows)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+    t = ans.read_table(spark, str(tmp_path / "t"))
+    raw = bytearray(spark.read.parquet(str(tmp_path / "t/segments")).first().payload)
+    ans.unpack_segment(bytes(raw), t)
+    raw[40] ^= 1  # in the document records
+    with pytest.raises(ValueError):
+        ans.unpack_segment(bytes(raw), t)
+
+
+def test_unknown_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    path, _ = tok("byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        TokenBytes(path, spaced=False)
+    t = Tokenizer.from_file(path)
+    t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        TokenBytes(str(tmp_path / "t.json"), spaced=True)
+
+
 def test_op2(spark, docs, empty, rows):
     got = shards.digest(spark, docs).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
@@ -218,8 +244,30 @@ def test_op6(docs, empty, rows):
     want = Counter((r[0], f"{fp[k]:016x}", least.get(comp[k])) for k, r in enumerate(rows))
     assert Counter(tuple(r) for r in got) == want
     assert simhash.digest(empty).collect() == []
-    assert simhash.unique(docs).count() == len(set(comp.values()))
-    assert simhash.unique(docs).columns == docs.columns
+
+
+def plain_unique(rows, n=5, least=0.8):
+    """Indexes of the rows that stay: least (doc_id, place) of each group of near copies."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [WORD.findall((r[1] or "").translate(low)) for r in rows]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in words]
+    near = lambda a, b: a == b or len(a & b) >= least * len(a | b) - 1e-9
+    comp = plain_components([(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])], range(len(rows)))
+    best = {}
+    for k, r in enumerate(rows):
+        c = comp[k]
+        if c not in best or (r[0] is None, r[0] or 0) < (rows[best[c]][0] is None, rows[best[c]][0] or 0):
+            best[c] = k
+    return sorted(best.values())
+
+
+def test_op6_unique_keeps_one_of_each_group(spark, docs, empty, rows):
+    got = simhash.unique(docs)
+    assert got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(rows[k][0] for k in plain_unique(rows))
+    three = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13)] * 3 + [(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(r.doc_id for r in simhash.unique(three).collect()) == {1: 1, None: 1}
+    assert simhash.unique(empty).collect() == []
 
 
 def test_op6_links_at_every_distance(spark):
@@ -233,8 +281,8 @@ def test_op6_links_at_every_distance(spark):
                 y ^= 1 << bit
             fps += [x, y]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    prints = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    got = {r.fp: r.component_id for r in simhash.groups(prints).collect()}
+    prints = spark.createDataFrame(list(enumerate(signed)), "doc_id long, f0 long")
+    got = {r.f0: r.component_id for r in simhash.groups(prints).collect()}
     comp = plain_components([(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3], range(len(fps)))
     assert all(got[s] == comp[k] for k, s in enumerate(signed))
 
@@ -242,7 +290,12 @@ def test_op6_links_at_every_distance(spark):
 def test_components(spark):
     rng = random.Random(2)
     e = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 960)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").repartition(6)).collect()}
+    one = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").coalesce(1)).collect()}
+    assert one == got
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").repartition(6)).collect()} == got
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     e = [(a, b) for a, b in e if a != b]
     assert got == plain_components(e, {x for p in e for x in p})
 
@@ -273,10 +326,73 @@ def test_op7(spark, empty):
     data = [(1, f"{clean[0]}\n{line}"), (2, f"{line.upper()}\nshort\n{clean[1]}"), (3, near), (4, "short\nshort"), (5, None), (6, ""), (None, line), (7, f"{clean[2]}\n{clean[2]}")]
     df = spark.createDataFrame([(i, t, None, None, 0, *EXTRA) for i, t in data], SCHEMA)
     out = {r.doc_id: (r.text, r.n_lines_dropped) for r in fuzzylines.dedup(df).collect()}
-    assert out == {1: (data[0][1], 0), 2: (f"short\n{clean[1]}", 1), 3: ("", 1), 4: ("short\nshort", 0), 5: (None, 0), 6: ("", 0), None: ("", 1), 7: (clean[2], 1)}
+    assert out == {1: (data[0][1], 0), 2: (f"short\n{clean[1]}", 1), 3: ("", 1), 4: ("", 2), 5: (None, 0), 6: ("", 0), None: ("", 1), 7: (clean[2], 1)}
+    assert {r.doc_id: r.n_lines_dropped for r in fuzzylines.dedup(df, min_chars=6).collect()}[4] == 0
     assert fuzzylines.digest(empty).collect() == []
 
 
+def test_op7_rows_that_repeat_keep_one_occurrence(spark):
+    data = [(1, "alpha beta gamma\n\nalpha beta gamma\ndelta epsilon", {"a": 1})] * 3 + [(None, "only here once", None)] * 2 + [(2, None, None)] * 2
+    out = fuzzylines.dedup(spark.createDataFrame(data, "doc_id long, text string, extra map<string,int>").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == {(1, "alpha beta gamma\n\ndelta epsilon"): 1, (1, ""): 2, (None, "only here once"): 1, (None, ""): 1, (2, None): 2}
+    assert sorted(r.n_lines_dropped for r in out) == [0, 0, 0, 1, 1, 3, 3]
+
+
+def test_op7_lines_are_cut_as_plain_python_cuts_them():
+    import pyarrow as pa
+
+    data = [*texts(), "\n\n  x \t y\n\r\n z\u2003q\n", "İ Ǆ\nß", "a" * 5000 + "\n" + "b " * 3000]
+    x, want = fuzzylines.Lines(pa.array(data)), []
+    for i, t in enumerate(data):
+        want += [(i, k, norm, len(norm), len(norm.split(" "))) for k, line in enumerate((t or "").split("\n")) if (norm := fuzzylines.normal(line))]
+    got = [(int(o), int(k), x.raw[s:e].tobytes().decode(), int(z), int(n)) for o, k, s, e, z, n in zip(x.owner, x.line, x.start, x.end, x.size, x.n, strict=True)]
+    assert [g for g in got if "i" not in g[2][:2]] == [w for w in want if "i" not in w[2][:2]] and len(got) == len(want)
+
+
+def test_op7_groups_are_those_of_brute_force(spark, monkeypatch):
+    from rillsum.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", 20)
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    rng = random.Random(21)
+    stem = [f"word{rng.randrange(500)}" for _ in range(30)]
+    data = []
+    for k in range(90):  # one large group of near copies, in which a phrase is hot, and lines of their own
+        own = list(stem)
+        for i in rng.sample(range(8, 30), rng.choice([0, 1, 2, 3])):
+            own[i] = f"other{rng.randrange(500)}"
+        data.append((k, " ".join(own)))
+    data += [(100 + k, " ".join(f"single{rng.randrange(5000)}" for _ in range(20))) for k in range(30)]
+    comp = plain_components([(a, b) for a in range(len(data)) for b in range(a) if fuzzylines.similar(data[a][1], data[b][1])], range(len(data)))
+    want = {data[k][0]: int(comp[k] != k) for k in range(len(data))}
+    got = {r.doc_id: r.n_lines_dropped for r in fuzzylines.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) > 40
+
+
+@pytest.mark.parametrize("edit", ["one word", "three words", "one character", "tenth of the words"])
+def test_op7_recall_of_planted_edits(spark, sf, edit):
+    rng = random.Random(edit)
+    lines = sorted({x for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("text").dropna().collect() for x in r.text.split("\n") if len(x.split()) >= 10})
+    rng.shuffle(lines)
+    data, pairs = [], []
+    for k, line in enumerate(lines[:300]):
+        w = line.split()
+        n = {"one word": 1, "three words": 3, "one character": 0, "tenth of the words": max(1, len(w) // 10)}[edit]
+        for i in rng.sample(range(len(w)), n):
+            w[i] = "zq" + str(rng.randrange(10**6))
+        near = " ".join(w)
+        if not n:
+            i = rng.randrange(len(near))
+            near = near[:i] + "#" + near[i + 1 :]
+        data += [(2 * k, line), (2 * k + 1, near)]
+        if fuzzylines.similar(fuzzylines.normal(line), fuzzylines.normal(near)):
+            pairs.append(2 * k + 1)
+    got = {r.doc_id: r.n_lines_dropped for r in fuzzylines.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    recall = sum(got[k] for k in pairs) / len(pairs)
+    print(edit, len(pairs), recall)
+    assert len(pairs) > 100 and recall >= 0.95
+
+
 def test_op8(docs, empty, rows):
     path, plain = tok("word_bpe_49k.json")
     got = packing.digest(docs, path).collect()
@@ -326,6 +442,22 @@ def test_op9(docs, empty, rows):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.digest(docs.repartition(5)).collect()), key=repr)
     assert mixing.digest(empty).collect() == []
     assert mixing.apply(docs).columns == docs.columns
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in mixing.apply(docs).collect()) == +plan
+    assert mixing.apply(empty).collect() == []
+
+
+def test_op9_same_text_from_two_sources_and_repeated_rows(spark):
+    data = [(1, "a b c", s, k) for k, s in enumerate(["x"] * 4 + ["y"] * 3 + [None] * 2)] + [(None, "d e", "x", 20)] * 3 + [(2, None, "y", 30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, place int")
+    plan, got = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        plan[r.doc_id, r.source] += r.copies
+    for r in mixing.apply(df).collect():
+        got[r.doc_id, r.source] += 1
+    assert got == +plan
 
 
 def test_op9_rounding_keeps_mass_and_expectation():
