@@ -21,7 +21,7 @@ from rillsum.llm.graph import components, grouped, linked, near_edges
 
 SIMILARITY = 0.8
 #: Fingerprint words and pigeonhole blocks; lines that differ in more bits of 128 are not compared.
-FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 40
+FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 32
 #: Lines whose normal form has fewer characters are left alone.  1: every line with a word takes part.
 MIN_CHARS = 1
 #: A line with more characters a word is read as pairs of characters, as scripts without spaces need.
@@ -82,32 +82,52 @@ def edit_within(a, b, most: int) -> bool:
     return d <= most
 
 
+@lru_cache(2048)
+def _marks(s: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(s):
+        out[c] = out.get(c, 0) | (1 << i)
+    return out
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel over a, whose marks are kept for the next b."""
+    full = (1 << len(a)) - 1
+    v, at = full, _marks(a).get
+    for c in b:
+        if m := at(c):
+            u = v & m
+            v = (v + u) | (v - u)
+    return len(a) - (v & full).bit_count()
+
+
+#: Lines with more characters are compared by words first.
+LONG = 4000
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """1 - distance / longer length >= least.
 
-    Long lines are first compared by words: so many word edits, each at the price of the longest word,
-    prove similarity.  Counts of characters and of runs of three, of which an edit takes three at most,
-    may disprove it.  Else the distance decides.
+    The longest common subsequence leaves the longer line's other characters to be edited at least, and all
+    others of both at most, which settles nearly every pair; else the distance decides.  Very long lines are
+    first compared by words: so many word edits, each at the price of the longest word, prove similarity.
     """
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    if n > 200:
+    if n > LONG:
         x, y = a.split(" "), b.split(" ")
         if edit_within(x, y, most // (max(map(len, x + y)) + 1)):
             return True
         p, q = Counter(a), Counter(b)
         if max((p - q).total(), (q - p).total()) > most:
             return False
-    if n > 30 and (threes(a) & threes(b)).total() < n - 2 - 3 * most:
+    shared = common_subsequence(a, b)
+    if n - shared > most:
         return False
-    return edit_within(a, b, most)
-
-
-@lru_cache(4096)
-def threes(s: str) -> Counter:
-    return Counter(map("".join, zip(s, s[1:], s[2:], strict=False)))
+    return len(a) + len(b) - 2 * shared <= most or edit_within(a, b, most)
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:

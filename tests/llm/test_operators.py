@@ -317,6 +317,7 @@ def test_op7_edit_distance():
         b = "".join(x for x in a if rng.random() > 0.1) + rng.choice(["", "c", "ab"])
         d = levenshtein(a, b)
         assert all(fuzzylines.edit_within(a, b, m) == (d <= m) for m in (max(0, d - 1), d, d + 1))
+        assert fuzzylines.similar(a, b) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
 def test_op7(spark, empty):
