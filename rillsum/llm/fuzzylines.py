@@ -316,16 +316,15 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     edges = near_edges(kinds.select(*FPS, "ph"), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
     wanted = written(grouped(kinds.select("h", *FPS, "doc_id", "th"), edges, "f0"), "wanted")
     texts = written(_texts(docs, wanted), "texts")
-    links = written(components(linked(texts, FPS, RADIUS, str, similar)), "links")
+    links = components(linked(texts, FPS, RADIUS, str, similar))
     # only kinds that repeat or are linked can lose a line
     named = kinds.where("n > 1").select("h", F.col("h").alias("g")).join(links.select(F.col("node").alias("h")), "h", "left_anti")
     named = written(named.unionByName(links.select(F.col("node").alias("h"), F.col("root").alias("g"))), "named")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     again = written(t.select("doc_id", "th", "line", "h").join(named, "h").select("doc_id", "th", "line", "g"), "again")
-    first = written(again.groupBy("g").agg(F.min(place).alias("f")), "first")
-    drop = written(again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line").distinct(), "drop")
-    discard(t, kinds, wanted, texts, links, named, again, first)
-    return drop
+    discard(t, kinds, wanted, texts, named)
+    first = again.groupBy("g").agg(F.min(place).alias("f"))
+    return again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -336,7 +335,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     word of min_chars characters.  Only documents that lose a line are joined; the rest pass by a bitmap.
     """
     drop = removals(docs, min_chars)
-    gone = written(drop.groupBy("doc_id", "th").agg(F.collect_list("line").alias("gone")), "gone")
+    gone = written(drop.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")), "gone")
     again = keyed_docs(docs).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "th")
     lossy = written(gone.join(again, gone["doc_id"].eqNullSafe(again["doc_id"]) & (gone["th"] == again["th"]), "full_outer").select(F.coalesce(gone["doc_id"], again["doc_id"]).alias("doc_id"), F.coalesce(gone["th"], again["th"]).alias("th"), "gone"), "lossy")
     place = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))]
@@ -345,7 +344,6 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     key = ["__id", "__none", "__th"]
     first = hit.groupBy(*key).agg(F.min("__row").alias("__first"))
     info = first.join(lossy.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), key, "left")
-    info = written(info, "lossy_rows")
 
     @F.pandas_udf("text string, n long")
     def cut(text: pd.Series, gone: pd.Series, first: pd.Series) -> pd.DataFrame:
@@ -364,7 +362,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     changed = hit.join(info, key).withColumn("__cut", cut("text", "__gone", F.col("__row") == F.col("__first")))
     changed = changed.withColumn("text", F.col("__cut.text")).withColumn("n_lines_dropped", F.col("__cut.n").cast("int"))
-    discard(drop, gone)
+    discard(gone)
     passed = both.where("NOT __hit").withColumn("n_lines_dropped", F.lit(0))
     names = [*docs.columns, "n_lines_dropped"]
     return passed.select(*names).unionByName(changed.select(*names))

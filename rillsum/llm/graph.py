@@ -155,18 +155,18 @@ def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radiu
     packed = nodes.mapInArrow(pack, f"bucket int, key binary, {binary}").repartition("bucket").sortWithinPartitions("bucket")
     got = written(packed.mapInArrow(meet, "a long, b long, one binary, other binary"), "met")
     hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(across, "a long, b long")
-    return got.where("a IS NOT NULL").select("a", "b").unionByName(hot).distinct()
+    return got.where("a IS NOT NULL").select("a", "b").unionByName(hot)
 
 
 def grouped(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """The rows of nodes that share a component of the edges, or their number alone, with another row; root names the group."""
-    comp = written(components(edges), "comps")
+    comp = components(edges)
     shared = nodes.groupBy(node).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col(node).alias("node"), F.col(node).alias("root"))
-    member = written(comp.unionByName(shared.join(comp.select("node"), "node", "left_anti")), "members")
+    member = comp.unionByName(shared.join(comp.select("node"), "node", "left_anti"))
     return nodes.join(member, F.col(node) == F.col("node")).drop("node")
 
 
-def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
+def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 256) -> DataFrame:
     """(a, b) of id: a spanning forest, within each root, of the links that `same` confirms.
 
     members: (root, id, fps, payload).  Pairs of more than radius bits are no links.  load(payload) is what
@@ -215,14 +215,18 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
     m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
     dealt = m.select(*names).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _stars(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+#: Edges that one task turns into stars.
+BLOCK = 1 << 20
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     """(a, b), a > b, with the components of the edges: each block of a task's edges becomes stars around its least nodes."""
     import pyarrow as pa
 
-    kind = dict(edges.dtypes)["a"]
+    kind, block = dict(edges.dtypes)["a"], BLOCK
     arrow = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def _stars(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
 
         def top(x):
             while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up[y] if y in up else y
+                up[x] = x = up[y]
             return x
 
         def flush():
@@ -240,14 +244,14 @@ def _stars(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
         n = 0
         for batch in batches:
             for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                if n == block:
+                    yield flush()
+                    up.clear()
+                    n = 0
+                n += 1
                 x, y = top(x), top(y)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-            n += batch.num_rows
-            if n >= block:
-                yield flush()
-                up.clear()
-                n = 0
         if up:
             yield flush()
 
@@ -257,12 +261,17 @@ def _stars(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node of its component.
 
-    Every task turns its own edges into stars; while stars of different tasks touch, large-star and
-    small-star steps alternate.  Minima are partially aggregated; joins read written tables, so adaptive
-    execution may split a hub's rows.
+    Tasks turn a block of BLOCK edges each into stars.  While several blocks are left, large-star and
+    small-star steps let their stars touch and the blocks are formed anew.  Minima are partially aggregated;
+    joins read written tables, so adaptive execution may split a hub's rows.
     """
-    e = written(_stars(edges.where("a <> b").distinct()), "edges")
+    e = written(_stars(edges), "edges")
     for _ in range(rounds):
+        blocks = max(1, -(-e.count() // BLOCK))
+        last, e = e, written(_stars(e.coalesce(blocks)), "edges")
+        discard(last)
+        if blocks == 1:
+            break
         several = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         if several.isEmpty() and e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi").isEmpty():
             break
@@ -271,7 +280,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = written(both.where("v > u").join(near, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, e = e, written(_stars(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "edges")
+        last, e = e, written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(near, large, low, last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

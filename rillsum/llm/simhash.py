@@ -116,11 +116,11 @@ def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("two segments with balls of radius 1 find links of 3 bits at most")
     nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
     edges = near_edges(nodes.select("f0"), ["f0"], ball_keys(["f0"]), 34, distance)
-    comp = written(components(edges), "comps")
+    comp = components(edges)
     rooted = written(nodes.join(comp, F.col("f0") == F.col("node"), "left").select("f0", "least", F.coalesce("root", "f0").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = written(rooted.join(ids, "root").select("f0", "component_id"), "groups")
-    discard(nodes, comp, rooted)
+    discard(nodes, rooted)
     return out
 
 
@@ -262,7 +262,7 @@ def unique(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -
     best = g.groupBy(F.coalesce("root", "nf").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
     place = F.col("k.doc_id")
     keep = written(best.select(F.coalesce(place, F.lit(0)).alias("__id"), place.isNull().alias("__none"), F.col("k.th").alias("__th")), "kept")
-    discard(prints, kinds, wanted, texts, comp)
+    discard(prints, kinds, wanted, texts)
     key, own = ["__id", "__none", "__th"], F.col("doc_id").cast("long")
     d = docs.withColumn("__id", F.coalesce(own, F.lit(0))).withColumn("__none", own.isNull()).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     return d.dropDuplicates(key).join(keep, key, "left_semi").select(*docs.columns)

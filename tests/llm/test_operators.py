@@ -287,15 +287,16 @@ def test_op6_links_at_every_distance(spark):
     assert all(got[s] == comp[k] for k, s in enumerate(signed))
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    from rillsum.llm import graph
+
     rng = random.Random(2)
     e = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 960)]
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").repartition(6)).collect()}
     one = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").coalesce(1)).collect()}
     assert one == got
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(graph, "BLOCK", 50)  # many blocks, whose stars must meet
     assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").repartition(6)).collect()} == got
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     e = [(a, b) for a, b in e if a != b]
     assert got == plain_components(e, {x for p in e for x in p})
 
