@@ -24,14 +24,14 @@ def spread(df: DataFrame, src: str, dst: str) -> DataFrame:
 def quantiles(df: DataFrame, value: str, qs: tuple[float, ...]) -> DataFrame:
     """(quantile_index, value): the least value whose cumulative count exceeds q * n.
 
-    Values are counted first; the running sum is taken over per-range totals (a bounded number of
-    ranges), then within the ranges, so no task sees all distinct values.
+    Values are counted first; the running sum is taken over the totals of 256 ranges, then within the ranges.
+    The ranges are cut at approximate quantiles of the distinct values, so a heavy tail fills no range.
     """
     from pyspark.sql import Window as W
 
     f = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    lo_hi = f.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    part = f.crossJoin(F.broadcast(lo_hi)).select("v", "cnt", F.least(F.lit(1023), F.floor((F.col("v") - F.col("lo")).cast("double") * 1024 / (F.col("hi") - F.col("lo") + 1))).alias("r"))
+    cuts = f.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
+    part = f.crossJoin(F.broadcast(cuts)).select("v", "cnt", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("r"))
     tot = part.groupBy("r").agg(F.sum("cnt").alias("t"))
     off = tot.select("r", (F.sum("t").over(W.orderBy("r")) - F.col("t")).alias("before"), F.sum("t").over(W.partitionBy()).alias("n"))
     cum = part.join(F.broadcast(off), "r").select("v", "n", (F.col("before") + F.sum("cnt").over(W.partitionBy("r").orderBy("v"))).alias("cum"))
@@ -56,3 +56,17 @@ def accuracy(est: DataFrame, alpha: float, near: int = 10_000) -> DataFrame:
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * 1_000_000 / F.col(b))).cast("long")
     return a.select("*", ratio("n_both", "n_true").alias("cr_ppm"), ratio("n_both", "n_est").alias("pr_ppm"))
+
+
+def metrics(acc: DataFrame) -> DataFrame:
+    """(cr, pr, aae, are): the accuracy row as ratios; null where nothing is heavy."""
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b).cast("double"))
+    return acc.select(
+        ratio("n_both", "n_true").alias("cr"), ratio("n_both", "n_est").alias("pr"), ratio("abs_error", "n_both").alias("aae"),
+        (ratio("rel_error_ppm", "n_both") / F.lit(1e6)).alias("are"),
+    )
+
+
+def write_metrics(acc: DataFrame, path: str) -> None:
+    """Appends the metrics as one JSON line a call, through Spark's committer."""
+    metrics(acc).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(path)

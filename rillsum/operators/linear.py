@@ -1,8 +1,8 @@
 """Linear counter sketches: count-min, count-sketch and the layered sketch.
 
-A sketch is the relation (level, cell, v): cell = row * length + position.  Build is one partial
-and one final hash aggregate, so what is shuffled is at most cells x map tasks whatever the rows
-and however hot a key is; merge is a union and the same aggregate.  Point estimates look counters
+A sketch is the relation (level, row_id, pos, v).  Build hashes the rows where they are scanned and is one
+partial and one final hash aggregate over cells, so what is shuffled is at most cells x map tasks whatever
+the rows, the distinct keys and however hot a key is; merge is a union and the same aggregate.  Point estimates look counters
 up in the packed form (cell position -> array over rows), whose size the config bounds.
 """
 
@@ -23,6 +23,16 @@ def keyed(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def each(df: DataFrame, key: str) -> DataFrame:
+    """(key, cnt): every row with a non-null key, counted once."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lit(1).cast("long").alias("cnt"))
+
+
+def count_of(df: DataFrame, key: str) -> DataFrame:
+    """(n): rows with a key, one row per task shuffled."""
+    return df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _seeds(levels: int, rows: int) -> list[int]:
     return [level * rows + row for level in range(levels) for row in range(rows)]
 
@@ -64,10 +74,11 @@ def packed(sketch: DataFrame, rows: int, length: int) -> DataFrame:
     return sketch.groupBy((F.col("level") * length + F.col("pos")).alias("cell")).agg(F.array(*v).alias("vs"))
 
 
-def looked_up(hashed_keys: DataFrame, sketch: DataFrame, level: int | None, rows: int, length: int, levels: int, signed: bool) -> DataFrame:
+def looked_up(hashed_keys: DataFrame, sketch: DataFrame, level: int | None, rows: int, length: int, levels: int, signed: bool, least: DataFrame | None = None) -> DataFrame:
     """Adds est: the minimum (unsigned) or median (signed) over rows of a key's counters.
 
-    With level None the keys are read at every level up to their depth, and level is added.
+    With level None the keys are read at every level up to their depth, and level is added.  least: a one-row
+    relation (least); keys whose first counter does not exceed it leave before the other rows are read.
     """
     side = packed(sketch, rows, length)
     side = F.broadcast(side) if levels * length <= BROADCAST_CELLS else side.hint("shuffle_hash")
@@ -86,6 +97,8 @@ def looked_up(hashed_keys: DataFrame, sketch: DataFrame, level: int | None, rows
     for r in range(rows):
         t = side.select(F.col("cell").alias(f"c{r}"), F.col("vs").alias(f"vs{r}"))
         at = at.join(t, F.col("level") * length + F.col(f"p{r}") == F.col(f"c{r}"), "left")
+        if r == 0 and least is not None:
+            at = at.crossJoin(F.broadcast(least)).where(F.col("vs0")[0] > F.col("least")).drop("least")
     v = [F.coalesce(F.col(f"vs{r}")[r], F.lit(0).cast("long")) for r in range(rows)]
     v = [F.col(f"s{r}") * x for r, x in enumerate(v)] if signed else v
     est = median(v) if signed else (F.least(*v) if rows > 1 else v[0])
@@ -107,7 +120,7 @@ class CountMin:
         return hashed(keys, 1, self.c.rows, self.c.length, False)
 
     def build(self, df: DataFrame, key: str) -> DataFrame:
-        return counters(self._hashed(keyed(df, key)), 1, self.c.rows, False)
+        return counters(self._hashed(each(df, key)), 1, self.c.rows, False)
 
     def estimate(self, sketch: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, cnt, est) for keys (key, cnt)."""
@@ -117,8 +130,12 @@ class CountMin:
         return self.estimate(self.build(df, key), keyed(df, key))
 
     def heavy_hitters(self, df: DataFrame, key: str) -> DataFrame:
-        n = keyed(df, key).agg(F.sum("cnt").alias("n"))
-        return over_threshold(self.point_estimates(df, key), n, self.c.alpha).select("key", "est")
+        """Keys with est > alpha * n; n is what one row of the sketch holds, and alpha / 2 * n the pre-filter."""
+        sketch = self.build(df, key)
+        n = sketch.where("row_id = 0").agg(F.sum("v").alias("n"))
+        least = n.select(F.floor(F.col("n") * F.lit(self.c.alpha / 2)).alias("least"))
+        est = looked_up(self._hashed(keyed(df, key)), sketch, 0, self.c.rows, self.c.length, 1, False, least)
+        return over_threshold(est, n, self.c.alpha).select("key", "est")
 
 
 class CountSketch:
@@ -131,7 +148,7 @@ class CountSketch:
         return hashed(keys, 1, self.c.rows, self.c.length, True)
 
     def build(self, df: DataFrame, key: str) -> DataFrame:
-        return counters(self._hashed(keyed(df, key)), 1, self.c.rows, True)
+        return counters(self._hashed(each(df, key)), 1, self.c.rows, True)
 
     def estimate(self, sketch: DataFrame, keys: DataFrame) -> DataFrame:
         return looked_up(self._hashed(keys), sketch, 0, self.c.rows, self.c.length, 1, True).drop("level")
@@ -140,8 +157,7 @@ class CountSketch:
         return self.estimate(self.build(df, key), keyed(df, key))
 
     def heavy_hitters(self, df: DataFrame, key: str) -> DataFrame:
-        n = keyed(df, key).agg(F.sum("cnt").alias("n"))
-        return over_threshold(self.point_estimates(df, key).where("est > 0"), n, self.c.alpha).select("key", "est")
+        return over_threshold(self.point_estimates(df, key).where("est > 0"), count_of(df, key), self.c.alpha).select("key", "est")
 
 
 class Univ:
@@ -162,7 +178,7 @@ class Univ:
         return at.groupBy("level").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("cnt").alias("n_rows"))
 
     def build(self, df: DataFrame, key: str) -> DataFrame:
-        return counters(self._hashed(keyed(df, key)), self.c.levels, self.c.rows, True)
+        return counters(self._hashed(each(df, key)), self.c.levels, self.c.rows, True)
 
     def estimate(self, sketch: DataFrame, keys: DataFrame) -> DataFrame:
         """(key, cnt, level, est) at every level that holds the key, by that level's own seeds."""
@@ -170,9 +186,8 @@ class Univ:
         return looked_up(self._hashed(keys), sketch, None, c.rows, c.length, c.levels, True)
 
     def level_heavy_hitters(self, df: DataFrame, key: str) -> DataFrame:
-        keys = keyed(df, key)
-        est = self.estimate(self.build(df, key), keys).where("est > 0")
-        return over_threshold(est, keys.agg(F.sum("cnt").alias("n")), self.c.alpha).select("level", "key", "est")
+        est = self.estimate(self.build(df, key), keyed(df, key)).where("est > 0")
+        return over_threshold(est, count_of(df, key), self.c.alpha).select("level", "key", "est")
 
     def heavy_hitters(self, df: DataFrame, key: str) -> DataFrame:
         """One row per key: the estimate of the lowest level that reports it."""
@@ -180,14 +195,17 @@ class Univ:
         return per.select("key", F.col("x.level").alias("level"), F.col("x.est").alias("est"))
 
 
-def keeper(est: DataFrame, c: KeeperConfig = KeeperConfig()) -> DataFrame:
+def keeper(est: DataFrame, c: KeeperConfig = KeeperConfig(), levels: int = 0) -> DataFrame:
     """The bounded keeper: per hash bucket the `slots` largest estimates, ties to the smaller key.
 
-    Row numbers under a limit get a per-task window group limit, so a bucket is cut before the shuffle.
+    With levels, est has a level and every level a keeper of its own, hashed by seed + level.  Row numbers
+    under a limit get a per-task window group limit, so a bucket is cut before the shuffle.
     """
     from pyspark.sql import Window as W
 
-    h = with_hash32(est.select("key", "est"), "key", [c.seed])
-    b = h.select("key", "est", (F.col(f"h{c.seed}") % c.buckets).alias("bucket"))
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("est"), "key"))
-    return b.withColumn("slot", rank).where(F.col("slot") <= c.slots).select("bucket", "slot", "key", "est")
+    seeds, own = [c.seed + level for level in range(max(1, levels))], ["level"] if levels else []
+    h = with_hash32(est.select(*own, "key", "est"), "key", seeds)
+    place = F.element_at(F.array(*[F.col(f"h{x}") for x in seeds]), F.col("level") + 1) if levels else F.col(f"h{c.seed}")
+    b = h.select(*own, "key", "est", (place % c.buckets).alias("bucket"))
+    rank = F.row_number().over(W.partitionBy(*own, "bucket").orderBy(F.desc("est"), "key"))
+    return b.withColumn("slot", rank).where(F.col("slot") <= c.slots).select(*own, "bucket", "slot", "key", "est")

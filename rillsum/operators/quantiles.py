@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ class LogBuckets:
         return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("cnt"))
 
     @staticmethod
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.unionByName(b).groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
+    def merge(*sketches: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, sketches).groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
 
     def quantiles(self, sketch: DataFrame, qs: tuple[float, ...] | None = None) -> DataFrame:
         """(quantile_index, bucket, value): per q the least bucket whose cumulative count exceeds q * n.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,33 @@ class Spread:
         cells = F.array(*[F.struct(F.lit(r).alias("row_id"), column_of(F.col(f"h{r}"), c.length).alias("pos")) for r in range(c.rows)])
         return h.select("src", "rank", "reg", F.explode(cells).alias("x")).select("x.row_id", "x.pos", "reg", "rank", "src")
 
+    def cells(self, df: DataFrame, src: str, dst: str) -> DataFrame:
+        """(row_id, pos, reg, code): per register the highest rank, and of its sources the smallest, in one integer.
+
+        One aggregate from which registers and candidates both follow; at most rows * length * registers rows.
+        """
+        code = F.shiftleft(F.col("rank").cast("long"), 32) + (F.lit(0xFFFFFFFF) - F.col("src"))
+        return self._updates(df, src, dst).withColumn("code", code).groupBy("row_id", "pos", "reg").agg(F.max("code").alias("code"))
+
+    def registers_of(self, cells: DataFrame) -> DataFrame:
+        """(row_id, pos, reg, rank) over the rank gate."""
+        return cells.select("row_id", "pos", "reg", F.shiftright("code", 32).cast("int").alias("rank")).where(F.col("rank") > self.c.min_rank)
+
+    def candidates_of(self, cells: DataFrame) -> DataFrame:
+        """(row_id, pos, level, candidate): the source of the highest rank, ties to the smallest source."""
+        top = cells.groupBy("row_id", "pos").agg(F.max("code").alias("code"))
+        level, source = F.shiftright("code", 32).cast("int"), F.lit(0xFFFFFFFF) - F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))
+        return top.select("row_id", "pos", level.alias("level"), source.alias("candidate")).where(F.col("level") > self.c.min_rank)
+
     def registers(self, df: DataFrame, src: str, dst: str) -> DataFrame:
-        """(row_id, pos, reg, rank): at most rows * length * registers rows."""
-        r = self._updates(df, src, dst).groupBy("row_id", "pos", "reg").agg(F.max("rank").alias("rank"))
-        return r.where(F.col("rank") > self.c.min_rank)
+        return self.registers_of(self.cells(df, src, dst))
 
     def candidates(self, df: DataFrame, src: str, dst: str) -> DataFrame:
-        """(row_id, pos, level, candidate): the source of the highest rank, ties to the smallest source."""
-        u = self._updates(df, src, dst)
-        top = u.groupBy("row_id", "pos").agg(F.max(F.struct("rank", (-F.col("src")).alias("neg"))).alias("x"))
-        top = top.where(F.col("x.rank") > self.c.min_rank)
-        return top.select("row_id", "pos", F.col("x.rank").alias("level"), (-F.col("x.neg")).alias("candidate"))
+        return self.candidates_of(self.cells(df, src, dst))
+
+    @staticmethod
+    def merge_cells(*cells: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, cells).groupBy("row_id", "pos", "reg").agg(F.max("code").alias("code"))
 
     @staticmethod
     def merge_registers(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -71,4 +89,5 @@ class Spread:
         return got.groupBy("src").agg(F.min("card").alias("est"))
 
     def spreads(self, df: DataFrame, src: str, dst: str, corrected: bool = False) -> DataFrame:
-        return self.estimate(self.registers(df, src, dst), self.candidates(df, src, dst), corrected)
+        cells = self.cells(df, src, dst)  # one exchange in the executed plan, read by both
+        return self.estimate(self.registers_of(cells), self.candidates_of(cells), corrected)

@@ -78,7 +78,7 @@ def heavy(kind: str, length: int, src: str) -> str:
 
 
 def accuracy(kind: str, length: int, src: str) -> str:
-    return f"""WITH {est(kind, length, src)}, c AS (SELECT *, est > t AS e, cnt > t AS x, abs(est - cnt) AS err FROM est, tot),
+    return f"""WITH {est(kind, length, src)}, c AS (SELECT *, est > t AS e, cnt > t AS x, abs(est - cnt) AS err FROM est, tot WHERE level = 0),
     a AS (SELECT CAST(count(*) FILTER (x) AS BIGINT) AS n_true, CAST(count(*) FILTER (e) AS BIGINT) AS n_est, CAST(count(*) FILTER (e AND x) AS BIGINT) AS n_both,
       CAST(coalesce(sum(err) FILTER (e AND x), 0) AS BIGINT) AS abs_error, CAST(coalesce(sum(err * 1000000 // cnt) FILTER (e AND x), 0) AS BIGINT) AS rel_error_ppm,
       CAST(count(*) FILTER (NOT e AND t - est < 10000) AS BIGINT) AS n_near FROM c)
@@ -150,6 +150,21 @@ def oracle_sql() -> dict[str, str]:
         "cm_stream": counters("cm", SMALL, SKEWED),
         "cs_merge": counters("cs", SMALL, SKEWED),
         "cm_keeper": f"WITH {est('cm', SMALL, SKEWED)}, {hash_cte('kb', 'est', 'key', '101')} SELECT CAST(h % 12 AS BIGINT) AS bucket, CAST(row_number() OVER (PARTITION BY h % 12 ORDER BY est DESC, key) AS INTEGER) AS slot, key, est FROM kb QUALIFY slot <= 4",
+        "cs_stream": counters("cs", SMALL, SKEWED),
+        "um_stream": counters("um", SMALL, SKEWED),
+        "dd_stream": quantiles(PRICES),
+        "ss_stream": spreads(4096),
+        "cm_snapshot": counters("cm", SMALL, f"SELECT * FROM ({SKEWED}) WHERE event_id % 4 < 2"),
+        "cm_staleness": "WITH b AS (SELECT CAST(event_id % 4 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS n_rows FROM events GROUP BY 1) SELECT *, CAST(sum(n_rows) OVER (ORDER BY batch_id) AS BIGINT) AS n_total FROM b",
+        "cm_gate": "WITH b AS (SELECT CAST(n_nationkey // 6 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS n_rows FROM nation GROUP BY 1), p AS (SELECT *, CAST(CASE WHEN batch_id % 2 = 0 THEN n_rows ELSE n_rows + lag(n_rows) OVER (ORDER BY batch_id) END AS BIGINT) AS pending FROM b) SELECT *, pending > 10 AS published FROM p",
+        "cs_counters": counters("cs", WIDE, SKEWED),
+        "cs_keeper": f"WITH {est('cs', SMALL, SKEWED)}, pos AS (SELECT * FROM est WHERE est > 0), {hash_cte('kb', 'pos', 'key', '101')} SELECT CAST(h % 12 AS BIGINT) AS bucket, CAST(row_number() OVER (PARTITION BY h % 12 ORDER BY est DESC, key) AS INTEGER) AS slot, key, est FROM kb QUALIFY slot <= 4",
+        "um_keeper": f"WITH {est('um', SMALL, SKEWED)}, pos AS (SELECT * FROM est WHERE est > 0), {hash_cte('kb', 'pos', 'key', '101,102,103,104,105,106')} SELECT level, CAST(h % 12 AS BIGINT) AS bucket, CAST(row_number() OVER (PARTITION BY level, h % 12 ORDER BY est DESC, key) AS INTEGER) AS slot, key, est FROM kb WHERE seed = 101 + level QUALIFY slot <= 4",
+        "um_accuracy": accuracy("um", WIDE, SKEWED),
+        "um_accuracy_small": accuracy("um", SMALL, SKEWED),
+        "cm_metrics": f"WITH m AS ({accuracy('cm', SMALL, SKEWED)}) SELECT n_both::DOUBLE / n_true AS cr, n_both::DOUBLE / n_est AS pr, abs_error::DOUBLE / n_both AS aae, rel_error_ppm::DOUBLE / n_both / 1e6 AS are FROM m",
+        "ss_candidates_gated": f"WITH {spread_cells(4096, 4)} SELECT * FROM cand",
+        "packed_sources": f"SELECT src, CAST(count(*) AS BIGINT) AS n FROM ({PAIRS}) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src",
         "um_levels": f"WITH {keyed('SELECT o_orderkey AS key FROM orders')}, {hash_cte('d', 'keyed', 'key', '199')}, l AS (SELECT cnt, unnest(range(0, 1 + least(5, {clz('h')}))) AS level FROM d) SELECT CAST(level AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n_keys, CAST(sum(cnt) AS BIGINT) AS n_rows FROM l GROUP BY level",
         "um_counters": counters("um", WIDE, SKEWED),
         "um_counters_small": counters("um", SMALL, SKEWED),

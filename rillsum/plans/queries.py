@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillsum.config import CountMinConfig, CountSketchConfig, LogBucketConfig, SpreadConfig, UnivConfig
 from rillsum.functions.hashing import with_hash32
-from rillsum.functions.scalars import cardinality, median
+from rillsum.functions.scalars import cardinality, median, pack_pair, source_of
 from rillsum.operators import exact, linear
 from rillsum.operators.linear import CountMin, CountSketch, Univ, keeper, keyed
 from rillsum.operators.quantiles import LogBuckets
@@ -92,15 +92,48 @@ def median3(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(median(cols[:3]).alias("m3"), median(cols).alias("m4")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cm_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Counters kept by a stream of micro-batches over events; equal to the batch counters."""
-    src = table(spark, d, "events")
+def streamed(spark: SparkSession, df: DataFrame, part: str, n: int, build: Callable, merge: Callable, min_rows: int = 0) -> SketchStream:
+    """A stream over n files, file i with the rows where part = i, one file a batch in that order."""
     root = shared_dir(spark)
-    src.repartition(4).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    s = SketchStream(spark, lambda b: cm(SMALL).build(b, "key"), linear.merge, root)
-    s.run(stream.select(F.floor("value").cast("long").alias("key")))
-    return s.snapshot()
+    for i in range(n):
+        df.where(F.expr(part) == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    s = SketchStream(spark, build, merge, root)
+    s.run(stream, min_rows=min_rows)
+    return s
+
+
+def key_stream(op, spark: SparkSession, d: str) -> SketchStream:
+    return streamed(spark, skewed(spark, d), "event_id % 4", 4, lambda b: op.build(b, "key"), linear.merge)
+
+
+def dd_stream(spark: SparkSession, d: str) -> DataFrame:
+    dd = LogBuckets()
+    s = streamed(spark, prices(spark, d), "l_orderkey % 3", 3, lambda b: dd.build(b, "v"), dd.merge)
+    s.compact()
+    return dd.quantiles(s.snapshot())
+
+
+def ss_stream(spark: SparkSession, d: str) -> DataFrame:
+    sp = Spread()
+    cells = streamed(spark, pairs(spark, d), "dst % 3", 3, lambda b: sp.cells(b, "src", "dst"), sp.merge_cells).snapshot()
+    return sp.estimate(sp.registers_of(cells), sp.candidates_of(cells))
+
+
+def cm_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The publish gate over batches of six rows: more than ten must have come."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"))
+    return streamed(spark, n, "key DIV 6", 5, lambda b: cm(SMALL).build(b, "key"), linear.merge, min_rows=10).log()
+
+
+def um_point(spark: SparkSession, d: str, length: int) -> DataFrame:
+    op, keys = um(length), skewed(spark, d)
+    return op.estimate(op.build(keys, "key"), keyed(keys, "key"))
+
+
+def packed_sources(spark: SparkSession, d: str) -> DataFrame:
+    packed = pairs(spark, d).where("src IS NOT NULL AND dst IS NOT NULL").select(pack_pair(F.col("src"), F.col("dst")).alias("packed"))
+    return packed.groupBy(source_of(F.col("packed")).alias("src")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def um_counters(length: int) -> Query:
@@ -120,7 +153,22 @@ def queries() -> dict[str, Query]:
         "cm_partkey_small": lambda s, d: cm(SMALL).point_estimates(K.key_view(table(s, d, "lineitem"), "l_partkey"), "key"),
         "cm_merge": lambda s, d: merged(cm(SMALL), skewed(s, d), "event_id").drop("level"),
         "cm_keeper": lambda s, d: keeper(cm(SMALL).point_estimates(skewed(s, d), "key")),
-        "cm_stream": lambda s, d: cm_stream(s, d).drop("level"),
+        "cm_stream": lambda s, d: key_stream(cm(SMALL), s, d).snapshot().drop("level"),
+        "cs_stream": lambda s, d: key_stream(cs(SMALL), s, d).snapshot().drop("level"),
+        "um_stream": lambda s, d: key_stream(um(SMALL), s, d).snapshot(),
+        "dd_stream": dd_stream,
+        "ss_stream": ss_stream,
+        "cm_snapshot": lambda s, d: key_stream(cm(SMALL), s, d).snapshot(1).drop("level"),
+        "cm_staleness": lambda s, d: key_stream(cm(SMALL), s, d).staleness(),
+        "cm_gate": cm_gate,
+        "cs_counters": lambda s, d: cs(WIDE).build(skewed(s, d), "key").drop("level"),
+        "cs_keeper": lambda s, d: keeper(cs(SMALL).point_estimates(skewed(s, d), "key").where("est > 0")),
+        "um_keeper": lambda s, d: keeper(um_point(s, d, SMALL).where("est > 0"), levels=UnivConfig().levels),
+        "um_accuracy": lambda s, d: exact.accuracy(um_point(s, d, WIDE).where("level = 0"), ALPHA),
+        "um_accuracy_small": lambda s, d: exact.accuracy(um_point(s, d, SMALL).where("level = 0"), ALPHA),
+        "cm_metrics": lambda s, d: exact.metrics(exact.accuracy(cm(SMALL).point_estimates(skewed(s, d), "key"), ALPHA)),
+        "ss_candidates_gated": lambda s, d: Spread(SpreadConfig(min_rank=4)).candidates(pairs(s, d), "src", "dst"),
+        "packed_sources": packed_sources,
         "cs_merge": lambda s, d: merged(cs(SMALL), skewed(s, d), "event_id").drop("level"),
         "um_levels": lambda s, d: um(WIDE).levels(table(s, d, "orders").select(F.col("o_orderkey").alias("key")), "key"),
         "um_counters": um_counters(WIDE),

@@ -17,8 +17,8 @@ def key_view(df: DataFrame, expr: Column | str, name: str = "key") -> DataFrame:
 def read_u64(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
     """(key BIGINT) of files of bare little-endian 8-byte keys; a trailing partial key is ignored.
 
-    One row per file reaches Python as Arrow and leaves it in batches of `chunk` keys.  Split a
-    large dataset into files of under 2 GB, the limit of a binary cell.
+    One row per file reaches Python as Arrow and leaves it in batches of `chunk` keys, for files under
+    2 GB, the limit of a binary cell; read_u64_split reads larger ones.
     """
     import numpy as np
     import pyarrow as pa
@@ -34,6 +34,22 @@ def read_u64(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "key long")
 
 
+def read_u64_split(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
+    """(key BIGINT) of files of any size: fixed-length records let Spark split a file, which a binary cell can't.
+
+    The length of each file must be a multiple of 8 bytes.  Records reach Python by the partition and leave
+    it as packed cells of `chunk` keys, so a row of the RDD is not a row of the result.
+    """
+    from itertools import islice
+
+    def pack(records):
+        while part := list(islice(records, chunk)):
+            yield (bytearray(b"".join(part)),)
+
+    cells = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).mapPartitions(pack), "content binary")
+    return unpacked(cells)
+
+
 def write_u64(df: DataFrame, key: str, path: str) -> None:
     """Writes keys as packed cells (the bare 8-byte layout, one cell per Arrow batch) in Parquet files, through Spark's committer."""
     import numpy as np
@@ -47,8 +63,8 @@ def write_u64(df: DataFrame, key: str, path: str) -> None:
     df.select(F.col(key).cast("long")).mapInArrow(encode, "content binary").write.mode("overwrite").parquet(path)
 
 
-def read_packed_u64(spark: SparkSession, path: str) -> DataFrame:
-    """Reads what write_u64 wrote."""
+def unpacked(cells: DataFrame) -> DataFrame:
+    """(key) of packed cells (content)."""
     import numpy as np
     import pyarrow as pa
 
@@ -57,7 +73,12 @@ def read_packed_u64(spark: SparkSession, path: str) -> DataFrame:
             for cell in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(cell.as_buffer(), "<i8"))], ["key"])
 
-    return spark.read.parquet(path).mapInArrow(decode, "key long")
+    return cells.select("content").mapInArrow(decode, "key long")
+
+
+def read_packed_u64(spark: SparkSession, path: str) -> DataFrame:
+    """Reads what write_u64 wrote."""
+    return unpacked(spark.read.parquet(path))
 
 
 def uniform(col: Column, salt: int) -> Column:

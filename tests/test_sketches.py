@@ -151,7 +151,48 @@ def test_stream_snapshots(spark, tmp_path):
         spark.range(i * 100, i * 100 + 100).selectExpr("id % 17 AS key").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     op = CountMin(CountMinConfig(length=64))
     s = SketchStream(spark, lambda b: op.build(b, "key"), linear.merge, str(tmp_path / "s"))
-    s.run(spark.readStream.schema("key long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream = spark.readStream.schema("key long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    s.run(stream, min_rows=150)  # the second batch is published, the third waits
     whole = spark.read.parquet(str(tmp_path / "in"))
+    assert [tuple(r) for r in s.log().orderBy("batch_id").collect()] == [(0, 100, 100, False), (1, 100, 200, True), (2, 100, 100, False)]
+    total = lambda x: x.where("row_id = 0").agg(F.sum("v")).first()[0]
+    assert total(s.snapshot()) == 200 and s.snapshot(0).collect() == []
+    before = sorted(s.snapshot().collect())
+    s.compact()
+    assert sorted(s.snapshot().collect()) == before
+    s = SketchStream(spark, lambda b: op.build(b, "key"), linear.merge, str(tmp_path / "s2"))
+    s.run(stream)
+    s.compact()
     assert sorted(s.snapshot().collect()) == sorted(op.build(whole, "key").collect())
-    assert s.snapshot(0).where("row_id = 0").agg(F.sum("v")).first()[0] == s.staleness().where("batch_id = 0").first().n_total
+    assert total(s.snapshot(0)) == s.staleness().where("batch_id = 0").first().n_total == 100
+
+
+def test_count_min_build_has_one_exchange(spark):
+    df = keys_of(spark, ROWS)
+    plan = CountMin(CountMinConfig(length=64)).build(df, "key")._jdf.queryExecution().sparkPlan().toString()
+    built = CountMin(CountMinConfig(length=64)).build(spark.range(10).withColumnRenamed("id", "key"), "key")
+    text = built._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "HashAggregate(keys=[key" not in plan
+
+
+def test_large_files_are_split(spark, tmp_path):
+    import numpy as np
+
+    np.arange(200_000, dtype="<i8").tofile(tmp_path / "k.bin")
+    got = K.read_u64_split(spark, str(tmp_path / "k.bin"))
+    assert got.agg(F.count(F.lit(1)), F.sum("key")).first()[:] == (200_000, 200_000 * 199_999 // 2)
+
+
+def test_exact_quantiles_of_a_heavy_tail(spark):
+    df = spark.range(5000).select(F.floor(F.pow(F.lit(1.004), F.col("id").cast("double"))).cast("long").alias("v"))
+    v = sorted(r.v for r in df.collect())
+    qs = (0.125, 0.5, 0.999)
+    got = {r.quantile_index: r.value for r in exact.quantiles(df, "v", qs).collect()}
+    assert got == {i: next(x for k, x in enumerate(v, 1) if k > q * len(v) and (k == len(v) or v[k] != x)) for i, q in enumerate(qs)}
+
+
+def test_metrics_are_written(spark, tmp_path):
+    est = spark.createDataFrame([(1, 100, 110), (2, 1, 1)], "key long, cnt long, est long")
+    exact.write_metrics(exact.accuracy(est, 0.5), str(tmp_path / "m"))
+    r = spark.read.json(str(tmp_path / "m")).first()
+    assert (r.cr, r.pr, r.aae, r["are"]) == (1.0, 1.0, 10.0, 0.1)
