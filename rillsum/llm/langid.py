@@ -75,7 +75,7 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     import numpy as np
     import pyarrow as pa
 
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), FOLDS) != HELD)
+    known = docs.select("doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), FOLDS) != HELD)
     per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row per language
     share = F.broadcast(per.select(F.col("lang").alias("p_lang"), (F.lit(float(SAMPLE)) / F.col("n")).alias("share")))
     draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -1,9 +1,10 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces of documents are dealt to blocks of a few thousand.  Each block is evolved on several islands
-from different seeds: crossover injects whole well-filled bins of one parent into the other, drops the
-bins that repeat an item, and best-fits what was displaced.  After each epoch every island's elite
-migrates to the next island.  The bins of a block that are not well filled go on to a coarser level.
+Pieces of documents are dealt to blocks of a few thousand.  Each block is evolved on several islands from
+packings of items in noisy or random order: crossover injects whole well-filled bins of one parent into the
+other, drops the bins that repeat an item, and best-fits what was displaced; mutation opens a few bins anew.
+After each epoch every island's elite migrates to the next island.  Bins that can still take an item go on
+to a coarser level.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, byte_chunks, kept_in_worker, text_or_empty, written
+from rillsum.llm.common import TokenBytes, byte_chunks, discard, kept_in_worker, text_or_empty, written
 
 CAPACITY = 2048
 #: Items of a block, and about the most of a coarser one.
 BLOCK, COARSE = 4096, 65_536
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 4
+#: Share of the children that mutate, and how many bins a mutation opens besides the emptiest.
+MUTANTS, OPENED = 0.5, 3
 #: A bin with at most so many free places is settled where it is.
 SETTLED = 8
 
@@ -93,25 +96,51 @@ def cross(a: list[list[int]], b: list[list[int]], size: list[int], cap: int, rng
     return out.bins
 
 
-def seeded(size: list[int], cap: int, rng: random.Random, noise: float) -> list[list[int]]:
+def mutate(bins: list[list[int]], size: list[int], cap: int, rng: random.Random) -> list[list[int]]:
+    """Opens the emptiest bin and a few others, and best-fits their items in random order."""
+    if len(bins) <= OPENED:
+        return bins
+    fill = [sum(size[i] for i in b) for b in bins]
+    opened = {min(range(len(bins)), key=lambda k: (fill[k], k)), *rng.sample(range(len(bins)), OPENED)}
+    out, loose = Bins(cap), [i for k in sorted(opened) for i in bins[k]]
+    for k, b in enumerate(bins):
+        if k not in opened:
+            out.add(list(b), fill[k])
+    rng.shuffle(loose)
+    out.best_fit(loose, size)
+    return out.bins
+
+
+def seeded(size: list[int], cap: int, rng: random.Random, noise: float | None) -> list[list[int]]:
+    """Best fit of the items from large to small, with their sizes raised by up to `noise`; in random order for None."""
+    order = list(range(len(size)))
+    if noise is None:
+        rng.shuffle(order)
+    else:
+        order = sorted(order, key=lambda i: (-size[i] * (1 + noise * rng.random()), i))
     out = Bins(cap)
-    out.best_fit(sorted(range(len(size)), key=lambda i: (-size[i] * (1 + noise * rng.random()), i)), size)
+    out.best_fit(order, size)
     return out.bins
 
 
 def evolve(size: list[int], cap: int, seed: int, elites: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing that an island finds from its elites and seeded packings; stops at the lower bound."""
+    """The best packing that an island finds from its elites and seeded packings.
+
+    One generation is bred at least; after it the search ends when no packing can have fewer bins.  Island 0
+    begins with one packing by best fit decreasing, so the result is never worse than that.
+    """
     rng = random.Random(seed)
     bound = -(-sum(size) // cap)
     pop = list(elites)
     while len(pop) < population:
-        pop.append(seeded(size, cap, rng, 0.0 if not pop and seed % ISLANDS == 0 else 0.1))
+        pop.append(seeded(size, cap, rng, 0.0 if not pop and seed % ISLANDS == 0 else 0.1 if len(pop) % 2 else None))
     rank = lambda x: fitness(x, size, cap)
     pop.sort(key=rank)
-    for _ in range(generations):
-        if len(pop[0]) <= bound:
+    for g in range(generations):
+        if g and len(pop[0]) <= bound:
             break
         kids = [cross(pop[i % len(pop)], pop[rng.randrange(len(pop))], size, cap, rng) for i in range(population - 1)]
+        kids = [mutate(k, size, cap, rng) if rng.random() < MUTANTS else k for k in kids]
         pop = sorted([*pop, *kids], key=rank)[:population]
     return pop[0]
 
@@ -190,7 +219,7 @@ def sequence_ids(level: int, block: int, bins):
 
 
 def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int) -> DataFrame:
-    """Rows of ITEM with block, sequence_id, offset and settled."""
+    """Rows of ITEM with block, sequence_id, offset and free, the free places of the bin."""
     import numpy as np
     import pyarrow as pa
 
@@ -209,13 +238,13 @@ def _laid(blocks: DataFrame, best: DataFrame, level: int, capacity: int) -> Data
                 base = np.concatenate(([0], np.cumsum(used)[:-1]))
                 offset = np.empty(len(size), "i8")
                 offset[order] = run_ - base[bins[order]]
-                settled = used[bins] >= capacity - SETTLED
+                free = capacity - used[bins]
                 yield pa.RecordBatch.from_arrays(
-                    [items.field(c) for c in names] + [pa.array(np.full(len(size), block)), pa.array(ids), pa.array(offset), pa.array(settled)],
-                    [*names, "block", "sequence_id", "offset", "settled"],
+                    [items.field(c) for c in names] + [pa.array(np.full(len(size), block)), pa.array(ids), pa.array(offset), pa.array(free)],
+                    [*names, "block", "sequence_id", "offset", "free"],
                 )
 
-    return blocks.join(best, "block").select("block", "items", "elite").mapInArrow(run, ITEM + ", block long, sequence_id long, offset long, settled boolean")
+    return blocks.join(best, "block").select("block", "items", "elite").mapInArrow(run, ITEM + ", block long, sequence_id long, offset long, free long")
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -239,12 +268,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             elites = written(_evolved(held, elites, epoch, capacity), "elites")
         best = elites.groupBy("block").agg(F.min(F.struct("bins", "worth", "island", "elite")).alias("b")).select("block", F.col("b.elite").alias("elite"))
         laid = written(_laid(held, best, level, capacity), "laid")
-        left = -(-laid.where("NOT settled").count() // COARSE) if blocks > 1 else 0
+        discard(held, elites)
+        # a bin is settled where it is well filled, or where no item of the bins that are not would fit
+        least = laid.where(F.col("free") > SETTLED).agg(F.min("length")).first()[0] or 0
+        settled = F.col("free") < max(SETTLED + 1, least)
+        left = -(-laid.where(~settled).count() // COARSE) if blocks > 1 else 0
         if not left or left >= blocks:  # no coarser level would help: all bins stay as they are
             out.append(laid.select(*fields, "sequence_id", "offset"))
             break
-        out.append(laid.where("settled").select(*fields, "sequence_id", "offset"))
-        rows = laid.where("NOT settled").select(F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(left)).alias("block"), *fields)
+        out.append(laid.where(settled).select(*fields, "sequence_id", "offset"))
+        rows = laid.where(~settled).select(F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(left)).alias("block"), *fields)
         blocks, level = left, level + 1
     got = out[0]
     for x in out[1:]:

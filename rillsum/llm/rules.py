@@ -153,11 +153,16 @@ def describe(rules: list[Rule]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from at most `sample` labelled rows; rows without a quality label teach nothing."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
-    stats = statistics(own).join(F.broadcast(chosen), "doc_id").select("doc_id", *[feature(f).alias(f"f{i}") for i, f in enumerate(FEATURES)], "quality")
-    rows = sorted(tuple(r) for r in stats.collect())
+    """Rules from at most `sample` labelled documents; rows without a quality label teach nothing.
+
+    Of labels that contradict each other the lowest counts; a doc_id that repeats teaches once.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), "quality")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text")
+    stats = statistics(own).select("doc_id", F.struct(*[feature(f).alias(f"f{i}") for i, f in enumerate(FEATURES)]).alias("f")).groupBy("doc_id").agg(F.min("f").alias("f"))
+    stats = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "f.*", "quality")
+    rows = sorted(tuple(r) for r in stats.collect())  # one row per chosen label at most
     x = np.array([r[1:-1] for r in rows], "f8").reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r[-1] == 0 for r in rows], bool))
 

@@ -28,7 +28,9 @@ def shuffle_write(docs: DataFrame, path: str, seed: int = 17, bucket_bytes: int
     n = max(1, -(-total // bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.monotonically_increasing_id())
     rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("rec")).select(F.pmod("key", F.lit(n)).alias("bucket"), F.struct("key", "rec").alias("row"))
-    grouped = rows.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    # by the key alone, since not every column type has an order
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    grouped = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("row"), by_key).alias("rows"))
     mixed = grouped.select("bucket", F.shuffle("rows", seed).alias("rows"))
     placed = mixed.select("bucket", F.posexplode("rows").alias("place", "row")).select("bucket", "place", F.col("row.rec").alias("rec"))
     placed.write.option("compression", "zstd").parquet(path)
@@ -42,7 +44,7 @@ def read_shards(spark: SparkSession, path: str, shards: int) -> DataFrame:
     # a running sum over the buckets: one row per bucket_bytes of input
     at = count.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
     pos = F.col("before") + F.col("place")
-    out = t.join(at, "bucket").select("rec", pos.alias("pos"), "total").withColumn("shard", F.floor(F.col("pos") * shards / F.col("total")).cast("int"))
+    out = t.join(at, "bucket").select("rec", pos.alias("pos"), "total")
     exact = F.expr(f"CAST((pos * {shards}) DIV total AS INT)")
     first = F.expr(f"(shard * total + {shards - 1}) DIV {shards}")
     return out.withColumn("shard", exact).select("rec", "shard", (F.col("pos") - first).alias("slot"))

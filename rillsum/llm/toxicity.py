@@ -21,6 +21,8 @@ E_WORD, E_CHAR, E_TRI, H, A = 12, 4, 8, 8, 8
 CHARS, TRIS = 256, 4096
 #: Learn from at most so many labelled rows, those with the least hash of doc_id.
 SAMPLE = 5000
+#: Longer labelled texts are scored like any other, but not learned from: the sample has a bounded size.
+LEARN_CHARS = 200_000
 FOLDS, HELD = 5, 0
 DIM = E_WORD + E_CHAR + E_TRI
 
@@ -242,8 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id"), FOLDS) != HELD)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("label_id"), "toxic")
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    got = sorted((r["doc_id"], r["text"] or "", int(r["toxic"])) for r in own.select("doc_id", "text", "toxic").collect())
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LEARN_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # a doc_id that repeats teaches once
+    got = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in own.collect())
     y = np.array([r[2] for r in got], "i8")
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
