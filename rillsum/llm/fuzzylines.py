@@ -10,18 +10,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, marked, mix64, ones, written
-from rillsum.llm.graph import components, grouped, linked, near_edges
+from rillsum.llm.graph import candidates, components, grouped, linked
 
 SIMILARITY = 0.8
 #: Fingerprint words and pigeonhole blocks; lines that differ in more bits of 128 are not compared.
-FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 32
+FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 30
 #: Lines whose normal form has fewer characters are left alone.  1: every line with a word takes part.
 MIN_CHARS = 1
 #: A line with more characters a word is read as pairs of characters, as scripts without spaces need.
@@ -82,24 +81,24 @@ def edit_within(a, b, most: int) -> bool:
     return d <= most
 
 
-@lru_cache(2048)
-def _marks(s: str) -> dict[str, int]:
-    """Where each character stands, as bits."""
-    out: dict[str, int] = {}
-    for i, c in enumerate(s):
-        out[c] = out.get(c, 0) | (1 << i)
-    return out
-
-
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over a, whose marks are kept for the next b."""
-    full = (1 << len(a)) - 1
-    v, at = full, _marks(a).get
+    """Length of the longest common subsequence, bit-parallel over what is left of a without the common ends."""
+    k = _common(a, b)
+    a, b = a[k:], b[k:]
+    e = _common(a[::-1], b[::-1])
+    if e:
+        a, b = a[:-e], b[:-e]
+    marks: dict[str, int] = {}
+    bit = 1
+    for c in a:
+        marks[c] = marks.get(c, 0) | bit
+        bit <<= 1
+    v, at = bit - 1, marks.get
     for c in b:
         if m := at(c):
             u = v & m
             v = (v + u) | (v - u)
-    return len(a) - (v & full).bit_count()
+    return k + e + len(a) - (v & (bit - 1)).bit_count()
 
 
 #: Lines with more characters are compared by words first.
@@ -302,7 +301,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
 
     got = keyed_docs(docs).select("text", doc.alias("slot")).mapInArrow(run, "h binary, norm string")
-    return got.dropDuplicates(["h"]).join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
+    return written(got.dropDuplicates(["h"]), "texts").join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
 
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -313,16 +312,16 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     t = written(lines(docs, min_chars), "lines")
     kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, "size", "ph")], F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
     kinds = written(kinds.select("h", *FPS, "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
-    edges = near_edges(kinds.select(*FPS, "ph"), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
-    wanted = written(grouped(kinds.select("h", *FPS, "doc_id", "th"), edges, "f0"), "wanted")
-    texts = written(_texts(docs, wanted), "texts")
+    near = candidates(kinds.select(*FPS, "ph"), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
+    wanted = written(grouped(kinds.select("h", *FPS, "doc_id", "th"), near, "f0"), "wanted")
+    texts = _texts(docs, wanted)
     links = components(linked(texts, FPS, RADIUS, str, similar))
     # only kinds that repeat or are linked can lose a line
     named = kinds.where("n > 1").select("h", F.col("h").alias("g")).join(links.select(F.col("node").alias("h")), "h", "left_anti")
     named = written(named.unionByName(links.select(F.col("node").alias("h"), F.col("root").alias("g"))), "named")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     again = written(t.select("doc_id", "th", "line", "h").join(named, "h").select("doc_id", "th", "line", "g"), "again")
-    discard(t, kinds, wanted, texts, named)
+    discard(t, kinds, wanted, named)
     first = again.groupBy("g").agg(F.min(place).alias("f"))
     return again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line")
 

@@ -1,8 +1,10 @@
 """Near-duplicate graphs: candidates that meet on keys, verified groups, connected components.
 
 A node is a 64-bit number, the first word of a fingerprint.  Keys travel packed: a task sends one
-binary cell for each bucket of keys instead of one row for each key.  Within a run of equal keys only
-links at the wanted distance leave the task, for longer runs a spanning forest of them.  What is too
+binary cell for each bucket of keys instead of one row for each key.  Where the distance is the link, a
+spanning forest of each run of equal keys leaves the task.  Where a link is still to be verified, pairs and
+the near members of longer runs go on as groups of their own: candidates of different keys are never chained
+together, because what is unverified would chain without end as the data grow.  What is too
 large for one task (a run of more than HOT nodes, a group of more than CHUNK members) is cut in chunks
 whose pairs are compared in tasks of their own, so no link is lost and no task grows with a hot key
 beyond the bytes of its packed nodes.
@@ -14,13 +16,14 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from rillsum.llm.common import discard, mix64, written
 
 #: Keys of a bucket, about; nodes of the longest run that its own task compares; nodes of a chunk of a longer one.
 BUCKET, HOT, CHUNK = 1 << 18, 1 << 15, 1 << 13
-#: In runs up to this length all links are sent, in longer ones a spanning forest.
-SHORT = 8
+#: In runs up to this length all links are sent, longer ones go on as groups (or as a spanning forest).
+SHORT = 4
 
 
 def distance(f, g):
@@ -50,6 +53,24 @@ def forest(f, radius: int, g=None) -> Iterator[tuple]:
                 yield f[0][x], f[0][hit]
 
 
+def near_members(f, radius: int, split: int | None = None):
+    """Which nodes have another one within radius; with split only one on the other side of that place."""
+    import numpy as np
+
+    n = len(f[0])
+    on, side = np.zeros(n, bool), np.arange(n) >= (split or n)
+    for i in range(n):
+        if not on[i]:
+            near = distance(f, [w[i] for w in f]) <= radius
+            near[i] = False
+            if split is not None:
+                near &= side != side[i]
+            if near.any():
+                on[i] = True
+                on |= near
+    return on
+
+
 def _edges(pairs: list):
     """A batch (a, b), a > b, each pair once."""
     import numpy as np
@@ -63,7 +84,20 @@ def _edges(pairs: list):
 
 
 def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int) -> DataFrame:
-    """(a, b), a > b: links between nodes that share a key and differ in at most radius bits.
+    """(a, b), a > b: a spanning forest, for each key, of the links between nodes that share it and differ in at most radius bits."""
+    return _met(nodes, fps, keys, per, radius, False).select("a", "b")
+
+
+def candidates(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int) -> DataFrame:
+    """(node, root): groups in which every two nodes that share a key and differ in at most radius bits meet."""
+    got = _met(nodes, fps, keys, per, radius, True)
+    pairs = got.where("run IS NULL").select("a", "b").distinct().withColumn("root", F.xxhash64("a", "b"))
+    pairs = pairs.select(F.explode(F.array("a", "b")).alias("node"), "root")
+    return pairs.unionByName(got.where("run IS NOT NULL").select(F.col("a").alias("node"), F.col("run").alias("root")))
+
+
+def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int, group: bool) -> DataFrame:
+    """(a, b, run): links, and, if they are to be grouped, the near members a of a run.
 
     nodes: the words fps of a fingerprint and what `keys` reads; a node's number is its first word.
     keys(batch) gives (rows, 64-bit keys, base): a run of equal keys matters only if it has a base row.
@@ -102,7 +136,7 @@ def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radiu
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts):
+        def flush(parts, bucket):
             rem, *f = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*parts, strict=True), ["<u4"] + ["<u8"] * len(fps), strict=True))
             order = np.argsort(rem, kind="stable")
             k, base = rem[order] >> 1, (rem[order] & 1).astype(bool)
@@ -118,7 +152,7 @@ def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radiu
                         x, y = [w[order[at + i]] for w in f], [w[order[at + j]] for w in f]
                         near = distance(x, y) <= radius
                         pairs.append((x[0][near], y[0][near]))
-            cells = []
+            cells, runs = [], []
             for s, e in zip(start[size > SHORT], (start + size)[size > SHORT], strict=True):
                 own = order[s:e]
                 own = own[np.unique(f[0][own], return_index=True)[1]]
@@ -126,61 +160,84 @@ def near_edges(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radiu
                     cut = [own[i : i + CHUNK] for i in range(0, len(own), CHUNK)]
                     raw = [b"".join(w[c].tobytes() for w in f) for c in cut]
                     cells += [(raw[i], raw[j] if j > i else None) for i in range(len(cut)) for j in range(i, len(cut))]
+                elif group:
+                    on = near_members([w[own] for w in f], radius)
+                    if on.any():
+                        runs.append((f[0][own[on]], int(mix64(np.array([(bucket << 32) | int(k[s])], "u8")).view("i8")[0])))
                 else:
                     pairs += forest([w[own] for w in f], radius)
-            a, b = _edges(pairs)
-            none = pa.nulls(len(a), pa.binary())
-            yield pa.RecordBatch.from_arrays([a, b, none, none], ["a", "b", "one", "other"])
+            yield links(pairs, runs)
             for x, y in cells:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["a", "b", "one", "other"])
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["a", "b", "run", "one", "other"])
 
         held, bucket = [], None
         for b in batches:
             for row in zip(*[x.to_pylist() for x in b.columns], strict=True):
                 if held and row[0] != bucket:
-                    yield from flush(held)
+                    yield from flush(held, bucket)
                     held = []
                 bucket = row[0]
                 held.append(row[1:])
         if held:
-            yield from flush(held)
+            yield from flush(held, bucket)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in zip(b["one"].to_pylist(), b["other"].to_pylist(), strict=True):
-                x, y = (None if z is None else list(np.frombuffer(z, "<u8").reshape(len(fps), -1)) for z in (x, y))
-                yield pa.RecordBatch.from_arrays(list(_edges(list(forest(x, radius, y)))), ["a", "b"])
+            for one, other in zip(b["one"].to_pylist(), b["other"].to_pylist(), strict=True):
+                x, y = (None if z is None else list(np.frombuffer(z, "<u8").reshape(len(fps), -1)) for z in (one, other))
+                if group:
+                    both = x if y is None else [np.concatenate(z) for z in zip(x, y, strict=True)]
+                    on = near_members(both, radius, None if y is None else len(x[0]))
+                    yield links([], [(both[0][on], xxh64_intdigest(one + (other or b"")) - (1 << 63))]).drop_columns(["one", "other"])
+                else:
+                    yield links(list(forest(x, radius, y)), []).drop_columns(["one", "other"])
+
+    def links(pairs, runs):
+        a, b = _edges(pairs)
+        node = np.concatenate([x for x, _ in runs]).view("i8") if runs else np.empty(0, "i8")
+        run = np.repeat(np.array([r for _, r in runs], "i8"), [len(x) for x, _ in runs]) if runs else np.empty(0, "i8")
+        a, b = pa.concat_arrays([a, pa.array(node)]), pa.concat_arrays([b, pa.nulls(len(node), pa.int64())])
+        none = pa.nulls(len(a), pa.binary())
+        return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(run), pa.int64()), pa.array(run)]), none, none], ["a", "b", "run", "one", "other"])
 
     binary = ", ".join(f"{c} binary" for c in fps)
     packed = nodes.mapInArrow(pack, f"bucket int, key binary, {binary}").repartition("bucket").sortWithinPartitions("bucket")
-    got = written(packed.mapInArrow(meet, "a long, b long, one binary, other binary"), "met")
-    hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(across, "a long, b long")
-    return got.where("a IS NOT NULL").select("a", "b").unionByName(hot)
+    got = written(packed.mapInArrow(meet, "a long, b long, run long, one binary, other binary"), "met")
+    hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(across, "a long, b long, run long")
+    return got.where("one IS NULL").select("a", "b", "run").unionByName(hot)
 
 
-def grouped(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """The rows of nodes that share a component of the edges, or their number alone, with another row; root names the group."""
-    comp = components(edges)
+def grouped(nodes: DataFrame, member: DataFrame, node: str) -> DataFrame:
+    """The rows of nodes once for each group of member (node, root), and rows that share their node's number as a group."""
     shared = nodes.groupBy(node).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col(node).alias("node"), F.col(node).alias("root"))
-    member = comp.unionByName(shared.join(comp.select("node"), "node", "left_anti"))
-    return nodes.join(member, F.col(node) == F.col("node")).drop("node")
+    return nodes.join(member.unionByName(shared), F.col(node) == F.col("node")).drop("node")
 
 
-def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 256) -> DataFrame:
+def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
     """(a, b) of id: a spanning forest, within each root, of the links that `same` confirms.
 
     members: (root, id, fps, payload).  Pairs of more than radius bits are no links.  load(payload) is what
     same(x, y) compares.  A root of more than `limit` members is cut in chunks by hash, and every pair of
-    chunks is a group of its own.
+    chunks is a group of its own.  Other groups are dealt by their least member, so that groups with the same
+    members meet in a task, which compares no pair twice.
     """
     import numpy as np
     import pyarrow as pa
 
     kind = dict(members.dtypes)["id"]
     arrow = {"binary": pa.binary(), "bigint": pa.int64()}[kind]
-    names = ["root", "i", "j", "side", "id", "payload", *fps]
+    names = ["part", "root", "i", "j", "side", "id", "payload", *fps]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+
+        def alike(x, y, own, rows) -> bool:
+            pair = (rows[x][1], rows[y][1]) if rows[x][1] < rows[y][1] else (rows[y][1], rows[x][1])
+            got = known.get(pair)
+            if got is None:
+                got = known[pair] = same(own[x], own[y])
+            return got
+
         def flush(rows, cross):
             f = [np.array([r[c] for r in rows], "i8").view("u8") for c in range(3, 3 + len(fps))]
             own = [load(r[2]) for r in rows]
@@ -192,7 +249,7 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
                     near = distance([w[left] for w in f], [w[x] for w in f]) <= radius
                     if cross:
                         near &= side[left] != side[x]
-                    hit = [y for y in left[near].tolist() if same(own[x], own[y])]
+                    hit = [y for y in left[near].tolist() if alike(x, y, own, rows)]
                     if hit:
                         left = np.setdiff1d(left, hit, assume_unique=True)
                         todo.extend(hit)
@@ -203,18 +260,21 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
         cell, rows = None, []
         for batch in batches:
             for r in zip(*[batch[c].to_pylist() for c in names], strict=True):
-                if r[:3] != cell and rows:
-                    yield flush(rows, cell[1] != cell[2])
+                if r[:4] != cell and rows:
+                    yield flush(rows, cell[2] != cell[3])
                     rows = []
-                cell = r[:3]
-                rows.append(r[3:])
+                    if r[0] != cell[0]:
+                        known.clear()
+                cell = r[:4]
+                rows.append(r[4:])
         if rows:
-            yield flush(rows, cell[1] != cell[2])
+            yield flush(rows, cell[2] != cell[3])
 
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("lead")).where("n > 1")
     m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
-    dealt = m.select(*names).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+    m = m.withColumn("part", F.when(F.col("chunks") == 1, F.col("lead")).otherwise(F.xxhash64("root", "i", "j")))
+    dealt = m.select(*names).repartition("part").sortWithinPartitions("part", "root", "i", "j", "id")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillsum.llm.common import WORD, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, mix64, ones, written
-from rillsum.llm.graph import components, grouped, linked, near_edges
+from rillsum.llm.graph import candidates, components, grouped, linked, near_edges
 
 SEED, DISTANCE = 42, 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -253,16 +253,17 @@ def unique(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -
     prints = written(signed(docs), "signed")
     kinds = prints.where("words > 0").groupBy("nf").agg(*[F.min(c).alias(c) for c in WIDE], F.min("th").alias("th"))
     kinds = written(kinds, "kinds")
-    edges = near_edges(kinds.select(*WIDE), WIDE[:1], ball_keys(WIDE), 34 * len(WIDE), NEAR)
-    wanted = written(grouped(kinds, edges, "f0"), "wanted")
-    texts = written(wanted.join(_shingled(docs, wanted, shingle), "nf").select("root", F.col("nf").alias("id"), *WIDE, "payload"), "shingles")
+    near = candidates(kinds.select(*WIDE), WIDE[:1], ball_keys(WIDE), 34 * len(WIDE), NEAR)
+    wanted = written(grouped(kinds, near, "f0"), "wanted")
+    shingled = written(_shingled(docs, wanted, shingle), "shingles")
+    texts = wanted.join(shingled, "nf").select("root", F.col("nf").alias("id"), *WIDE, "payload")
     links = linked(texts, WIDE, FAR, lambda x: np.frombuffer(x, "u8"), jaccard_at_least(least))
     comp = written(components(links), "comps")
     g = prints.select("doc_id", "th", "nf").join(comp, F.col("nf") == F.col("node"), "left")
     best = g.groupBy(F.coalesce("root", "nf").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
     place = F.col("k.doc_id")
     keep = written(best.select(F.coalesce(place, F.lit(0)).alias("__id"), place.isNull().alias("__none"), F.col("k.th").alias("__th")), "kept")
-    discard(prints, kinds, wanted, texts)
+    discard(prints, kinds, wanted, shingled)
     key, own = ["__id", "__none", "__th"], F.col("doc_id").cast("long")
     d = docs.withColumn("__id", F.coalesce(own, F.lit(0))).withColumn("__none", own.isNull()).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     return d.dropDuplicates(key).join(keep, key, "left_semi").select(*docs.columns)
