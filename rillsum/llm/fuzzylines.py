@@ -20,13 +20,13 @@ from rillsum.llm.graph import candidates, components, grouped, linked
 
 SIMILARITY = 0.8
 #: Fingerprint words and pigeonhole blocks; lines that differ in more bits of 128 are not compared.
-FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 30
+FPS, BLOCKS, RADIUS = ["f0", "f1"], 4, 34
 #: Lines whose normal form has fewer characters are left alone.  1: every line with a word takes part.
 MIN_CHARS = 1
 #: A line with more characters a word is read as pairs of characters, as scripts without spaces need.
 WIDE_WORD = 16
 #: Min-wise phrases of a line.
-PHRASES = 6
+PHRASES, PACKED = 6, ["p0", "p1", "p2"]
 #: Lines of fewer words also choose among their word pairs; phrases of fewer letters are chosen last.
 SHORT_LINE, SHORT_PHRASE = 12, 12
 
@@ -81,8 +81,8 @@ def edit_within(a, b, most: int) -> bool:
     return d <= most
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over what is left of a without the common ends."""
+def common_subsequence(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, or -1 once it can't reach `least`; bit-parallel without the common ends."""
     k = _common(a, b)
     a, b = a[k:], b[k:]
     e = _common(a[::-1], b[::-1])
@@ -93,12 +93,15 @@ def common_subsequence(a: str, b: str) -> int:
     for c in a:
         marks[c] = marks.get(c, 0) | bit
         bit <<= 1
-    v, at = bit - 1, marks.get
-    for c in b:
-        if m := at(c):
-            u = v & m
-            v = (v + u) | (v - u)
-    return k + e + len(a) - (v & (bit - 1)).bit_count()
+    v, at, full = bit - 1, marks.get, bit - 1
+    for i in range(0, len(b), 64):
+        for c in b[i : i + 64]:
+            if m := at(c):
+                u = v & m
+                v = (v + u) | (v - u)
+        if k + e + len(a) - (v & full).bit_count() + max(0, len(b) - i - 64) < least:
+            return -1
+    return k + e + len(a) - (v & full).bit_count()
 
 
 #: Lines with more characters are compared by words first.
@@ -123,7 +126,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
         p, q = Counter(a), Counter(b)
         if max((p - q).total(), (q - p).total()) > most:
             return False
-    shared = common_subsequence(a, b)
+    shared = common_subsequence(a, b, n - most)
     if n - shared > most:
         return False
     return len(a) + len(b) - 2 * shared <= most or edit_within(a, b, most)
@@ -226,10 +229,10 @@ def prints(u, letters, n):
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, th, line, h, f0, f1, size, ph): lines with at least min_chars characters in normal form.
+    """(doc_id, th, line, h, f0, f1, p0 to p2): lines with at least min_chars characters in normal form.
 
-    h is the 128-bit hash of the normal form, f0 and f1 are its SimHash, size counts its characters; ph holds its
-    phrases as 32-bit integers.
+    h is the 128-bit hash of the normal form, f0 and f1 are its SimHash; p0 to p2 hold its phrases, two 32-bit
+    integers each.
     """
     import numpy as np
     import pyarrow as pa
@@ -258,10 +261,10 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 keep = np.flatnonzero(x.size >= min_chars)
                 h = np.frombuffer(b"".join(x.digests()), "u1").reshape(-1, 16)
                 at = pa.array(lo + x.owner[keep])
-                cells = [pa.array(x.line[keep].astype("i4")), fixed(h[keep]), pa.array(f0[keep].view("i8")), pa.array(f1[keep].view("i8")), pa.array(x.size[keep].astype("i4")), fixed(ph[keep].astype("<u4"))]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), *cells], ["doc_id", "th", "line", "h", "f0", "f1", "size", "ph"])
+                cells = [pa.array(x.line[keep].astype("i4")), fixed(h[keep]), pa.array(f0[keep].view("i8")), pa.array(f1[keep].view("i8")), *[pa.array(c) for c in np.ascontiguousarray(ph[keep].astype("<u4")).view("<i8").T.copy()]]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), *cells], ["doc_id", "th", "line", "h", *FPS, *PACKED])
 
-    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, f0 long, f1 long, size int, ph binary")
+    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, " + ", ".join(f"{c} long" for c in (*FPS, *PACKED)))
 
 
 def block_and_phrase_keys(batch):
@@ -269,28 +272,27 @@ def block_and_phrase_keys(batch):
     import numpy as np
 
     f = np.stack([np.asarray(batch[c]).view("u8") for c in FPS], 1)
-    ph = np.frombuffer(b"".join(batch["ph"].to_pylist()), "<u4").reshape(-1, PHRASES).astype("u8")
+    ph = np.stack([np.asarray(batch[c]) for c in PACKED], 1).astype("<i8").view("<u4").astype("u8")
     key = np.concatenate((f >> np.uint64(32), f & np.uint64(0xFFFFFFFF), ph), 1) | (np.arange(BLOCKS + PHRASES, dtype="u8") << np.uint64(32))
     return np.repeat(np.arange(len(f)), BLOCKS + PHRASES), key.ravel(), np.ones(key.size, bool)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(root, id, f0, f1, payload): the normal forms of the wanted line hashes, from the document where each stands first.
+    """(root, id, f0, f1, payload): the normal forms of the wanted line hashes, each from a text that holds it.
 
-    Fixed-size bitmaps of those documents and of the hashes thin the scan; what they let pass is joined exactly.
+    Fixed-size bitmaps of those texts and of the hashes thin the scan; what they let pass is joined exactly.
     """
     import numpy as np
     import pyarrow as pa
 
-    doc = F.xxhash64("doc_id", "th")
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, F.xxhash64("h")), bitmap(wanted, doc)))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, F.xxhash64("h")), bitmap(wanted, F.col("th"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         on_lines, on_docs = shared.value
         for b in batches:
-            texts = b["text"].take(pa.array(np.flatnonzero(flagged(on_docs, np.asarray(b["slot"])))))
+            texts = b["text"].take(pa.array(np.flatnonzero(flagged(on_docs, np.asarray(b["th"])))))
             for lo, hi in byte_chunks(texts, 1 << 20):
                 x = Lines(texts[lo:hi])
                 if not x.count:
@@ -300,7 +302,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 t = [x.raw[x.start[i] : x.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
 
-    got = keyed_docs(docs).select("text", doc.alias("slot")).mapInArrow(run, "h binary, norm string")
+    got = keyed_docs(docs).select("text", "th").mapInArrow(run, "h binary, norm string")
     return written(got.dropDuplicates(["h"]), "texts").join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
 
 
@@ -310,10 +312,10 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Rows that agree in doc_id and text are one document here.
     """
     t = written(lines(docs, min_chars), "lines")
-    kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, "size", "ph")], F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("at"))
-    kinds = written(kinds.select("h", *FPS, "size", "ph", "n", "at.doc_id", "at.th"), "kinds")
-    near = candidates(kinds.select(*FPS, "ph"), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
-    wanted = written(grouped(kinds.select("h", *FPS, "doc_id", "th"), near, "f0"), "wanted")
+    kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, *PACKED, "th")], F.count(F.lit(1)).alias("n"))
+    kinds = written(kinds, "kinds")
+    near = candidates(kinds.select(*FPS, *PACKED), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
+    wanted = written(grouped(kinds.select("h", *FPS, "th"), near, "f0"), "wanted")
     texts = _texts(docs, wanted)
     links = components(linked(texts, FPS, RADIUS, str, similar))
     # only kinds that repeat or are linked can lose a line
@@ -322,7 +324,7 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     again = written(t.select("doc_id", "th", "line", "h").join(named, "h").select("doc_id", "th", "line", "g"), "again")
     discard(t, kinds, wanted, named)
-    first = again.groupBy("g").agg(F.min(place).alias("f"))
+    first = written(again.groupBy("g").agg(F.min(place).alias("f")), "first")
     return again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line")
 
 
