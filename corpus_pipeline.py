@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: A learned model, edit distances and a genetic search have no SQL form; the stages are tested against plain versions.
+#: A learned model, edit distances and a genetic search have no SQL form; line dedup, near copies and mixing are tested against plain versions, the others by their invariants.
 ORACLE_SQL = None
 
 
