@@ -537,8 +537,9 @@ def test_op7_finds_what_brute_force_finds(spark):
 def test_op7_short_lines_and_scripts_without_spaces(spark):
     han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60))
     data = [(1, f"Read more here\n{han}\nok"), (2, f"READ  more here\nok\n{han}"), (3, han[:30] + "漢" + han[31:])]
-    out = {r.doc_id: r.text for r in fuzzylines.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert out == {1: data[0][1], 2: "ok", 3: ""}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in fuzzylines.dedup(df, min_chars=6).collect()} == {1: data[0][1], 2: "ok", 3: ""}
+    assert {r.doc_id: r.text for r in fuzzylines.dedup(df).collect()} == {1: data[0][1], 2: "", 3: ""}
 
 
 def test_op8_ids_of_large_blocks(spark, monkeypatch):
