@@ -82,47 +82,93 @@ def edit_within(a, b, most: int) -> bool:
 
 
 def common_subsequence(a: str, b: str, least: int = 0) -> int:
-    """Length of the longest common subsequence, or -1 once it can't reach `least`; bit-parallel without the common ends."""
+    """Length of the longest common subsequence, or -1 once it can't reach `least`; bit-parallel without the common ends.
+
+    When i characters of b are read, the rest of b adds at most its length, and only beyond the place in a that
+    leaves as many: the subsequence of the two beginnings and that rest bound the whole.
+    """
     k = _common(a, b)
     a, b = a[k:], b[k:]
     e = _common(a[::-1], b[::-1])
     if e:
         a, b = a[:-e], b[:-e]
+    least -= k + e
     marks: dict[str, int] = {}
     bit = 1
     for c in a:
         marks[c] = marks.get(c, 0) | bit
         bit <<= 1
     v, at, full = bit - 1, marks.get, bit - 1
-    for i in range(0, len(b), 64):
-        for c in b[i : i + 64]:
+    for i in range(0, len(b), 32):
+        for c in b[i : i + 32]:
             if m := at(c):
                 u = v & m
                 v = (v + u) | (v - u)
-        if k + e + len(a) - (v & full).bit_count() + max(0, len(b) - i - 64) < least:
+        rest = max(0, len(b) - i - 32)
+        begun = max(0, len(a) - rest)
+        if begun - (v & ((1 << begun) - 1)).bit_count() + min(rest, len(a)) < least:
             return -1
     return k + e + len(a) - (v & full).bit_count()
 
 
-#: Lines with more characters are compared by words first.
+#: Characters that must agree where an alignment goes on after a difference, and how far it looks first.
+ANCHOR, NEAR = 8, 24
+
+
+def aligned_cost(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance, given up (returning more than `most`) once it exceeds `most`.
+
+    A greedy alignment: after each difference both strings go on at the next place where they agree in ANCHOR
+    characters, and what is left out costs its longer side.
+    """
+    e = _common(a[::-1], b[::-1])
+    if e:
+        a, b = a[:-e], b[:-e]
+    i = j = cost = 0
+    while True:
+        step = 16
+        while step and a[i : i + step] == b[j : j + step] and i < len(a):
+            i, j, step = i + step, j + step, 2 * step
+        while step > 1:
+            step >>= 1
+            if a[i : i + step] == b[j : j + step]:
+                i, j = i + step, j + step
+        i, j = min(i, len(a)), min(j, len(b))
+        left = min(most - cost, len(a) - i - ANCHOR)
+        for far, by in ((NEAR, 1), (most - cost, 8)):
+            for d in range(0, min(left, 2 * NEAR) + 1, by):
+                p = b.find(a[i + d : i + d + ANCHOR], j, j + d + far + ANCHOR)
+                if p >= 0:
+                    break
+            else:
+                continue
+            break
+        else:
+            return cost + max(len(a) - i, len(b) - j)
+        cost += max(d, p - j)
+        if cost > most:
+            return cost
+        i, j = i + d, p
+
+
+#: Lines with more characters are compared by their characters' numbers first.
 LONG = 4000
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """1 - distance / longer length >= least.
 
-    The longest common subsequence leaves the longer line's other characters to be edited at least, and all
-    others of both at most, which settles nearly every pair; else the distance decides.  Very long lines are
-    first compared by words: so many word edits, each at the price of the longest word, prove similarity.
+    A greedy alignment proves most similar pairs.  The longest common subsequence leaves the longer
+    line's other characters to be edited at least, and all others of both at most, which settles nearly every
+    other pair; else the distance decides.
     """
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    if aligned_cost(a, b, most) <= most:
+        return True
     if n > LONG:
-        x, y = a.split(" "), b.split(" ")
-        if edit_within(x, y, most // (max(map(len, x + y)) + 1)):
-            return True
         p, q = Counter(a), Counter(b)
         if max((p - q).total(), (q - p).total()) > most:
             return False

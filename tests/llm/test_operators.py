@@ -585,3 +585,35 @@ def test_op1_and_op8_queries_keep_special_tokens(spark, monkeypatch):
     for query, name, column in ((registry.op1, "byte_bpe_50k.json", "n_tokens"), (registry.op8, "word_bpe_49k.json", "length")):
         n = len(Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids)
         assert query(spark, "").collect()[0][column] in (n, n + 1)
+
+
+def test_aligned_cost_bounds_the_distance():
+    """The greedy alignment never understates the edit distance, and bounded subsequences are exact or refused."""
+    import random
+
+    from rillsum.llm.fuzzylines import aligned_cost, common_subsequence, similar
+
+    def plain(a, b, row, step):
+        for i, x in enumerate(a, 1):
+            new = [step(i, None, None, None, None)]
+            for j, y in enumerate(b, 1):
+                new.append(step(i, new[-1], row[j], row[j - 1], x == y))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for k in range(800):
+        x = [rng.choice(["a", "ab", "abc", "bb", "cab", "x" * rng.randint(1, 9)]) for _ in range(rng.randint(1, 30))]
+        y = list(x) if k % 2 else x[::-1]
+        for _ in range(rng.randint(0, 5)):
+            y[rng.randrange(len(y))] = rng.choice(["a", "cab", "xyz", "bb ab"])
+        a, b = " ".join(x), " ".join(y)
+        d = plain(a, b, list(range(len(b) + 1)), lambda i, left, up, cross, same: i if left is None else min(left + 1, up + 1, cross + (not same)))
+        n = plain(a, b, [0] * (len(b) + 1), lambda i, left, up, cross, same: 0 if left is None else max(left, up, cross + same))
+        for most in (2, 10, 1000):
+            cost = aligned_cost(a, b, most)
+            assert cost >= d or cost > most
+        assert common_subsequence(a, b) == n
+        assert common_subsequence(a, b, n) == n
+        assert common_subsequence(a, b, n + 2) in (n, -1)
+        assert similar(a, b) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
