@@ -24,6 +24,8 @@ from rillsum.llm.common import discard, mix64, written
 BUCKET, HOT, CHUNK = 1 << 18, 1 << 15, 1 << 13
 #: In runs up to this length all links are sent, longer ones go on as groups (or as a spanning forest).
 SHORT = 4
+#: Groups up to this size are compared one pair after the other, larger ones by numpy.
+FEW = 8
 
 
 def distance(f, g):
@@ -238,10 +240,26 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
                 got = known[pair] = same(own[x], own[y])
             return got
 
-        def flush(rows, cross):
+        def few(rows, cross):
+            left = list(range(len(rows)))
+            while len(left) > 1:
+                todo, left = [left[0]], left[1:]
+                while todo and left:
+                    x = todo.pop()
+                    p, rest = rows[x], []
+                    for y in left:
+                        q = rows[y]
+                        bits = sum(((v ^ w) & 0xFFFFFFFFFFFFFFFF).bit_count() for v, w in zip(p[3:], q[3:], strict=True))
+                        if bits <= radius and not (cross and p[0] == q[0]) and alike(x, y, own, rows):
+                            todo.append(y)
+                            edges.append((q[1], p[1]))
+                        else:
+                            rest.append(y)
+                    left = rest
+
+        def many(rows, cross):
             f = [np.array([r[c] for r in rows], "i8").view("u8") for c in range(3, 3 + len(fps))]
-            own = [load(r[2]) for r in rows]
-            side, left, a, b = np.array([r[0] for r in rows]), np.arange(len(rows)), [], []
+            side, left = np.array([r[0] for r in rows]), np.arange(len(rows))
             while len(left) > 1:
                 todo, left = [left[0]], left[1:]
                 while todo and len(left):
@@ -253,22 +271,33 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
                     if hit:
                         left = np.setdiff1d(left, hit, assume_unique=True)
                         todo.extend(hit)
-                        a += [rows[y][1] for y in hit]
-                        b += [rows[x][1]] * len(hit)
-            return pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
+                        edges.extend((rows[y][1], rows[x][1]) for y in hit)
+
+        cell, rows, edges, own = None, [], [], []
+
+        def flush():
+            nonlocal own
+            own = [load(r[2]) for r in rows]
+            (few if len(rows) <= FEW else many)(rows, cell[2] != cell[3])
+
+        def sent():
+            out = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], arrow) for k in (0, 1)], ["a", "b"])
+            edges.clear()
+            return out
 
-        cell, rows = None, []
         for batch in batches:
             for r in zip(*[batch[c].to_pylist() for c in names], strict=True):
                 if r[:4] != cell and rows:
-                    yield flush(rows, cell[2] != cell[3])
+                    flush()
                     rows = []
                     if r[0] != cell[0]:
                         known.clear()
                 cell = r[:4]
                 rows.append(r[4:])
+            yield sent()
         if rows:
-            yield flush(rows, cell[2] != cell[3])
+            flush()
+            yield sent()
 
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("lead")).where("n > 1")
     m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
