@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,34 +82,41 @@ def edit_within(a, b, most: int) -> bool:
     return d <= most
 
 
-def common_subsequence(a: str, b: str, least: int = 0) -> int:
-    """Length of the longest common subsequence, or -1 once it can't reach `least`; bit-parallel without the common ends.
-
-    When i characters of b are read, the rest of b adds at most its length, and only beyond the place in a that
-    leaves as many: the subsequence of the two beginnings and that rest bound the whole.
-    """
-    k = _common(a, b)
-    a, b = a[k:], b[k:]
-    e = _common(a[::-1], b[::-1])
-    if e:
-        a, b = a[:-e], b[:-e]
-    least -= k + e
+@lru_cache(maxsize=2)
+def _places(a: str) -> dict[str, int]:
+    """Bit i of a character's number is set where it is character i of a.  A line is compared with many others in a row."""
     marks: dict[str, int] = {}
     bit = 1
     for c in a:
         marks[c] = marks.get(c, 0) | bit
         bit <<= 1
-    v, at, full = bit - 1, marks.get, bit - 1
-    for i in range(0, len(b), 32):
-        for c in b[i : i + 32]:
+    return marks
+
+
+def common_subsequence(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, or -1 once it can't reach `least`; bit-parallel over a, common ends are not read.
+
+    Zeros of v mark the characters of a that lengthen the subsequence with what is read of b; a common beginning
+    of k characters leaves the first k of them.  When i characters of b are read, the rest of b adds at most its
+    length, and only beyond the place in a that leaves as many: the subsequence of the two beginnings and that
+    rest bound the whole.
+    """
+    k = _common(a, b)
+    e = min(_common(a[::-1], b[::-1]), len(a) - k, len(b) - k)
+    long, end = len(a) - e, len(b) - e
+    least -= e
+    at = _places(a).get
+    v = ((1 << long) - 1) ^ ((1 << k) - 1)
+    for i in range(k, end, 32):
+        for c in b[i : min(i + 32, end)]:
             if m := at(c):
                 u = v & m
                 v = (v + u) | (v - u)
-        rest = max(0, len(b) - i - 32)
-        begun = max(0, len(a) - rest)
-        if begun - (v & ((1 << begun) - 1)).bit_count() + min(rest, len(a)) < least:
+        rest = max(0, end - i - 32)
+        begun = max(0, long - rest)
+        if begun - (v & ((1 << begun) - 1)).bit_count() + min(rest, long) < least:
             return -1
-    return k + e + len(a) - (v & full).bit_count()
+    return e + long - (v & ((1 << long) - 1)).bit_count()
 
 
 #: Characters that must agree where an alignment goes on after a difference, and how far it looks first.
