@@ -151,6 +151,20 @@ def n_words_expr(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(parts, lambda x: x != "")), F.lit(0)).cast("long")
 
 
+def returning(run):
+    """`run` for mapInArrow; when its task ends the worker, which goes on to other tasks, returns freed memory to the system."""
+
+    def out(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return out
+
+
 def kept_in_worker(key: str, make):
     """make() once per Python worker: its value serves all tasks of one operator that the worker runs.
 

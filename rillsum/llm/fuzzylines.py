@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, marked, mix64, ones, written
+from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, marked, mix64, ones, returning, written
 from rillsum.llm.graph import candidates, components, grouped, linked
 
 SIMILARITY = 0.8
@@ -318,7 +318,7 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 cells = [pa.array(x.line[keep].astype("i4")), fixed(h[keep]), pa.array(f0[keep].view("i8")), pa.array(f1[keep].view("i8")), *[pa.array(c) for c in np.ascontiguousarray(ph[keep].astype("<u4")).view("<i8").T.copy()]]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), *cells], ["doc_id", "th", "line", "h", *FPS, *PACKED])
 
-    return keyed_docs(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, " + ", ".join(f"{c} long" for c in (*FPS, *PACKED)))
+    return keyed_docs(docs).mapInArrow(returning(run), "doc_id long, th long, line int, h binary, " + ", ".join(f"{c} long" for c in (*FPS, *PACKED)))
 
 
 def block_and_phrase_keys(batch):
@@ -356,7 +356,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 t = [x.raw[x.start[i] : x.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
 
-    got = keyed_docs(docs).select("text", "th").mapInArrow(run, "h binary, norm string")
+    got = keyed_docs(docs).select("text", "th").mapInArrow(returning(run), "h binary, norm string")
     return written(got.dropDuplicates(["h"]), "texts").join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rillsum.llm.common import discard, mix64, written
+from rillsum.llm.common import discard, mix64, returning, written
 
 #: Keys of a bucket, about; nodes of the longest run that its own task compares; nodes of a chunk of a longer one.
 BUCKET, HOT, CHUNK = 1 << 18, 1 << 15, 1 << 13
@@ -203,9 +203,9 @@ def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int
         return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([pa.nulls(len(a) - len(run), pa.int64()), pa.array(run)]), none, none], ["a", "b", "run", "one", "other"])
 
     binary = ", ".join(f"{c} binary" for c in fps)
-    packed = nodes.mapInArrow(pack, f"bucket int, key binary, {binary}").repartition("bucket").sortWithinPartitions("bucket")
-    got = written(packed.mapInArrow(meet, "a long, b long, run long, one binary, other binary"), "met")
-    hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(across, "a long, b long, run long")
+    packed = nodes.mapInArrow(returning(pack), f"bucket int, key binary, {binary}").repartition("bucket").sortWithinPartitions("bucket")
+    got = written(packed.mapInArrow(returning(meet), "a long, b long, run long, one binary, other binary"), "met")
+    hot = got.where("one IS NOT NULL").select("one", "other").repartition(F.xxhash64("one", "other")).mapInArrow(returning(across), "a long, b long, run long")
     return got.where("one IS NULL").select("a", "b", "run").unionByName(hot)
 
 
@@ -304,7 +304,7 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
     m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
     m = m.withColumn("part", F.when(F.col("chunks") == 1, F.col("lead")).otherwise(F.xxhash64("root", "i", "j")))
     dealt = m.select(*names).repartition("part").sortWithinPartitions("part", "root", "i", "j", "id")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(returning(run), f"a {kind}, b {kind}")
 
 
 #: Edges that one task turns into stars.
@@ -344,7 +344,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         if up:
             yield flush()
 
-    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b").mapInArrow(returning(run), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
