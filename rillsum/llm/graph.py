@@ -103,7 +103,7 @@ def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int
 
     nodes: the words fps of a fingerprint and what `keys` reads; a node's number is its first word.
     keys(batch) gives (rows, 64-bit keys, base): a run of equal keys matters only if it has a base row.
-    per: keys of a node, about.  Nodes with the same first word are one node.
+    per: keys of a node, about.  Nodes with the same first word are one node, but each of their fingerprints is compared.
     """
     import numpy as np
     import pyarrow as pa
@@ -157,7 +157,8 @@ def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int
             cells, runs = [], []
             for s, e in zip(start[size > SHORT], (start + size)[size > SHORT], strict=True):
                 own = order[s:e]
-                own = own[np.unique(f[0][own], return_index=True)[1]]
+                own = own[np.lexsort([w[own] for w in f[::-1]])]
+                own = own[np.append(True, np.any([w[own[1:]] != w[own[:-1]] for w in f], axis=0))]
                 if len(own) > HOT:
                     cut = [own[i : i + CHUNK] for i in range(0, len(own), CHUNK)]
                     raw = [b"".join(w[c].tobytes() for w in f) for c in cut]
@@ -165,7 +166,7 @@ def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int
                 elif group:
                     on = near_members([w[own] for w in f], radius)
                     if on.any():
-                        runs.append((f[0][own[on]], int(mix64(np.array([(bucket << 32) | int(k[s])], "u8")).view("i8")[0])))
+                        runs.append((np.unique(f[0][own[on]]), int(mix64(np.array([(bucket << 32) | int(k[s])], "u8")).view("i8")[0])))
                 else:
                     pairs += forest([w[own] for w in f], radius)
             yield links(pairs, runs)
@@ -190,7 +191,7 @@ def _met(nodes: DataFrame, fps: list[str], keys: Callable, per: int, radius: int
                 if group:
                     both = x if y is None else [np.concatenate(z) for z in zip(x, y, strict=True)]
                     on = near_members(both, radius, None if y is None else len(x[0]))
-                    yield links([], [(both[0][on], xxh64_intdigest(one + (other or b"")) - (1 << 63))]).drop_columns(["one", "other"])
+                    yield links([], [(np.unique(both[0][on]), xxh64_intdigest(one + (other or b"")) - (1 << 63))]).drop_columns(["one", "other"])
                 else:
                     yield links(list(forest(x, radius, y)), []).drop_columns(["one", "other"])
 

@@ -617,3 +617,25 @@ def test_aligned_cost_bounds_the_distance():
         assert common_subsequence(a, b, n) == n
         assert common_subsequence(a, b, n + 2) in (n, -1)
         assert similar(a, b) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_candidates_compare_every_fingerprint_of_a_first_word(spark):
+    import numpy as np
+    from rillsum.llm.graph import candidates
+
+    far = (1 << 62) - 1
+    rows = [(7, 0), (7, far)] + [(64 + i, far ^ (0x5555555555 << i)) for i in range(5)] + [(1 << 40, 1)]
+
+    def one_key(batch):
+        n = batch.num_rows
+        return np.arange(n), np.full(n, 1, "u8"), np.ones(n, bool)
+
+    def plain(x, y):
+        return sum(bin(a ^ b).count("1") for a, b in zip(x, y)) <= 24
+
+    want = {x[0] for x in rows if any(y is not x and plain(x, y) for y in rows)}
+    for order in (rows, rows[::-1]):
+        nodes = spark.createDataFrame(order, "f0 long, f1 long").coalesce(1)
+        got = candidates(nodes, ["f0", "f1"], one_key, 1, 24).collect()
+        assert {r["node"] for r in got} == want
+        assert len(got) == len(set(got))
