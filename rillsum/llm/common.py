@@ -151,12 +151,19 @@ def n_words_expr(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(parts, lambda x: x != "")), F.lit(0)).cast("long")
 
 
-def returning(run):
-    """`run` for mapInArrow; when its task ends the worker, which goes on to other tasks, returns freed memory to the system."""
+def returning(run, keeps: bool = False):
+    """`run` for mapInArrow; when its task ends the worker, which goes on to other tasks, returns freed memory to the system.
+
+    Unless the operator keeps a value itself (`kept_in_worker`), what another one kept in the worker is dropped first.
+    """
 
     def out(batches):
         import ctypes
+        import sys
 
+        if not keeps and (held := sys.modules.get("_rillsum_worker")):
+            held.__dict__.pop("key", None)
+            held.__dict__.pop("value", None)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

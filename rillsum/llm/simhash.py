@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, mix64, ones, written
+from rillsum.llm.common import WORD, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, mix64, ones, returning, written
 from rillsum.llm.graph import candidates, components, grouped, linked, near_edges
 
 SEED, DISTANCE = 42, 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(out.view("i8"))], ["doc_id", "th", "f0"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return d.mapInArrow(run, "doc_id long, th long, f0 long")
+    return d.mapInArrow(returning(run), "doc_id long, th long, f0 long")
 
 
 def ball_keys(words: list[str]) -> Callable:
@@ -206,7 +206,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b["doc_id"][lo:hi], b["th"][lo:hi], pa.array(x.digests(), pa.binary()), *f, pa.array(x.n.astype("i8"))], ["doc_id", "th", "nf", *WIDE, "words"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, th long, nf binary, " + ", ".join(f"{c} long" for c in WIDE) + ", words long")
+    return d.mapInArrow(returning(run), "doc_id long, th long, nf binary, " + ", ".join(f"{c} long" for c in WIDE) + ", words long")
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x.digests(), pa.binary()), pa.array(x.shingles(size), pa.binary())], ["nf", "payload"])
 
     d = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, "nf binary, payload binary").dropDuplicates(["nf"])
+    return d.mapInArrow(returning(run), "nf binary, payload binary").dropDuplicates(["nf"])
 
 
 def jaccard_at_least(least: float) -> Callable:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, fold, kept_in_worker
+from rillsum.llm.common import WORD, fold, kept_in_worker, returning
 
 WINDOW, STRIDE = 64, 48
 E_WORD, E_CHAR, E_TRI, H, A = 12, 4, 8, 8, 8
@@ -329,7 +329,7 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(x), pa.array((x >= 0.5).astype("i4"))], [*names, "score", "predicted"])
 
     d = docs.select(*keep, F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "text")
-    return d.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", held_out boolean, score double, predicted int")
+    return d.mapInArrow(returning(run, keeps=True), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", held_out boolean, score double, predicted int")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
