@@ -147,6 +147,35 @@ def test_op3(spark):
     assert vafile.search(df.limit(0), 50, 5).collect() == []
 
 
+def test_op3_reads_the_file_by_passes(spark):
+    """No pair of blocks is shuffled, a task carries each query's best, and wide grids and ties stay exact."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate((rng.standard_normal((2000, 64)) / 8, rng.standard_normal((1000, 64)) * 40, [[3e5] * 64]))
+    v = np.concatenate((v, v)).astype("f4")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    sc = spark.sparkContext
+    arrays, lists = sc._gateway.new_array, sc._jvm.java.util.ArrayList
+
+    def shuffled():
+        stages = sc._jsc.sc().statusStore().stageList(lists(), False, False, arrays(sc._jvm.double, 0), lists())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of any size
+    try:
+        got = sorted(tuple(r) for r in vafile.search(df, 10, 5, query_block=100).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = shuffled() - before
+    x = np.floor(256.0 * v.astype("f8")).astype("i8")
+    want = []
+    for q in range(0, len(x), 10):
+        s = x @ x[q]
+        want += [(q, k + 1, i, int(s[i])) for k, i in enumerate([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5])]
+    assert got == want
+    assert sent < v.nbytes, (sent, v.nbytes)  # k rows a query and task, and no vectors
+
+
 def test_op4_gradients_and_learning():
     rng = np.random.default_rng(0)
     w = toxicity.Words(["idiot", "the", "foo", "x"], {"the": 1})
