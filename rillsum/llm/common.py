@@ -109,25 +109,44 @@ def cut_words(raw: np.ndarray, at: np.ndarray):
     length = np.flatnonzero(~space & (after | first[1:])) - begin + 1
     byte = raw[~space]
     head = np.cumsum(length) - length
-    if not len(begin):
-        return begin, length, byte, head, np.empty(0, "u8")
+    return begin, length, byte, head, hash_words(byte, head, length)
+
+
+def hash_words(byte: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words given by their bytes, one word after the other, and where each starts."""
+    if not len(head):
+        return np.empty(0, "u8")
     weight = mix64(np.arange(1, int(length.max()) + 1, dtype="u8")) | np.uint64(1)
-    place = np.arange(len(byte)) - np.repeat(head, length)
-    return begin, length, byte, head, mix64(np.add.reduceat(weight[place] * (byte.astype("u8") + np.uint64(1)), head))
+    place = np.ones(len(byte), "i4")  # steps within a word, and back to its first byte
+    place[0] = 0
+    place[head[1:]] -= length[:-1].astype("i4")
+    return mix64(np.add.reduceat(weight[np.cumsum(place, dtype="i4")] * (byte.astype("u8") + np.uint64(1)), head))
+
+
+def per_word(on: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """How many bytes of each word are marked."""
+    at = np.flatnonzero(on)
+    if len(at) * 16 > len(on):
+        return np.add.reduceat(on, head, dtype="i8")
+    return np.bincount(np.searchsorted(head, at, "right") - 1, minlength=len(head))
 
 
-def ones(u, at, n):
-    """How many of each line's numbers have each bit set: eight passes that count in the bytes of 64-bit sums."""
-    per = -(-n // 255)  # a byte counts up to 255
+def ones(u, at, n, v=None):
+    """How many of each line's numbers have each bit set, with v those of both: eight passes that count in the bytes of 64-bit sums."""
+    per = -(-n // (255 if v is None else 127))  # a byte counts up to 255
     if int(per.max()) > 1:
         piece = np.cumsum(per) - per
         step = np.arange(int(per.sum())) - np.repeat(piece, per)
-        cut = np.repeat(at, per) + 255 * step
+        cut = np.repeat(at, per) + (255 if v is None else 127) * step
     else:
         piece, cut = None, at
     out = np.empty((len(cut), 8, 8), "u1")
+    low = np.uint64(0x0101010101010101)
     for s in range(8):
-        out[:, s, :] = np.add.reduceat((u >> np.uint64(s)) & np.uint64(0x0101010101010101), cut).astype("<u8").view("u1").reshape(-1, 8)
+        x = (u >> np.uint64(s)) & low
+        if v is not None:
+            x += (v >> np.uint64(s)) & low
+        out[:, s, :] = np.add.reduceat(x, cut).astype("<u8").view("u1").reshape(-1, 8)
     out = out.reshape(len(cut), 64).astype("i4")
     return out if piece is None else np.add.reduceat(out, piece, axis=0)
 

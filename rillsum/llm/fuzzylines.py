@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, cut_words, discard, flagged, flat_bytes, marked, mix64, ones, returning, written
+from rillsum.llm.common import WORD, bit_words, bitmap, byte_chunks, discard, flagged, flat_bytes, hash_words, marked, mix64, ones, per_word, returning, written
 from rillsum.llm.graph import candidates, components, grouped, linked
 
 SIMILARITY = 0.8
@@ -67,19 +67,20 @@ def edit_within(a, b, most: int) -> bool:
     peq: dict = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | (1 << i)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    vp, vn, d = full, 0, m
-    for j, c in enumerate(b):
-        eq = peq.get(c, 0)
-        x = eq | vn
-        d0 = (((x & vp) + vp) ^ vp) | x
-        hp, hn = vn | (~(d0 | vp) & full), d0 & vp
-        d += bool(hp & top) - bool(hn & top)
-        if d - (len(b) - j - 1) > most:
+    full, at, end = (1 << m) - 1, peq.get, len(b)
+    vp, vn = full, 0
+    for j in range(0, end, 32):
+        for c in b[j : j + 32]:
+            x = at(c, 0) | vn
+            d0 = (((x & vp) + vp) ^ vp) | x
+            hp = ((vn | (~(d0 | vp) & full)) << 1) | 1
+            vp, vn = (((d0 & vp) << 1) | ~(d0 | hp)) & full, hp & d0 & full
+        # neighbours in a column differ by one at most, so the distance is at least the value that leaves equal rests
+        j = min(j + 32, end)
+        own = (1 << max(0, m - end + j)) - 1
+        if j + (vp & own).bit_count() - (vn & own).bit_count() > most:
             return False
-        hp = ((hp << 1) | 1) & full
-        vp, vn = ((hn << 1) & full) | (~(d0 | hp) & full), hp & d0
-    return d <= most
+    return True
 
 
 @lru_cache(maxsize=2)
@@ -203,25 +204,34 @@ class Lines:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        raw, at = flat_bytes(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
-        begin, length, byte, head, u = cut_words(raw, at)
+        # a line feed after each text: every word is followed by white space
+        raw, at = flat_bytes(pc.binary_join_element_wise(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())), *[pa.scalar(c, pa.large_string()) for c in ("", "\n")]))
+        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(raw) and not space[0]:
+            turn = np.concatenate(([0], turn))
+        begin, stop = turn[::2], turn[1::2]
+        length = stop - begin
         self.count = len(begin)
         if not self.count:
             return
-        told = (byte >= 128) | ((byte >= 48) & (byte <= 57)) | ((byte >= 97) & (byte <= 122))
+        byte, head = raw[~space], np.cumsum(length) - length
+        u = hash_words(byte, head, length)
+        dumb = (byte < 48) | ((byte > 57) & (byte < 97)) | ((byte > 122) & (byte < 128))
         u |= np.uint64(1)
-        u[~np.logical_or.reduceat(told, head)] = 0  # a mark between words says nothing by itself
-        self.u, self.letters = u, np.add.reduceat((byte & 0xC0) != 0x80, head, dtype="i8")
+        u[per_word(dumb, head) == length] = 0  # a mark between words says nothing by itself
+        self.u, self.letters = u, length - per_word((byte & 0xC0) == 0x80, head)
         ends = np.cumsum(raw == 10, dtype="i8")
         text, row = np.searchsorted(at, begin, "right") - 1, ends[begin]
         self.first = np.concatenate(([0], np.flatnonzero((np.diff(text) != 0) | (np.diff(row) != 0)) + 1))
         self.n = np.diff(np.append(self.first, self.count))
         self.owner = text[self.first]
         self.line = row[self.first] - np.concatenate(([0], ends))[at[self.owner]]
-        out = np.full(len(byte) + self.count, 32, "u1")
-        out[np.arange(len(byte)) + np.repeat(np.arange(self.count), length)] = byte
+        space[stop] = False  # a word's normal form takes one space along
+        self.raw = raw[~space]
+        self.raw[head + length + np.arange(self.count)] = 32
         last = self.first + self.n - 1
-        self.raw, self.start, self.end = out, head[self.first] + self.first, head[last] + length[last] + last
+        self.start, self.end = head[self.first] + self.first, head[last] + length[last] + last
         self.size = np.add.reduceat(self.letters, self.first) + self.n - 1
 
     def digests(self) -> list[bytes]:
@@ -277,7 +287,7 @@ def prints(u, letters, n):
     f = []
     for salt in (0, 0x632BE59BD9B4E019):
         x, y = (u, pair) if not salt else (np.where(u, mix64(u ^ np.uint64(salt)), u), np.where(pair, mix64(pair ^ np.uint64(salt)), pair))
-        most = 2 * (ones(x, at, n) + ones(y, at, n)) > said[:, None]
+        most = 2 * ones(x, at, n, y) > said[:, None]
         f.append(np.packbits(most, axis=1).view("<u8").ravel())
     return f[0], f[1], ph
 
