@@ -48,6 +48,25 @@ def _common(a, b) -> int:
     return lo
 
 
+def places(a) -> dict:
+    """Bit i of a character's number is set where it is character i of a string or list."""
+    marks: dict = {}
+    if isinstance(a, str) and len(a) > 128:
+        import numpy as np
+
+        code = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = set(a)
+        if len(kinds) <= 256:
+            for c in kinds:
+                marks[c] = int.from_bytes(np.packbits(code == ord(c), bitorder="little").tobytes(), "little")
+            return marks
+    bit = 1
+    for c in a:
+        marks[c] = marks.get(c, 0) | bit
+        bit <<= 1
+    return marks
+
+
 def edit_within(a, b, most: int) -> bool:
     """Levenshtein distance of two strings or lists <= most, bit-parallel over the shorter one."""
     if abs(len(a) - len(b)) > most:
@@ -64,10 +83,7 @@ def edit_within(a, b, most: int) -> bool:
         return True
     if m == 0:
         return False
-    peq: dict = {}
-    for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | (1 << i)
-    full, at, end = (1 << m) - 1, peq.get, len(b)
+    full, at, end = (1 << m) - 1, places(a).get, len(b)
     vp, vn = full, 0
     for j in range(0, end, 32):
         for c in b[j : j + 32]:
@@ -83,15 +99,7 @@ def edit_within(a, b, most: int) -> bool:
     return True
 
 
-@lru_cache(maxsize=2)
-def _places(a: str) -> dict[str, int]:
-    """Bit i of a character's number is set where it is character i of a.  A line is compared with many others in a row."""
-    marks: dict[str, int] = {}
-    bit = 1
-    for c in a:
-        marks[c] = marks.get(c, 0) | bit
-        bit <<= 1
-    return marks
+_places = lru_cache(maxsize=2)(places)  # a line is compared with many others in a row
 
 
 def common_subsequence(a: str, b: str, least: int = 0) -> int:

@@ -668,3 +668,21 @@ def test_candidates_compare_every_fingerprint_of_a_first_word(spark):
         got = candidates(nodes, ["f0", "f1"], one_key, 1, 24).collect()
         assert {r["node"] for r in got} == want
         assert len(got) == len(set(got))
+
+
+def test_op7_work_on_lines():
+    """Where characters and words stand, however long or odd the line; the marks of a long line take few steps."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for alphabet in ("ab c", "abcé漢\U0001f600 \udc80", "".join(map(chr, range(97, 1000)))):
+        for n in (0, 1, 128, 129, 700):
+            a = "".join(rng.choice(alphabet) for _ in range(n))
+            assert fuzzylines.places(a) == {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)} == fuzzylines.places(list(a))
+    rows = [None, "", " \n ", "One  two\n\n  !! \tthree\n", "é — x\r\ny", "漢 字", "last"]
+    x = fuzzylines.Lines(pa.array(rows, pa.string()))
+    want = [(i, k, fuzzylines.normal(line)) for i, t in enumerate(rows) for k, line in enumerate((t or "").split("\n")) if fuzzylines.normal(line)]
+    assert [(o, k, x.raw[s:e].tobytes().decode()) for o, k, s, e in zip(x.owner.tolist(), x.line.tolist(), x.start, x.end, strict=True)] == want
+    assert x.size.tolist() == [len(t) for _, _, t in want] and x.n.tolist() == [t.count(" ") + 1 for _, _, t in want]
+    words = [w for _, _, t in want for w in t.split(" ")]
+    assert x.letters.tolist() == [len(w) for w in words] and (x.u == 0).tolist() == [w in ("!!",) for w in words]
