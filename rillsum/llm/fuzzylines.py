@@ -99,7 +99,10 @@ def edit_within(a, b, most: int) -> bool:
     return True
 
 
-_places = lru_cache(maxsize=2)(places)  # a line is compared with many others in a row
+@lru_cache(maxsize=2)
+def _places(a: str) -> dict:
+    """As places; a line is compared with many others in a row."""
+    return places(a)
 
 
 def common_subsequence(a: str, b: str, least: int = 0) -> int:
