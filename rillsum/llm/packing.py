@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillsum.llm.common import TokenBytes, byte_chunks, discard, kept_in_worker, text_or_empty, written
+from rillsum.llm.common import TokenBytes, byte_chunks, discard, kept_in_worker, returning, text_or_empty, written
 
 CAPACITY = 2048
 #: Items of a block, and about the most of a coarser one.
@@ -26,6 +26,8 @@ ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 4
 MUTANTS, OPENED = 0.5, 3
 #: A bin with at most so many free places is settled where it is.
 SETTLED = 8
+#: Bytes of text that a worker cuts and numbers at once; what it holds meanwhile is about 20 times as much.
+CHUNK = 2 << 20
 
 
 class Bins:
@@ -152,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = kept_in_worker((tokenizer, specials), lambda: TokenBytes(tokenizer, spaced=False, specials=specials))
         for b in batches:
-            for lo, hi in byte_chunks(b["text"]):
+            for lo, hi in byte_chunks(b["text"], CHUNK):
                 ids, n = enc.encode_ended(b["text"][lo:hi], end_id)
                 own, piece, length, crc, raw, at = [], [], [], [], memoryview(ids), 0
                 for i, k in zip(range(lo, hi), n.tolist(), strict=True):
@@ -168,10 +170,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                     [b["doc_id"].take(at), b["th"].take(at), pa.array(piece, pa.int32()), pa.array([capacity * p for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "th", "piece", "start", "length", "crc"],
                 )
-        enc.rest()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
-    return d.mapInArrow(run, "doc_id long, th long, piece int, start long, length long, crc long")
+    return d.mapInArrow(returning(run, keeps=True), "doc_id long, th long, piece int, start long, length long, crc long")
 
 
 ITEM = "doc_id long, th long, piece int, start long, length long, crc long"

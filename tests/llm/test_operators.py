@@ -459,6 +459,30 @@ def test_op8(docs, empty, rows):
     assert packing.digest(empty, path).collect() == []
 
 
+def test_op8_workers_cut_little_text_at_once(spark, monkeypatch):
+    """A large batch is numbered in small chunks, with the ids of one text after the other, and freed memory is returned once the task ends."""
+    import ctypes
+
+    import pyarrow as pa
+
+    path, plain = tok("word_bpe_49k.json")
+    rng = random.Random(6)
+    held = [" ".join(f"w{rng.randrange(50)}" for _ in range(100_000)) for _ in range(12)]
+    seen, ran, whole = [], [], TokenBytes.encode_ended
+    monkeypatch.setattr(TokenBytes, "encode_ended", lambda self, t, e: seen.append(sum(map(len, t.to_pylist()))) or whole(self, t, e))
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: ran.append(f) or self)
+    trimmed = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(trimmed.append)}))
+    packing.pieces(frame, path)
+    ids = pa.array(range(12))
+    got = pa.Table.from_batches(ran[0]([pa.RecordBatch.from_arrays([ids, ids, pa.array(held)], ["doc_id", "th", "text"])])).to_pylist()
+    assert len(seen) > 1 and max(seen) <= packing.CHUNK <= 2 << 20 and sum(seen) == sum(map(len, held))
+    assert trimmed == [0]
+    want = [[*plain(t), 0] for t in held]
+    assert [(r["doc_id"], r["start"], r["length"], r["crc"]) for r in got] == [(i, k, len(x[k : k + 2048]), zlib.crc32(np.array(x[k : k + 2048], "<u4").tobytes())) for i, x in enumerate(want) for k in range(0, len(x), 2048)]
+
+
 def test_op8_search_beats_or_meets_best_fit():
     rng = random.Random(4)
     size = [rng.randrange(300, 1200) for _ in range(300)]
