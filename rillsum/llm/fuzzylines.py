@@ -83,11 +83,11 @@ def edit_within(a, b, most: int) -> bool:
         return True
     if m == 0:
         return False
-    full, at, end = (1 << m) - 1, places(a).get, len(b)
+    full, at, end, none = (1 << m) - 1, places(a).get, len(b), (0,) * 32
     vp, vn = full, 0
     for j in range(0, end, 32):
-        for c in b[j : j + 32]:
-            x = at(c, 0) | vn
+        for x in map(at, b[j : j + 32], none):
+            x |= vn
             d0 = (((x & vp) + vp) ^ vp) | x
             hp = ((vn | (~(d0 | vp) & full)) << 1) | 1
             vp, vn = (((d0 & vp) << 1) | ~(d0 | hp)) & full, hp & d0 & full
@@ -120,10 +120,10 @@ def common_subsequence(a: str, b: str, least: int = 0) -> int:
     at = _places(a).get
     v = ((1 << long) - 1) ^ ((1 << k) - 1)
     for i in range(k, end, 32):
-        for c in b[i : min(i + 32, end)]:
-            if m := at(c):
+        for m in map(at, b[i : min(i + 32, end)]):
+            if m:
                 u = v & m
-                v = (v + u) | (v - u)
+                v = (v + u) | (v ^ u)
         rest = max(0, end - i - 32)
         begun = max(0, long - rest)
         if begun - (v & ((1 << begun) - 1)).bit_count() + min(rest, long) < least:
@@ -353,32 +353,39 @@ def block_and_phrase_keys(batch):
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(root, id, f0, f1, payload): the normal forms of the wanted line hashes, each from a text that holds it.
+    """(id, payload): the normal forms of the wanted line hashes, each from the text and line where its spot lies.
 
-    Fixed-size bitmaps of those texts and of the hashes thin the scan; what they let pass is joined exactly.
+    Fixed-size bitmaps of the spots and of the hashes thin the scan; what they let pass is joined exactly.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, F.xxhash64("h")), bitmap(wanted, F.col("th"))))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, F.xxhash64("h")), bitmap(wanted, F.col("spot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        on_lines, on_docs = shared.value
+        on_lines, on_spots = shared.value
         for b in batches:
-            texts = b["text"].take(pa.array(np.flatnonzero(flagged(on_docs, np.asarray(b["th"])))))
-            for lo, hi in byte_chunks(texts, 1 << 20):
-                x = Lines(texts[lo:hi])
+            for lo, hi in byte_chunks(b["text"], 1 << 20):
+                raw, at = flat_bytes(pc.binary_join_element_wise(b["text"][lo:hi].cast(pa.large_string()), *[pa.scalar(c, pa.large_string()) for c in ("", "\n")]))
+                ends = np.flatnonzero(raw == 10)
+                first = np.searchsorted(ends, at)  # the text's first line
+                n = np.diff(first)
+                line = np.arange(len(ends)) - np.repeat(first[:-1], n)
+                own = np.flatnonzero(flagged(on_spots, np.repeat(np.asarray(b["th"][lo:hi]), n) ^ line))
+                if not len(own):
+                    continue
+                x = Lines(pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends + 1)), pa.py_buffer(raw)).take(pa.array(own)))
                 if not x.count:
                     continue
                 h = x.digests()
                 own = np.flatnonzero(flagged(on_lines, np.array([xxh64_intdigest(d, 42) for d in h], "u8").view("i8")))
                 t = [x.raw[x.start[i] : x.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["h", "norm"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for i in own], pa.binary()), pa.array(t, pa.string())], ["id", "payload"])
 
-    got = keyed_docs(docs).select("text", "th").mapInArrow(returning(run), "h binary, norm string")
-    return written(got.dropDuplicates(["h"]), "texts").join(wanted.select("root", "h", *FPS), "h").select("root", F.col("h").alias("id"), *FPS, F.col("norm").alias("payload"))
+    return keyed_docs(docs).select("text", "th").mapInArrow(returning(run), "id binary, payload string").dropDuplicates(["id"])
 
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -387,18 +394,19 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Rows that agree in doc_id and text are one document here.
     """
     t = written(lines(docs, min_chars), "lines")
-    kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, *PACKED, "th")], F.count(F.lit(1)).alias("n"))
+    spot = F.col("th").bitwiseXOR(F.col("line").cast("long"))  # text and line of one occurrence
+    kinds = t.groupBy("h").agg(*[F.min(c).alias(c) for c in (*FPS, *PACKED)], F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n"))
     kinds = written(kinds, "kinds")
     near = candidates(kinds.select(*FPS, *PACKED), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
-    wanted = written(grouped(kinds.select("h", *FPS, "th"), near, "f0"), "wanted")
-    texts = _texts(docs, wanted)
-    links = components(linked(texts, FPS, RADIUS, str, similar))
+    wanted = written(grouped(kinds.select("h", *FPS, "spot"), near, "f0"), "wanted")
+    texts = written(_texts(docs, wanted), "texts")
+    links = components(linked(wanted.select("root", F.col("h").alias("id"), *FPS), texts, FPS, RADIUS, str, similar))
     # only kinds that repeat or are linked can lose a line
     named = kinds.where("n > 1").select("h", F.col("h").alias("g")).join(links.select(F.col("node").alias("h")), "h", "left_anti")
     named = written(named.unionByName(links.select(F.col("node").alias("h"), F.col("root").alias("g"))), "named")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     again = written(t.select("doc_id", "th", "line", "h").join(named, "h").select("doc_id", "th", "line", "g"), "again")
-    discard(t, kinds, wanted, named)
+    discard(t, kinds, wanted, texts, named)
     first = written(again.groupBy("g").agg(F.min(place).alias("f")), "first")
     return again.join(first, "g").where(place > F.col("f")).select("doc_id", "th", "line")
 

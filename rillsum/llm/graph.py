@@ -216,10 +216,11 @@ def grouped(nodes: DataFrame, member: DataFrame, node: str) -> DataFrame:
     return nodes.join(member.unionByName(shared), F.col(node) == F.col("node")).drop("node")
 
 
-def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
     """(a, b) of id: a spanning forest, within each root, of the links that `same` confirms.
 
-    members: (root, id, fps, payload).  Pairs of more than radius bits are no links.  load(payload) is what
+    members: (root, id, fps), payloads: (id, payload), one of each id; only the dealt rows carry payloads, and
+    members without one are left out.  Pairs of more than radius bits are no links.  load(payload) is what
     same(x, y) compares.  A root of more than `limit` members is cut in chunks by hash, and every pair of
     chunks is a group of its own.  Other groups are dealt by their least member, so that groups with the same
     members meet in a task, which compares no pair twice.
@@ -242,6 +243,14 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
             return got
 
         def few(rows, cross):
+            if len(rows) == 2:
+                p, q = rows
+                bits = 0
+                for v, w in zip(p[3:], q[3:], strict=True):
+                    bits += ((v ^ w) & 0xFFFFFFFFFFFFFFFF).bit_count()
+                if bits <= radius and not (cross and p[0] == q[0]) and alike(0, 1, own, rows):
+                    edges.append((q[1], p[1]))
+                return
             left = list(range(len(rows)))
             while len(left) > 1:
                 todo, left = [left[0]], left[1:]
@@ -304,6 +313,7 @@ def linked(members: DataFrame, fps: list[str], radius: int, load: Callable, same
     m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
     m = m.withColumn("part", F.when(F.col("chunks") == 1, F.col("lead")).otherwise(F.xxhash64("root", "i", "j")))
+    m = m.drop("x", "chunks", "n", "lead").join(payloads, "id")
     dealt = m.select(*names).repartition("part").sortWithinPartitions("part", "root", "i", "j", "id")
     return dealt.mapInArrow(returning(run), f"a {kind}, b {kind}")
 

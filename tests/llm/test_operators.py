@@ -694,6 +694,28 @@ def test_candidates_compare_every_fingerprint_of_a_first_word(spark):
         assert len(got) == len(set(got))
 
 
+def test_op7_texts_come_from_one_place_each(spark, monkeypatch):
+    """A wanted line is cut from one occurrence, not from every text that holds it, and dealt rows alone carry it."""
+    rng = random.Random(12)
+    vocab = [f"word{i}" for i in range(300)]
+    common = [" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(4)]
+    near = [" ".join(["other", *c.split(" ")[1:]]) for c in common]
+    held = ["\n".join([f" {common[i % 4]} ", "", f"alone {i} " + " ".join(rng.choice(vocab) for _ in range(9)), "É " + common[i % 3], near[i % 4].upper()]) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate([*held, None, "", "\n", held[0]])), "doc_id long, text string")
+    frame, emitted = type(docs), []
+    plain = frame.dropDuplicates
+
+    def counted(self, on=None):
+        if on in (["h"], ["id"]):
+            emitted.append(self.count())
+        return plain(self, on)
+
+    monkeypatch.setattr(frame, "dropDuplicates", counted)
+    got = {r["doc_id"]: r["n_lines_dropped"] for r in fuzzylines.dedup(docs).collect()}
+    assert len(emitted) == 1 and 4 <= emitted[0] <= 40
+    assert [got[i] for i in range(4)] == [2, 2, 2, 2] and all(got[i] == 3 for i in range(4, 80)) and got[83] >= 4 and got[80] == got[81] == got[82] == 0
+
+
 def test_op7_work_on_lines():
     """Where characters and words stand, however long or odd the line; the marks of a long line take few steps."""
     import pyarrow as pa
