@@ -198,6 +198,131 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return len(a) + len(b) - 2 * shared <= most or edit_within(a, b, most)
 
 
+#: Lines with more characters are compared one pair after the other; so are fewer pairs than FEW_LANES.
+LANE_CHARS, FEW_LANES, LANES = 1600, 160, 2048
+#: Kinds of characters of lines that are compared at once; lines with rarer ones are compared one pair after the other.
+KINDS = 200
+
+
+def similar_pairs(pairs: list, least: float = SIMILARITY) -> list[bool]:
+    """similar of each pair; many pairs are compared at once."""
+    out, rest = [False] * len(pairs), []
+    for i, (a, b) in enumerate(pairs):
+        if len(a) < len(b):
+            a, b = b, a
+        most = int((1 - least) * len(a) + 1e-9)
+        if len(a) - len(b) > most:
+            continue
+        if len(a) > LANE_CHARS or not b:
+            out[i] = similar(a, b, least)
+        else:
+            bits = len(a).bit_length()
+            rest.append((bits, len(a) >> max(0, bits - 3), len(a) - len(b), i, a, b, most))  # alike in length, then in the difference
+    rest.sort(key=lambda r: r[:4])
+    for lo in range(0, len(rest), LANES):
+        part = rest[lo : lo + LANES]
+        got = lanes([r[4:] for r in part]) if len(part) >= FEW_LANES else [None] * len(part)
+        for (*_, i, a, b, _), on in zip(part, got, strict=True):
+            out[i] = similar(a, b, least) if on is None else on
+    return out
+
+
+def lanes(pairs: list) -> list:
+    """Whether the edit distance of each (a, b, most), a not shorter than b, is at most `most`; None for rare characters.
+
+    A band of diagonals, bit-parallel (Hyyro 2003), one pair beside the other in numpy's words.  Bit r of the band
+    stands, when t characters of b are read, for character t + r - base of a, and bit `mid` for the
+    diagonal on which both strings end: the distance is their difference in length and one more for
+    each step whose bit is not set there.  Paths of at most `most` edits don't leave the band.  Past its end b
+    reads a character that equals all others.
+    """
+    import numpy as np
+
+    texts: dict = {}
+    ia = np.array([texts.setdefault(a, len(texts)) for a, _, _ in pairs])
+    tables = len(texts)
+    ib = np.array([texts.setdefault(b, len(texts)) for _, b, _ in pairs])
+    size = np.array([len(t) for t in texts])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    seen = np.zeros(int(code.max()) + 1, bool)
+    seen[code] = True
+    kinds = np.flatnonzero(seen)
+    if len(kinds) > KINDS:
+        often = np.bincount(np.searchsorted(kinds, code))
+        kinds = kinds[np.sort(np.argsort(-often, kind="stable")[:KINDS])]
+    number = np.zeros(len(seen), "u1")
+    number[kinds] = np.arange(1, len(kinds) + 1)
+    code, any_char = number[code], len(kinds) + 1
+    first = np.cumsum(size) - size
+    rare = np.logical_or.reduceat(code == 0, first)
+    wide = -(-int(size.max()) // 64) * 64
+    chars = np.full((len(size), wide), any_char, "u1")
+    chars[np.arange(wide) < size[:, None]] = code
+
+    most, more = np.array([m for _, _, m in pairs]), size[ia] - size[ib]
+    mid, beyond = int(((most + more) // 2).max()), int(((most - more) // 2).max())
+    words = (mid + beyond) // 64 + 1
+    front = mid // 64 + 1  # words before a line's first character
+    row = (64 * front + int(more.max()) + int(size[ib].max())) // 64 + words + 2
+    step = np.arange(any_char + 1) * row
+    table = np.zeros(tables * len(step) * row, "u8")
+    place = (np.arange(tables) * len(step) * row)[:, None] + front + np.arange(wide // 64)
+    for bit in range(64):
+        table[step[chars[:tables, bit::64]] + place] |= np.uint64(1 << bit)
+    table.reshape(tables, len(step), row)[:, any_char] = ~np.uint64(0)
+
+    out = np.zeros(len(pairs), bool)
+    own = np.flatnonzero(~(rare[ia] | rare[ib]))
+    base, read, end = mid - more[own], np.ascontiguousarray(chars[ib[own]].T), size[ib[own]]
+    own_row, most, more = ia[own] * len(step) * row, most[own], more[own]
+    one, all_bits, top = np.uint64(1), ~np.uint64(0), np.uint64(63)
+    at = np.maximum(base - 64 * np.arange(words)[:, None], 0)
+    vp = np.where(at < 64, all_bits << np.minimum(at, 63).astype("u8"), np.uint64(0))
+    vn, same, t = np.zeros_like(vp), np.zeros(len(own), "u8"), 0
+    word, turn, nth = mid // 64, np.uint64(mid % 64), np.arange(words + 1)[:, None]
+    from_bit = 64 * front - base
+    while len(own):
+        for t in range(t, t + 32):
+            start = from_bit + t
+            x = table.take(nth + (own_row + (start >> 6) + step.take(read[t])))
+            shift = (start & 63).astype("u8")
+            x, high = x[:-1] >> shift, x[1:] << one
+            high <<= top - shift
+            x |= high
+            d0 = x & vp
+            total = d0 + vp
+            for k in range(1, words):
+                total[k] += (d0[k - 1] | (vp[k - 1] & ~total[k - 1])) >> top
+            d0 = total
+            d0 ^= vp
+            d0 |= x
+            d0 |= vn
+            same += (d0[word] >> turn) & one
+            hp = d0 | vp
+            np.invert(hp, out=hp)
+            hp |= vn
+            vp &= d0  # hn
+            down = d0 >> one
+            down[:-1] |= d0[1:] << top
+            vn = down & hp
+            down |= hp
+            np.invert(down, out=down)
+            vp |= down
+            if t + 1 >= len(read):
+                break
+        t += 1
+        cost = more + t - same.astype("i8")
+        near = cost + np.maximum(end - t, 0) <= most
+        out[own[near]] = True
+        going = ~near & (cost <= most)
+        if not going.any():
+            break
+        if going.sum() < 0.9 * len(own):
+            own, base, end, own_row, most, more, same, from_bit = (z[going] for z in (own, base, end, own_row, most, more, same, from_bit))
+            vp, vn, read = vp[:, going], vn[:, going], read[:, going]
+    return [None if odd else on for on, odd in zip(out.tolist(), (rare[ia] | rare[ib]).tolist(), strict=True)]
+
+
 def keyed_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -400,7 +525,7 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near = candidates(kinds.select(*FPS, *PACKED), FPS, block_and_phrase_keys, BLOCKS + PHRASES, RADIUS)
     wanted = written(grouped(kinds.select("h", *FPS, "spot"), near, "f0"), "wanted")
     texts = written(_texts(docs, wanted), "texts")
-    links = components(linked(wanted.select("root", F.col("h").alias("id"), *FPS), texts, FPS, RADIUS, str, similar))
+    links = components(linked(wanted.select("root", F.col("h").alias("id"), *FPS), texts, FPS, RADIUS, str, similar_pairs, spread=1 - SIMILARITY))
     # only kinds that repeat or are linked can lose a line
     named = kinds.where("n > 1").select("h", F.col("h").alias("g")).join(links.select(F.col("node").alias("h")), "h", "left_anti")
     named = written(named.unionByName(links.select(F.col("node").alias("h"), F.col("root").alias("g"))), "named")

@@ -26,6 +26,8 @@ BUCKET, HOT, CHUNK = 1 << 18, 1 << 15, 1 << 13
 SHORT = 4
 #: Groups up to this size are compared one pair after the other, larger ones by numpy.
 FEW = 8
+#: Pairs that a task asks for at once, about; characters (or bytes) of the groups that wait for answers; pairs whose answers it remembers.
+ASKED, HELD, KNOWN = 1 << 13, 1 << 24, 1 << 16
 
 
 def distance(f, g):
@@ -216,14 +218,16 @@ def grouped(nodes: DataFrame, member: DataFrame, node: str) -> DataFrame:
     return nodes.join(member.unionByName(shared), F.col(node) == F.col("node")).drop("node")
 
 
-def linked(members: DataFrame, payloads: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, fps: list[str], radius: int, load: Callable, same: Callable, limit: int = 512, spread: float = 1.0) -> DataFrame:
     """(a, b) of id: a spanning forest, within each root, of the links that `same` confirms.
 
     members: (root, id, fps), payloads: (id, payload), one of each id; only the dealt rows carry payloads, and
-    members without one are left out.  Pairs of more than radius bits are no links.  load(payload) is what
-    same(x, y) compares.  A root of more than `limit` members is cut in chunks by hash, and every pair of
+    members without one are left out.  Pairs of more than radius bits are no links, nor are those whose payloads
+    differ in length by more than `spread` of the longer.  load(payload) is what is compared: same([(x, y), ...])
+    says of each pair whether it is a link.  A task asks for many groups at once, each going on by what it
+    is told.  A root of more than `limit` members is cut in chunks by hash, and every pair of
     chunks is a group of its own.  Other groups are dealt by their least member, so that groups with the same
-    members meet in a task, which compares no pair twice.
+    members meet in a task, which seldom compares a pair twice.
     """
     import numpy as np
     import pyarrow as pa
@@ -234,80 +238,106 @@ def linked(members: DataFrame, payloads: DataFrame, fps: list[str], radius: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        edges: list = []
+        pool: list = []  # (group, what it asks for, characters that it holds)
+        asked = held = 0
 
-        def alike(x, y, own, rows) -> bool:
-            pair = (rows[x][1], rows[y][1]) if rows[x][1] < rows[y][1] else (rows[y][1], rows[x][1])
-            got = known.get(pair)
-            if got is None:
-                got = known[pair] = same(own[x], own[y])
-            return got
+        def question(p, q):
+            return ((p[1], q[1]) if p[1] < q[1] else (q[1], p[1])), p[2], q[2]
+
+        def close(p, q, cross) -> bool:
+            bits = 0
+            for v, w in zip(p[4:], q[4:], strict=True):
+                bits += ((v ^ w) & 0xFFFFFFFFFFFFFFFF).bit_count()
+            return bits <= radius and not (cross and p[0] == q[0]) and abs(p[3] - q[3]) <= spread * max(p[3], q[3]) + 1e-9
 
         def few(rows, cross):
-            if len(rows) == 2:
-                p, q = rows
-                bits = 0
-                for v, w in zip(p[3:], q[3:], strict=True):
-                    bits += ((v ^ w) & 0xFFFFFFFFFFFFFFFF).bit_count()
-                if bits <= radius and not (cross and p[0] == q[0]) and alike(0, 1, own, rows):
-                    edges.append((q[1], p[1]))
-                return
             left = list(range(len(rows)))
             while len(left) > 1:
                 todo, left = [left[0]], left[1:]
                 while todo and left:
                     x = todo.pop()
-                    p, rest = rows[x], []
-                    for y in left:
-                        q = rows[y]
-                        bits = sum(((v ^ w) & 0xFFFFFFFFFFFFFFFF).bit_count() for v, w in zip(p[3:], q[3:], strict=True))
-                        if bits <= radius and not (cross and p[0] == q[0]) and alike(x, y, own, rows):
-                            todo.append(y)
-                            edges.append((q[1], p[1]))
-                        else:
-                            rest.append(y)
-                    left = rest
+                    near = [y for y in left if close(rows[x], rows[y], cross)]
+                    if near:
+                        told = yield [question(rows[x], rows[y]) for y in near]
+                        hit = [y for y, on in zip(near, told, strict=True) if on]
+                        left = [y for y in left if y not in hit]
+                        todo.extend(hit)
+                        edges.extend((rows[y][1], rows[x][1]) for y in hit)
 
         def many(rows, cross):
-            f = [np.array([r[c] for r in rows], "i8").view("u8") for c in range(3, 3 + len(fps))]
-            side, left = np.array([r[0] for r in rows]), np.arange(len(rows))
+            f = [np.array([r[c] for r in rows], "i8").view("u8") for c in range(4, 4 + len(fps))]
+            side, size = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
+            left, group, wide = np.arange(len(rows)), np.arange(len(rows)), 1
             while len(left) > 1:
-                todo, left = [left[0]], left[1:]
-                while todo and len(left):
-                    x = todo.pop()
-                    near = distance([w[left] for w in f], [w[x] for w in f]) <= radius
+                # what is taken out of left is compared with all that is in it and not yet in its group
+                pairs, taken = [], 0
+                while taken < wide and taken < len(left) and len(pairs) < ASKED >> 3:
+                    x, y = left[taken], left[taken + 1 :]
+                    taken += 1
+                    near = (distance([w[y] for w in f], [w[x] for w in f]) <= radius) & (group[y] != group[x])
+                    near &= np.abs(size[y] - size[x]) <= spread * np.maximum(size[y], size[x]) + 1e-9
                     if cross:
-                        near &= side[left] != side[x]
-                    hit = [y for y in left[near].tolist() if alike(x, y, own, rows)]
-                    if hit:
-                        left = np.setdiff1d(left, hit, assume_unique=True)
-                        todo.extend(hit)
-                        edges.extend((rows[y][1], rows[x][1]) for y in hit)
-
-        cell, rows, edges, own = None, [], [], []
+                        near &= side[y] != side[x]
+                    pairs += [(x, z) for z in y[near].tolist()]
+                left = left[taken:]
+                told = (yield [question(rows[x], rows[y]) for x, y in pairs]) if pairs else []
+                hit = [p for p, on in zip(pairs, told, strict=True) if on]
+                for x, y in hit:
+                    if group[x] != group[y]:
+                        group[group == group[y]] = group[x]
+                        edges.append((rows[y][1], rows[x][1]))
+                wide = max(1, wide >> 1) if hit else min(2 * wide, len(rows))
+
+        def join(group, told, size):
+            nonlocal asked, held
+            try:
+                ask = group.send(told)
+            except StopIteration:
+                return
+            pool.append((group, ask, size))
+            asked, held = asked + len(ask), held + size
+
+        def compare():
+            nonlocal asked, held
+            todo = {key: (x, y) for _, ask, _ in pool for key, x, y in ask if key not in known}
+            known.update(zip(todo, same(list(todo.values())), strict=True))
+            waiting = pool.copy()
+            pool.clear()
+            asked = held = 0
+            for group, ask, size in waiting:
+                join(group, [known[key] for key, _, _ in ask], size)
+            if len(known) > KNOWN:
+                known.clear()
 
         def flush():
-            nonlocal own
-            own = [load(r[2]) for r in rows]
-            (few if len(rows) <= FEW else many)(rows, cell[2] != cell[3])
+            cross = cell[2] != cell[3]
+            if len(rows) == 2 and not close(*rows, cross):
+                return
+            own = [(*r[:2], load(r[2]), *r[3:]) for r in rows]
+            join((few if len(own) <= FEW else many)(own, cross), None, sum(r[3] for r in rows))
+            while asked >= ASKED or held >= HELD:
+                compare()
 
         def sent():
             out = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], arrow) for k in (0, 1)], ["a", "b"])
             edges.clear()
             return out
 
+        cell, rows = None, []
         for batch in batches:
-            for r in zip(*[batch[c].to_pylist() for c in names], strict=True):
-                if r[:4] != cell and rows:
+            for part, root, i, j, side, key, payload, *words in zip(*[batch[c].to_pylist() for c in names], strict=True):
+                if (part, root, i, j) != cell and rows:
                     flush()
                     rows = []
-                    if r[0] != cell[0]:
-                        known.clear()
-                cell = r[:4]
-                rows.append(r[4:])
+                cell = part, root, i, j
+                rows.append((side, key, payload, len(payload), *words))
             yield sent()
         if rows:
             flush()
-            yield sent()
+        while pool:
+            compare()
+        yield sent()
 
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("lead")).where("n > 1")
     m = members.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))

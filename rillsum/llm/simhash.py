@@ -257,7 +257,8 @@ def unique(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -
     wanted = written(grouped(kinds, near, "f0"), "wanted")
     shingled = written(_shingled(docs, wanted, shingle), "shingles")
     members = wanted.select("root", F.col("nf").alias("id"), *WIDE)
-    links = linked(members, shingled.select(F.col("nf").alias("id"), "payload"), WIDE, FAR, lambda x: np.frombuffer(x, "u8"), jaccard_at_least(least))
+    alike = jaccard_at_least(least)
+    links = linked(members, shingled.select(F.col("nf").alias("id"), "payload"), WIDE, FAR, lambda x: np.frombuffer(x, "u8"), lambda pairs: [alike(x, y) for x, y in pairs])
     comp = written(components(links), "comps")
     g = prints.select("doc_id", "th", "nf").join(comp, F.col("nf") == F.col("node"), "left")
     best = g.groupBy(F.coalesce("root", "nf").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))

@@ -733,3 +733,55 @@ def test_op7_work_on_lines():
     assert x.size.tolist() == [len(t) for _, _, t in want] and x.n.tolist() == [t.count(" ") + 1 for _, _, t in want]
     words = [w for _, _, t in want for w in t.split(" ")]
     assert x.letters.tolist() == [len(w) for w in words] and (x.u == 0).tolist() == [w in ("!!",) for w in words]
+
+
+def test_op7_pairs_are_compared_side_by_side(monkeypatch):
+    """Many pairs at once have the answers that the edit distance gives, at its bound too, whatever their lengths and characters."""
+    rng = random.Random(8)
+    kinds, pairs = "ab cdefgé漢\U0001f600", []
+    for k in range(900):
+        a = "".join(rng.choice(kinds[: rng.choice([3, 9, 11])]) for _ in range(rng.choice([0, 1, 2, 7, 20, 64, 65, 130])))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, len(a) // 8, len(a) // 5, len(a) // 5 + 1, len(a) // 3])):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "bb"])
+        cut = rng.choice([0, 0, len(a) // 9])
+        b = "".join(b)[cut:] + a[:cut]
+        pairs.append((a, b) if k % 2 else (b, a))
+    pairs += [("".join(map(chr, range(300 + k, 700 + k))), "".join(map(chr, range(360 + k, 760 + k)))) for k in range(0, 200, 10)]  # rare characters
+    pairs += [("a" * 1700, "a" * 1400), ("a" * 1700, "a" * 1300), ("\udc80b" * 9, "\udc80b" * 8), ("", "")]
+    want = [levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) if max(len(a), len(b)) < 1000 else len(b) == 1400 for a, b in pairs]
+    for few, most in ((1, 4096), (1, 100), (160, 2048)):
+        monkeypatch.setattr(fuzzylines, "FEW_LANES", few)
+        monkeypatch.setattr(fuzzylines, "LANES", most)
+        assert fuzzylines.similar_pairs(pairs) == want
+    assert 300 < sum(want) < 800 and None in fuzzylines.lanes([(a, b, 60) for a, b in pairs[900:920]])
+
+
+def test_links_are_asked_for_many_groups_at_once(spark, tmp_path):
+    """No link is lost where groups wait for their answers together, and a task asks seldom."""
+    from rillsum.llm.graph import components, linked
+
+    rng = random.Random(4)
+    value = {i: rng.randrange(10**6) for i in range(1000)}
+    groups = [rng.sample(range(1000), rng.choice([2, 2, 2, 3, 5, 8])) for _ in range(400)] + [rng.sample(range(1000), n) for n in (9, 40, 200)]
+    log = str(tmp_path)
+
+    def same(pairs):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w", dir=log, delete=False) as f:
+            f.write(str(len(pairs)))
+        return [abs(int(x) - int(y)) < 30_000 and len(x) == len(y) for x, y in pairs]
+
+    members = spark.createDataFrame([(r, i, 0) for r, g in enumerate(groups) for i in g], "root long, id long, f long")
+    payloads = spark.createDataFrame([(i, str(v)) for i, v in value.items()], "id long, payload string")
+    links = linked(members.coalesce(1), payloads, ["f"], 0, str, same).collect()
+    near = [(a, b) for g in groups for a in g for b in g if a > b and abs(value[a] - value[b]) < 30_000 and len(str(value[a])) == len(str(value[b]))]
+    want = plain_components(near, range(1000))
+    got = plain_components([(max(r.a, r.b), min(r.a, r.b)) for r in links], range(1000))
+    assert got == want and len(set(want.values())) < 700
+    asked = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(asked) > 3000 and len(asked) < 200
+    alone = linked(members, payloads, ["f"], 0, str, lambda pairs: [True for _ in pairs], limit=16, spread=0.0)
+    assert components(alone).count() > 0 and all(len(str(value[r.a])) == len(str(value[r.b])) for r in alone.collect())
